@@ -1,0 +1,11 @@
+"""Training-data operators: classification, tokenising, de-duplication, mixing, search, archives.
+
+Nothing outside this folder imports it.  Functions that run on executors are
+pickled by value, so that a cluster needs no installed copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
