@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,61 +23,70 @@ RESERVED = (
 # The length limits of shown and embedded text.
 SHOWN_CODE, EMBEDDED_CODE = 500, 24000
 
-#: A word boundary among ASCII word characters, as in JavaScript; Java's \b is Unicode-aware.
-EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-_SPACE = r"[\s   -     　﻿]"
+_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def _strip(col: Column) -> Column:
     return F.regexp_replace(col, f"^{_SPACE}+|{_SPACE}+$", "")
 
 
-def replace_strings(code: Column) -> Column:
-    """Template, double- and single-quoted literals, in this order, become $STR."""
-    code = F.regexp_replace(code, r"`[^`]*`", r"\$STR")
-    code = F.regexp_replace(code, r'"(?:[^"\\]|\\.)*"', r"\$STR")
-    return F.regexp_replace(code, r"'(?:[^'\\]|\\.)*'", r"\$STR")
+_LINE_END = "\n\r\u2028\u2029"
+_BLANK = "[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_STEPS = [
+    (re.compile(r"`[^`]*`"), "$STR"),
+    (re.compile(rf'"(?:[^"\\]|\\[^{_LINE_END}])*"'), "$STR"),
+    (re.compile(rf"'(?:[^'\\]|\\[^{_LINE_END}])*'"), "$STR"),
+    (re.compile(r"/\*[\s\S]*?\*/"), ""),
+    (re.compile(rf"//[^{_LINE_END}]*"), ""),
+]
+_EDGES = (re.compile(f"^{_BLANK}+"), re.compile(f"{_BLANK}+\\Z"), re.compile(f"{_BLANK}+"))
+_NUMBERS = [re.compile(rf"\b0{x}n?\b", re.A) for x in ("[xX][0-9a-fA-F_]+", "[bB][01_]+", "[oO][0-7_]+")]
+_NUMBERS.append(re.compile(r"(?<![a-zA-Z_$])\b\d[\d_]*(\.\d[\d_]*)?([eE][+-]?\d[\d_]*)?n?\b", re.A))
+_NAMES = re.compile(r"\b[a-zA-Z_$][a-zA-Z0-9_$]*\b", re.A)
 
 
-def remove_comments(code: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", ""), r"(?m)//.*$", "")
+def _trim(text: str) -> str:
+    end = _EDGES[1].search(text.rstrip())
+    text = text.rstrip() if end is None else text.rstrip()[: end.start()]
+    return _EDGES[0].sub("", text)
 
 
-def collapse_whitespace(code: Column) -> Column:
-    lines = F.filter(F.transform(F.split(code, "\n"), _strip), lambda x: F.length(x) > 0)
-    return _strip(F.regexp_replace(F.array_join(lines, " "), f"{_SPACE}+", " "))
-
+def normalize(code: str | None) -> str:
+    """Code without comments and layout, literals as placeholders, names as $VAR_k by first appearance.
 
-def replace_numbers(code: Column) -> Column:
-    """Hex, binary, octal and decimal literals become $NUM."""
-    for digits in ("[xX][0-9a-fA-F_]+", "[bB][01_]+", "[oO][0-7_]+"):
-        code = F.regexp_replace(code, f"{EDGE}0{digits}n?{EDGE}", r"\$NUM")
-    return F.regexp_replace(code, rf"(?<![a-zA-Z_$]){EDGE}\d[\d_]*(\.\d[\d_]*)?([eE][+-]?\d[\d_]*)?n?{EDGE}", r"\$NUM")
+    A boundary can't stand before "$", so the placeholders of literals are names
+    too, behind their "$": literals of all kinds normalise alike.
+    """
+    if not code or not _trim(code):
+        return ""
+    for pattern, by in _STEPS:
+        code = pattern.sub(lambda m, by=by: by, code)
+    code = _EDGES[2].sub(" ", " ".join(x for x in map(_trim, code.split("\n")) if x)).strip(" ")
+    for pattern in _NUMBERS:
+        code = pattern.sub(lambda m: "$NUM", code)
+    seen: dict[str, str] = {}
+    kept = frozenset(RESERVED)
+    return _NAMES.sub(lambda m: m[0] if m[0] in kept else seen.setdefault(m[0], f"$VAR_{len(seen) + 1}"), code)
 
 
-def replace_names(code: Column) -> Column:
-    """Identifiers become $VAR_k, k by first appearance; reserved ones stay.
+def normalized_code(code: Column) -> Column:
+    """normalize() of each row, in Arrow batches.
 
-    A boundary can't stand before "$", so the placeholders of literals are names
-    too, behind their "$": literals of all kinds normalise alike.
+    Numbering names by first appearance needs a table per text; as array functions
+    it takes time with the square of the text's length.
     """
-    word = rf"({EDGE}[a-zA-Z_$][a-zA-Z0-9_$]*{EDGE}|[\s\S])"
-    tokens = F.regexp_extract_all(code, F.lit(word), F.lit(1))
-    kept = F.array(*[F.lit(x) for x in RESERVED])
 
-    def named(t):
-        return (t.rlike(r"^[a-zA-Z_$][a-zA-Z0-9_$]*$")) & (t != "$") & ~F.array_contains(kept, t)
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(normalize, na_action=None)
 
-    order = F.array_distinct(F.filter(tokens, named))
-    return F.array_join(F.transform(tokens, lambda t: F.when(named(t), F.concat(F.lit("$VAR_"), F.array_position(order, t).cast("string"))).otherwise(t)), "")
+    return run(code)
 
 
-def normalized_code(code: Column) -> Column:
-    """Null and blank code give ''."""
-    out = code
-    for step in (replace_strings, remove_comments, collapse_whitespace, replace_numbers, replace_names):
-        out = step(out)
-    return F.when(F.coalesce(F.length(_strip(code)), F.lit(0)) == 0, F.lit("")).otherwise(out)
+def collapse_whitespace(code: Column) -> Column:
+    lines = F.filter(F.transform(F.split(code, "\n"), _strip), lambda x: F.length(x) > 0)
+    return _strip(F.regexp_replace(F.array_join(lines, " "), f"{_SPACE}+", " "))
 
 
 def hash_of(text: Column) -> Column:

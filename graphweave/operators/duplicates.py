@@ -117,5 +117,5 @@ def greedy_pairs(pairs: DataFrame, structural: DataFrame | None = None) -> DataF
                 keep.append(r)
         return pd.DataFrame(keep, columns=t.columns)
 
-    chosen = rows.groupBy(F.lit(1)).applyInPandas(choose, rows.schema)
+    chosen = rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(lambda t: choose(t.drop(columns="_all")), rows.schema)
     return chosen.withColumn("confidence", semantic_confidence(F.col("similarity"))).withColumn("rounded", F.round("similarity", 3))

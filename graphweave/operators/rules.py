@@ -243,6 +243,7 @@ def rule_edges(nodes: DataFrame, framework: str = "both") -> DataFrame:
 
 def parse_stats(nodes: DataFrame) -> DataFrame:
     """(dimension, value, n): nodes by core type and by semantic type, in one pass."""
-    return nodes.sparkSession.sql(
+    counted = nodes.sparkSession.sql(
         "SELECT CASE WHEN grouping(coreType) = 0 THEN 'coreType' ELSE 'semanticType' END AS dimension, coalesce(coreType, semanticType) AS value, count(*) AS n "
-        "FROM {n} GROUP BY GROUPING SETS ((coreType), (semanticType)) HAVING coalesce(coreType, semanticType) IS NOT NULL", n=nodes.select("coreType", "semanticType"))
+        "FROM {n} GROUP BY GROUPING SETS ((coreType), (semanticType))", n=nodes.select("coreType", "semanticType"))
+    return counted.where("value is not null")
