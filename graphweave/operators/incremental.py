@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .graph import PropertyGraph, with_both_ends
 
 
@@ -20,7 +21,7 @@ def changes(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 def cross_file_edges(g: PropertyGraph, files: DataFrame) -> DataFrame:
     """Edges between a node of the given files (column filePath) and one of others, in either direction."""
-    inside = g.nodes.join(files.select("filePath").distinct(), "filePath", "left_semi").select(F.col("id").alias("n"))
+    inside = cut(g.nodes.join(files.select("filePath").distinct(), "filePath", "left_semi").select(F.col("id").alias("n")))
     a = g.edges.join(inside, g.edges.src == inside.n, "left_semi").join(inside, g.edges.dst == inside.n, "left_anti")
     b = g.edges.join(inside, g.edges.dst == inside.n, "left_semi").join(inside, g.edges.src == inside.n, "left_anti")
     return a.unionByName(b).distinct()
@@ -28,7 +29,7 @@ def cross_file_edges(g: PropertyGraph, files: DataFrame) -> DataFrame:
 
 def without_files(g: PropertyGraph, files: DataFrame) -> PropertyGraph:
     """The graph without the nodes of some files and the edges at them."""
-    gone = g.nodes.join(files.select("filePath").distinct(), "filePath", "left_semi").select(F.col("id").alias("n"))
+    gone = cut(g.nodes.join(files.select("filePath").distinct(), "filePath", "left_semi").select(F.col("id").alias("n")))
     nodes = g.nodes.join(files.select("filePath").distinct(), "filePath", "left_anti")
     edges = g.edges.join(gone, g.edges.src == gone.n, "left_anti").join(gone, g.edges.dst == gone.n, "left_anti")
     return PropertyGraph(nodes, edges)
@@ -49,14 +50,15 @@ def apply(g: PropertyGraph, changed: DataFrame, nodes: DataFrame, edges: DataFra
     """The graph after its changed files were parsed again into ``nodes`` and ``edges``.
 
     Edges over file borders come back if their ends do; found both ways, an edge
-    counts once, by its id.
+    counts once, by its id.  ``edges`` hold no edge between untouched nodes.
     """
-    saved = cross_file_edges(g, changed)
+    saved = cut(cross_file_edges(g, changed))
     rest = without_files(g, changed)
     all_nodes = rest.nodes.unionByName(nodes, allowMissingColumns=True)
-    added = edges.unionByName(recreated(saved, all_nodes), allowMissingColumns=True).dropDuplicates(["edge_id"])
-    fresh = added.join(rest.edges.select("edge_id"), "edge_id", "left_anti")
-    return PropertyGraph(all_nodes, with_both_ends(rest.edges.unionByName(fresh, allowMissingColumns=True), all_nodes))
+    # Only what comes in is checked: edges between untouched nodes keep their ends.
+    added = edges.unionByName(saved, allowMissingColumns=True).dropDuplicates(["edge_id"])
+    fresh = cut(recreated(added, all_nodes))
+    return PropertyGraph(all_nodes, rest.edges.unionByName(fresh, allowMissingColumns=True))
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: list[str], at: str) -> DataFrame:
