@@ -39,29 +39,23 @@ _STEPS = [
     (re.compile(r"/\*[\s\S]*?\*/"), ""),
     (re.compile(rf"//[^{_LINE_END}]*"), ""),
 ]
-_EDGES = (re.compile(f"^{_BLANK}+"), re.compile(f"{_BLANK}+\\Z"), re.compile(f"{_BLANK}+"))
+_RUN = re.compile(f"{_BLANK}+")
 _NUMBERS = [re.compile(rf"\b0{x}n?\b", re.A) for x in ("[xX][0-9a-fA-F_]+", "[bB][01_]+", "[oO][0-7_]+")]
 _NUMBERS.append(re.compile(r"(?<![a-zA-Z_$])\b\d[\d_]*(\.\d[\d_]*)?([eE][+-]?\d[\d_]*)?n?\b", re.A))
 _NAMES = re.compile(r"\b[a-zA-Z_$][a-zA-Z0-9_$]*\b", re.A)
 
 
-def _trim(text: str) -> str:
-    end = _EDGES[1].search(text.rstrip())
-    text = text.rstrip() if end is None else text.rstrip()[: end.start()]
-    return _EDGES[0].sub("", text)
-
-
 def normalize(code: str | None) -> str:
     """Code without comments and layout, literals as placeholders, names as $VAR_k by first appearance.
 
     A boundary can't stand before "$", so the placeholders of literals are names
     too, behind their "$": literals of all kinds normalise alike.
     """
-    if not code or not _trim(code):
+    if not code or not _RUN.sub("", code):
         return ""
     for pattern, by in _STEPS:
         code = pattern.sub(lambda m, by=by: by, code)
-    code = _EDGES[2].sub(" ", " ".join(x for x in map(_trim, code.split("\n")) if x)).strip(" ")
+    code = _RUN.sub(" ", code).strip(" ")
     for pattern in _NUMBERS:
         code = pattern.sub(lambda m: "$NUM", code)
     seen: dict[str, str] = {}
@@ -85,13 +79,14 @@ def normalized_code(code: Column) -> Column:
 
 
 def collapse_whitespace(code: Column) -> Column:
-    lines = F.filter(F.transform(F.split(code, "\n"), _strip), lambda x: F.length(x) > 0)
-    return _strip(F.regexp_replace(F.array_join(lines, " "), f"{_SPACE}+", " "))
+    """Lines trimmed, empty ones dropped, joined by a blank, runs of white space collapsed: in the end, every run is one blank."""
+    return F.trim(F.regexp_replace(code, f"{_SPACE}+", " "))
 
 
 def hash_of(text: Column) -> Column:
-    """SHA-256 in hex; '' of an empty text."""
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit("")).otherwise(F.sha2(text, 256))
+    """SHA-256 in hex; '' of an empty or null text."""
+    empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # of no bytes
+    return F.coalesce(F.nullif(F.sha2(text, 256), F.lit(empty)), F.lit(""))
 
 
 def code_metrics(code: Column) -> dict[str, Column]:

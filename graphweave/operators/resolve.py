@@ -33,15 +33,19 @@ def resolve_names(deferred: DataFrame, nodes: DataFrame) -> DataFrame:
     d = deferred.select("deferred_id", "targetName", "targetType", "targetFilePath")
     n = nodes.select("id", "name", "coreType", "filePath", "seq")
     hit = lambda df, prio, ext=F.lit(0): df.select("deferred_id", "id", F.lit(prio).alias("prio"), ext.alias("ext"), "seq")
-    exact = hit(d.join(n, (d.targetType == n.coreType) & (d.targetName == n.name) & (d.targetFilePath == n.filePath)), 1)
-    by_name = hit(d.where("targetType != 'SourceFile'").join(n, (d.targetType == n.coreType) & (d.targetName == n.name)), 7)
+    # One node a key: a name or a path ending that many nodes share must not multiply rows.
+    one = lambda df, *by: df.groupBy(*by).agg(F.min(F.struct("seq", "id")).alias("x")).select(*by, "x.*")
+    named, placed = one(n, "coreType", "name"), one(n, "coreType", "name", "filePath")
+    exact = hit(d.join(placed, (d.targetType == placed.coreType) & (d.targetName == placed.name) & (d.targetFilePath == placed.filePath)), 1)
+    by_name = hit(d.where("targetType != 'SourceFile'").join(named, (d.targetType == named.coreType) & (d.targetName == named.name)), 7)
     files = n.where("coreType = 'SourceFile'")
     want = d.where("targetType = 'SourceFile'").withColumn("spec", F.coalesce("targetFilePath", "targetName"))
-    same = hit(want.join(files, want.spec == files.filePath), 2)
+    at = one(files, "filePath")
+    same = hit(want.join(at, want.spec == at.filePath), 2)
     # Every ending of a path after a slash is a key; an import without its leading dots must be one of them.
     parts = F.split("filePath", "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    keyed = files.select("id", "seq", F.explode(tails).alias("tail"))
+    keyed = one(files.select("id", "seq", F.explode(tails).alias("tail")), "tail")
     bare = F.regexp_replace("spec", r"^(\.{1,2}/)+", "")
     endings = F.array(*[F.lit(x) for x in EXTENSIONS])
     relative = want.where(F.col("spec").startswith(".") | F.col("spec").startswith("/")).select("deferred_id", F.posexplode(F.transform(endings, lambda e: F.concat(F.ltrim(bare, F.lit("/")), e))).alias("ext", "tail"))
@@ -54,7 +58,7 @@ def resolve_names(deferred: DataFrame, nodes: DataFrame) -> DataFrame:
     inside = hit(subs.select("deferred_id", F.posexplode(F.concat(below, plain)).alias("ext", "tail")).join(keyed, "tail"), 4, F.col("ext"))
     root = F.array(F.concat("package", F.lit("/src/index.ts")), F.concat("package", F.lit("/index.ts")))
     index = hit(scoped.select("deferred_id", F.posexplode(root).alias("ext", "tail")).join(keyed, "tail"), 5, F.col("ext"))
-    folders = files.select("id", "seq", F.explode(F.array_distinct(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))))).alias("package"))
+    folders = one(files.select("id", "seq", F.explode(F.array_distinct(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))))).alias("package")), "package")
     any_file = hit(scoped.join(folders, "package"), 6)
     hits = exact.unionByName(same).unionByName(suffix).unionByName(inside).unionByName(index).unionByName(any_file).unionByName(by_name)
     return _best(hits).select("deferred_id", "id", "prio")
@@ -82,7 +86,7 @@ def resolve_calls(deferred: DataFrame, nodes: DataFrame) -> DataFrame:
     hits = hits.unionByName(hit(d.join(methods, (F.col("receiverType") == F.col("cls")) & (F.col("targetName") == F.col("m"))), 2))
     hits = hits.unionByName(hit(d.where("targetType = 'ConstructorDeclaration'").join(constructors, F.col("targetName") == F.col("cls")), 3))
     hits = hits.unionByName(hit(d.where("targetType = 'FunctionDeclaration'").join(functions, F.col("targetName") == F.col("m")), 4))
-    by_name = nodes.select(F.col("name").alias("m"), F.col("coreType").alias("t"), "id", "seq")
+    by_name = nodes.groupBy(F.col("name").alias("m"), F.col("coreType").alias("t")).agg(F.min(F.struct("seq", "id")).alias("x")).select("m", "t", "x.*")
     hits = hits.unionByName(hit(d.join(by_name, (F.col("targetName") == F.col("m")) & (F.col("targetType") == F.col("t"))), 5))
     return _best(hits).select("deferred_id", "id", "prio")
 

@@ -15,6 +15,7 @@ from .functions import text as T
 from .operators import deadcode, duplicates, graph, impact, incremental, markers, messages, resolve, rules, search, sessions, tasks
 from .sources import fixtures as X
 from .sources import workspace
+from .storage import cut
 from .streaming import events as stream
 
 QUERIES: dict = {}
@@ -367,9 +368,10 @@ _CODE = f"WITH n AS (SELECT concat('D:', doc_id) AS id, concat('doc', doc_id) AS
 
 
 def _code_nodes(spark, sf_dir):
+    """Documents as functions of a stored graph, where hashes are columns."""
     d = X.table(spark, sf_dir, "documents")
     path = F.concat(F.lit("/apps/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".ts"))
-    return d.select(F.concat(F.lit("D:"), "doc_id").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("name"), F.lit("FunctionDeclaration").alias("coreType"), path.alias("filePath"), F.col("doc_id").cast("int").alias("startLine"), T.hash_of(T.collapse_whitespace(F.col("text"))).alias("normalizedHash"))
+    return cut(d.select(F.concat(F.lit("D:"), "doc_id").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("name"), F.lit("FunctionDeclaration").alias("coreType"), path.alias("filePath"), F.col("doc_id").cast("int").alias("startLine"), T.hash_of(T.collapse_whitespace(F.col("text"))).alias("normalizedHash")))
 
 
 @query(f"{_CODE} SELECT id, h AS normalizedHash, count(*) OVER (PARTITION BY h) AS group_size FROM n WHERE length(h) > 0 QUALIFY count(*) OVER (PARTITION BY h) >= 2")
