@@ -40,12 +40,16 @@ LEAST_BODY = 15
 _NOT_CALLS = frozenset("if for while switch catch return function super typeof await new throw constructor of in do else".split())
 _NAME = r"[A-Za-z_$][\w$]*"
 
-NODE_SCHEMA = (
-    "kind string, id string, projectId string, name string, coreType string, labels array<string>, filePath string, startLine int, endLine int, sourceCode string, isExported boolean, "
-    "visibility string, isAsync boolean, parentClassName string, typeAnnotation string, decorators array<string>, extendsName string, constructorTypes array<string>, seq long, "
-    "edgeType string, src string, dst string, targetName string, targetType string, targetFilePath string, receiverExpression string, receiverType string, receiverPropertyName string"
-)
-_COLUMNS = [c.split()[0] for c in NODE_SCHEMA.replace(", ", ",").split(",")]
+_ROUTE = "struct<method:string,path:string,controllerName:string,handler:string,authenticated:boolean>"
+#: Columns of nodes, then those of edges and deferred edges.
+_NODE_COLUMNS = {
+    "id": "string", "projectId": "string", "name": "string", "coreType": "string", "labels": "array<string>", "filePath": "string", "startLine": "int", "endLine": "int", "sourceCode": "string", "isExported": "boolean",
+    "visibility": "string", "isAsync": "boolean", "isStatic": "boolean", "parentClassName": "string", "typeAnnotation": "string", "decorators": "array<string>", "decoratorArgs": "map<string,array<string>>", "extendsName": "string",
+    "constructorTypes": "array<string>", "injectTokens": "map<int,string>", "propertyTypes": "array<string>", "routes": f"array<{_ROUTE}>", "seq": "long",
+}
+_EDGE_COLUMNS = dict.fromkeys("edgeType src dst targetName targetType targetFilePath receiverExpression receiverType receiverPropertyName".split(), "string")
+_ALL = {"kind": "string"} | _NODE_COLUMNS | _EDGE_COLUMNS
+NODE_SCHEMA = ", ".join(f"{c} {t}" for c, t in _ALL.items())
 # Labels of the core types.
 LABELS = {
     "SourceFile": ["SourceFile", "TypeScript"], "ClassDeclaration": ["Class", "TypeScript"], "MethodDeclaration": ["Method", "TypeScript"], "PropertyDeclaration": ["Property", "TypeScript"],
@@ -129,7 +133,7 @@ class File:
         for m in re.finditer(head + rf"(?P<what>class|interface|enum|function\*?|type|const|let|var)\s+(?P<name>{_NAME})", flat):
             start = m.start() + len(m[0]) - len(m[0].lstrip())
             name, what, exported = m["name"], m["what"], "export" in m["mods"].split()
-            more = {"isExported": exported, "decorators": self.decorators(m.start("deco"), m.end("deco"))}
+            more = {"isExported": exported} | self.named(self.decorators(m.start("deco"), m.end("deco")))
             if what in ("class", "interface", "enum"):
                 brace = self.text.find("{", m.end())
                 if brace < 0:
@@ -162,7 +166,7 @@ class File:
                 end = self.statement_end(m.end())
                 kind = re.match(r"\s*:\s*([^=;]+)", self.text[m.end() : end])
                 # A variable's own default wins over what its statement says: it never counts as exported.
-                self.node("VariableDeclaration", name, start, end, root, "CONTAINS", isExported=False, typeAnnotation=kind[1].strip() if kind else None)
+                self.node("VariableDeclaration", name, start, end, root, "CONTAINS", isExported=False, typeAnnotation=kind[1].strip() if kind else None, routes=self.route_list(m.end(), end))
         return self.rows
 
     def top_level(self) -> str:
@@ -189,8 +193,20 @@ class File:
                 return i + 1
         return len(self.text)
 
-    def decorators(self, a: int, b: int) -> list[str]:
-        return re.findall(rf"@({_NAME})", self.text[a:b])
+    def decorators(self, a: int, b: int) -> list[tuple[str, list[str]]]:
+        """(name, arguments) of the decorators between two positions."""
+        out, at = [], a
+        while m := re.compile(rf"@({_NAME}(?:\.{_NAME})*)\s*").search(self.text, at, b):
+            at, args = m.end(), []
+            if at < len(self.text) and self.text[at] == "(":
+                end = closing(self.text, at)
+                args, at = pieces(self.code[at + 1 : end - 1]), end
+            out.append((m[1], args))
+        return out
+
+    @staticmethod
+    def named(decorators: list[tuple[str, list[str]]]) -> dict:
+        return {"decorators": [d for d, _ in decorators], "decoratorArgs": dict(reversed(decorators))}
 
     def imports(self, root: str):
         for m in re.finditer(r"(?m)^\s*import\b[^;'\"]*['\"]([^'\"\n]+)['\"]\s*;?", self.code):
@@ -214,7 +230,10 @@ class File:
         members = list(self.members(inside.start, inside.stop))
         ctor = next((x for x in members if x[0] == "constructor"), None)
         types = self.parameter_types(ctor[2], ctor[3]) if ctor else []
-        own = self.node("ClassDeclaration", name, start, end, root, "CONTAINS", extendsName=base and base[1], constructorTypes=[t for _, t in types], **more)
+        held = [t for x in members if x[0] == "property" for t in re.findall(rf"^\s*[?!]?\s*:\s*({_NAME}[^=;\n]*?)\s*(?:[=;\n]|$)|=\s*new\s+({_NAME})", self.text[x[2] : x[3]])]
+        held = [a or b for a, b in held] + [t for _, t in types]
+        tokens = self.inject_tokens(ctor[2]) if ctor else {}
+        own = self.node("ClassDeclaration", name, start, end, root, "CONTAINS", extendsName=base and base[1], constructorTypes=[t for _, t in types], propertyTypes=held, injectTokens=tokens, **more)
         for d in more["decorators"]:
             self.node("Decorator", d, start, start + 1, own, "DECORATED_WITH")
         if base:
@@ -226,7 +245,7 @@ class File:
         fields |= {x[1]: bare_type(t[1]) for x in members if x[0] == "property" and (t := re.match(rf"\s*[?!]?\s*:\s*({_NAME}[\w$.<>\[\]]*)", self.text[x[2] : x[3]]))}
         for what, label, a, b, s, mods, decos in members:
             visibility = next((v for v in ("private", "protected", "public") if v in mods), "public")
-            extra = {"visibility": visibility, "parentClassName": name, "decorators": decos}
+            extra = {"visibility": visibility, "parentClassName": name, "isStatic": "static" in mods} | self.named(decos)
             if what == "property":
                 m = re.match(r"\s*[?!]?\s*:\s*([^=;]+)", self.text[a:b])
                 it = self.node("PropertyDeclaration", label, s, b, own, "HAS_MEMBER", typeAnnotation=m and m[1].strip(), **extra)
@@ -237,7 +256,7 @@ class File:
                 it = self.node(core, label, s, b, own, "HAS_MEMBER", isAsync="async" in mods, **extra)
                 self.parameters(it, a, after)
                 self.calls(it, body, b, fields)
-            for d in decos:
+            for d, _ in decos:
                 self.node("Decorator", d, s, s + 1, it, "DECORATED_WITH")
 
     def members(self, a: int, b: int) -> Iterator[tuple]:
@@ -248,10 +267,10 @@ class File:
             decos, first = [], None
             while m := re.match(rf"\s*@({_NAME}(?:\.{_NAME})*)", self.text[at:b]):
                 first = at + len(m[0]) - len(m[0].lstrip()) if first is None else first
-                decos.append(m[1])
-                at += m.end()
+                start, at = at, at + m.end()
                 if at < b and self.text[at] == "(":
                     at = closing(self.text, at)
+                decos += self.decorators(start, at)[:1]
             m = word.match(self.text, at, b)
             if not m or not m["name"]:
                 skip = re.compile(r"[\s;]+|.").match(self.text, at, b)
@@ -298,6 +317,28 @@ class File:
                 out.append((m[1], bare_type(m[2])))
         return out
 
+    def inject_tokens(self, paren: int) -> dict[int, str]:
+        """Token of each constructor parameter with @Inject, by position."""
+        out = {}
+        for i, p in enumerate(pieces(self.code[paren + 1 : closing(self.text, paren) - 1])):
+            if m := re.search(r"@Inject\(\s*([^)]*?)\s*\)", p):
+                out[i] = m[1].strip("'\"`")
+        return out
+
+    def route_list(self, a: int, b: int) -> list[dict] | None:
+        """Objects with method and path in the array that a variable starts with."""
+        at = self.text.find("[", self.text.find("=", a, b) + 1, b) if "=" in self.text[a:b] else -1
+        if at < 0:
+            return None
+        out = []
+        for part in pieces(self.code[at + 1 : closing(self.text, at) - 1]):
+            if part.startswith("{"):
+                found = dict(m.groups() for x in pieces(part[1:-1]) if (m := re.match(rf"\s*['\"]?({_NAME})['\"]?\s*:\s*([\s\S]+)", x)))
+                plain = lambda k: re.sub("['\"]", "", found[k]) if k in found else None
+                if found.get("method") and found.get("path"):
+                    out.append({"method": plain("method"), "path": plain("path"), "controllerName": found.get("controller"), "handler": plain("handler"), "authenticated": found["authenticated"] == "true" if "authenticated" in found else None})
+        return out
+
     def parameters(self, own: str, paren: int, end: int):
         at = paren + 1
         for p in pieces(self.text[paren + 1 : end - 1]):
@@ -344,7 +385,7 @@ def parse_files(files: DataFrame, project: str) -> DataFrame:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 rows += File(path, bytes(content).decode("utf-8", "replace"), project).parse()
-            out = pd.DataFrame(rows, columns=_COLUMNS).astype(object)
+            out = pd.DataFrame(rows, columns=list(_ALL)).astype(object)
             yield out.where(pd.notna(out), None)
 
     return files.select(plain_path(F.col("path")).alias("path"), "content").mapInPandas(run, NODE_SCHEMA)
@@ -355,7 +396,7 @@ def build_graph(files: DataFrame, project: str, existing: PropertyGraph | None =
     from ..storage import cut
 
     rows = cut(parse_files(files, project))
-    raw = rows.where("kind = 'node'").select(*_COLUMNS[1:19])
+    raw = rows.where("kind = 'node'").select(*_NODE_COLUMNS)
     by_order = F.struct("filePath", "seq")
     rest = [c for c in raw.columns if c != "id"]
     nodes = raw.groupBy("id").agg(F.max_by(F.struct(*rest), by_order).alias("x")).select("id", "x.*")
