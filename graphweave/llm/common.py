@@ -123,7 +123,7 @@ def words_of(texts: list[bytes]):
     return hash_runs(data[keep], lens), doc
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
+def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Slices of a batch with about so many bytes of text: (first row, texts in UTF-8; null is empty)."""
     col = batch.column(column).cast(pa.binary())
     texts, size, first = [], 0, 0
