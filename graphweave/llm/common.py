@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, shared_dir
+
 #: A word is a run of bytes other than blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -34,38 +33,6 @@ def remainder(col, n: int):
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-# ---------------------------------------------------------------- checkpoints
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where the session has none."""
-    sc = spark.sparkContext
-    there = sc._jsc.sc().getCheckpointDir()
-    if there.isDefined():
-        return there.get()
-    wanted = spark.conf.get("spark.checkpoint.dir", None)
-    if not wanted:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        wanted = tempfile.mkdtemp(prefix="graphweave-")
-    sc.setCheckpointDir(wanted)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), as a Parquet table: for wide rows of which later steps read some columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # ---------------------------------------------------------------- words in numpy
 
 _SPACE = np.zeros(256, bool)
