@@ -832,3 +832,192 @@ def p38_embedding_text(spark, sf_dir):
 @query("SELECT lang, count(*) AS n, max(n_chars) AS longest FROM documents GROUP BY 1")
 def s11_tracked_files(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").groupBy("lang").agg(_n(), F.max("n_chars").alias("longest"))
+
+
+# ---------------------------------------------------------------- more of sources, rules and coordination
+
+
+@query(r"SELECT page_id, contains(url, '/1') OR regexp_matches(url, '2$') OR contains(url, '2$') OR contains(url, '([') AS skipped FROM pages")
+def s2_skipped_files(spark, sf_dir):
+    """Patterns as literals and as expressions; the last one is no expression."""
+    return X.table(spark, sf_dir, "pages").select("page_id", T.skipped_file(F.col("url"), ["/1", "2$", "(["]).alias("skipped"))
+
+
+@query("SELECT n_name AS name, CASE WHEN n_nationkey = 7 THEN 'complete' ELSE 'parsing' END AS status, CAST(CASE WHEN n_nationkey = 7 THEN 9 ELSE 1 END AS BIGINT) AS updatedAt, CAST(CASE WHEN n_nationkey = 7 THEN 42 ELSE 0 END AS BIGINT) AS nodeCount FROM nation")
+def w10_project_status(spark, sf_dir):
+    p = X.table(spark, sf_dir, "nation").select(F.concat(F.lit("p"), "n_nationkey").alias("projectId"), F.col("n_name").alias("name"), F.lit("parsing").alias("status"), F.lit(1).cast("long").alias("updatedAt"), F.lit(0).cast("long").alias("nodeCount"))
+    done = incremental.project_status(p, "p7", "complete", 9, nodes=42)
+    return incremental.project_status(done, "unknown", "failed", 10).select("name", "status", "updatedAt", "nodeCount")
+
+
+@query("""SELECT event_id, '{"user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS who, event_type FROM events""")
+def w12_flattened(spark, sf_dir):
+    from .sources.files import flattened
+
+    return flattened(X.table(spark, sf_dir, "events").select("event_id", F.struct("user_id", "event_type").alias("who"), "event_type"))
+
+
+@query("""SELECT 'CONTAINS:' || substr(sha256('CONTAINS::' || concat('N:', n_nationkey) || '::' || concat('R:', n_regionkey)), 1, 16) AS edge_id, 0.4::DOUBLE AS relationshipWeight, 1.0::DOUBLE AS confidence FROM nation""")
+def p15_core_edges(spark, sf_dir):
+    pairs = X.table(spark, sf_dir, "nation").select(F.lit("CONTAINS").alias("type"), F.concat(F.lit("N:"), "n_nationkey").alias("src"), F.concat(F.lit("R:"), "n_regionkey").alias("dst"))
+    return resolve.core_edges(pairs, graph.EDGE_WEIGHTS).select("edge_id", "relationshipWeight", "confidence")
+
+
+@query("SELECT o_orderstatus AS context_key, CAST(o_custkey % 10 AS VARCHAR) AS map_key, CAST(max(o_orderkey) AS VARCHAR) AS value FROM orders GROUP BY 1, 2")
+def p34_merged_context(spark, sf_dir):
+    o = X.table(spark, sf_dir, "orders")
+    return resolve.merged_context(o.select(F.col("o_orderstatus").alias("context_key"), (F.col("o_custkey") % 10).cast("string").alias("map_key"), F.col("o_orderkey").cast("string").alias("value"), F.col("o_orderkey").alias("seq")))
+
+
+@query("SELECT o_custkey AS id, max(o_orderkey) AS seq FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) GROUP BY 1")
+def p35_new_only(spark, sf_dir):
+    """Customers of stored nations are there already; of the others the last order counts."""
+    there = X.table(spark, sf_dir, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("id"))
+    return resolve.new_only(X.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq")), there).select("id", "seq")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS deferred_id, CASE p_partkey % 2 WHEN 0 THEN 'MailProvider' ELSE 'UserRepository' END AS \"receiverType\" FROM part")
+def p9_property_types(spark, sf_dir):
+    p = X.table(spark, sf_dir, "part")
+    calls = p.select(F.col("p_partkey").cast("string").alias("deferred_id"), F.lit("c").alias("classId"), F.when(F.col("p_partkey") % 2 == 0, "mailService").otherwise("userRepo").alias("receiverPropertyName"))
+    types = spark.createDataFrame([("c", "MailProvider", 0), ("c", "UserRepository", 1), ("c", "MailerService", 2)], "classId string, typeName string, pos int")
+    return resolve.property_types(calls, types)
+
+
+def _framework(spark, sf_dir):
+    """A controller, a method and a service for every part, one of five in another file."""
+    p = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    none = F.lit(None).cast("string")
+    word = lambda x: F.concat(F.lit(x), "k")
+    c = p.select(word("C").alias("id"), word("K").alias("name"), F.lit("ClassDeclaration").alias("coreType"), F.lit("NestController").alias("semanticType"), word("/f").alias("filePath"), none.alias("parentClassName"), F.concat(F.lit("/b"), "k", F.lit("/")).alias("basePath"), none.alias("httpMethod"), none.alias("path"))
+    m = p.select(word("M").alias("id"), word("m").alias("name"), F.lit("MethodDeclaration").alias("coreType"), F.when(F.col("k") % 2 == 0, "HttpEndpoint").otherwise("MessageHandler").alias("semanticType"), F.when(F.col("k") % 5 == 0, "/other").otherwise(word("/f")).alias("filePath"), word("K").alias("parentClassName"), none.alias("basePath"), F.lit("GET").alias("httpMethod"), F.lit("/:id").alias("path"))
+    return c.unionByName(m).withColumn("statusCode", F.lit(None).cast("int"))
+
+
+@query("""SELECT 'C' || p_partkey AS src, 'M' || p_partkey AS dst, CASE WHEN p_partkey % 2 = 0 THEN '/b' || p_partkey || '/:id' END AS "fullPath" FROM part WHERE p_partkey % 5 <> 0""")
+def p23_exposes(spark, sf_dir):
+    """And p24: message handlers and HTTP endpoints of the controller's class and file."""
+    return rules.nest_exposes(_framework(spark, sf_dir)).select("src", "dst", F.get_json_object("context", "$.fullPath").alias("fullPath"))
+
+
+def _custom(spark, sf_dir):
+    """Parts as classes in turn: controller, permission manager, service, repository, routes."""
+    p = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    kind = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("k") % 5).cast("int"))
+    name = F.concat(F.lit("X"), "k")
+    near = lambda d: F.concat(F.lit("'X"), F.col("k") + d, F.lit("'"))
+    route = F.struct(F.lit("GET").alias("method"), F.concat(F.lit("/"), "k").alias("path"), F.concat(F.lit("X"), F.col("k") + 1).alias("controllerName"), F.lit("run").alias("handler"), F.lit(True).alias("authenticated"))
+    classes = p.select(
+        F.concat(F.lit("I"), "k").alias("id"), name.alias("name"), F.lit("ClassDeclaration").alias("coreType"), kind("Controller", "PermissionManager", "Service", "Repository", "RouteDefinition").alias("semanticType"), F.lit("/x.ts").alias("filePath"),
+        F.lit(None).cast("string").alias("parentClassName"), F.when(F.col("k") % 5 == 0, near(1)).alias("permissionManager"), F.array(near(1)).alias("dependencies"), F.array().cast("array<string>").alias("propertyTypes"), F.array(route).alias("routes"), F.lit("public").alias("visibility"),
+    )
+    methods = p.where("k % 5 = 0").select(F.concat(F.lit("R"), "k").alias("id"), F.lit("run").alias("name"), F.lit("MethodDeclaration").alias("coreType"), F.lit("/x.ts").alias("filePath"), name.alias("parentClassName"), F.lit("public").alias("visibility"))
+    return classes.unionByName(methods, allowMissingColumns=True)
+
+
+_NEXT = "SELECT p_partkey AS k FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part)"
+
+
+@query(f"SELECT 'I' || k AS src, 'I' || (k + 1) AS dst FROM ({_NEXT})")
+def p25_custom_injects(spark, sf_dir):
+    return rules.custom_injects(_custom(spark, sf_dir)).select("src", "dst")
+
+
+@query(f"SELECT 'I' || k AS src, 'I' || (k + 1) AS dst, 0.88::DOUBLE AS w FROM ({_NEXT}) WHERE k % 5 = 0")
+def p27_protected_by(spark, sf_dir):
+    return rules.protected_by(_custom(spark, sf_dir)).select("src", "dst", F.col("relationshipWeight").alias("w"))
+
+
+@query(f"SELECT 'I' || k AS src, 'I' || (k + 1) AS dst, '/' || k AS path FROM ({_NEXT}) WHERE k % 5 = 4")
+def p28_routes_to(spark, sf_dir):
+    return rules.routes_to(_custom(spark, sf_dir)).select("src", "dst", F.get_json_object("context", "$.paths[0]").alias("path"))
+
+
+@query(f"SELECT 'I' || k AS src, 'R' || (k + 1) AS dst FROM ({_NEXT}) WHERE k % 5 = 4")
+def p29_routes_to_handler(spark, sf_dir):
+    return rules.routes_to_handler(_custom(spark, sf_dir)).select("src", "dst")
+
+
+@query(f"SELECT 'I' || k AS src, 'I' || (k + 1) AS dst FROM ({_NEXT}) WHERE k % 5 = 2")
+def p30_uses_repository(spark, sf_dir):
+    return rules.uses_repository(_custom(spark, sf_dir)).select("src", "dst")
+
+
+@query(f"{_GRAPH} SELECT DISTINCT id FROM nodes WHERE filePath LIKE '%/1/Customer' OR filePath LIKE '%/cust/7' UNION SELECT '/1/Customer' UNION SELECT '/cust/7'")
+def h5_nodes_of_files(spark, sf_dir):
+    return markers.nodes_of_files(X.graph(spark, sf_dir).nodes, spark.createDataFrame([("/1/Customer",), ("/cust/7",)], "path string"))
+
+
+@query(f"SELECT type, count(*) AS n FROM ({_MARKERS}) WHERE NOT (nodeId = 'k1' AND agentId = 'a1' AND type = 'exploring') GROUP BY 1")
+def h8_removed(spark, sf_dir):
+    return markers.removed(X.markers(spark, sf_dir), "k1", "a1", "s1", "exploring").groupBy("type").agg(_n())
+
+
+_PARTS2 = "WITH p AS (SELECT c_custkey AS k, '/c/' || c_custkey AS f, '/c/' || (c_custkey * 2) AS t, CASE c_custkey % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' ELSE 'LOW' END AS level FROM customer), d AS (SELECT f, t FROM p WHERE f <> t AND t IN (SELECT f FROM p))"
+
+
+def _customer_parts(spark, sf_dir):
+    c = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    level = F.when(F.col("k") % 4 == 0, "CRITICAL").when(F.col("k") % 4 == 1, "HIGH").otherwise("LOW")
+    file = lambda x: F.concat(F.lit("/c/"), x.cast("string"))
+    return c.select(file(F.col("k")).alias("filePath"), level.alias("level"), F.array(file(F.col("k") * 2), file(F.col("k"))).alias("affected"))
+
+
+@query(f'{_PARTS2} SELECT f AS "filePath", t AS "dependsOn" FROM d')
+def t13_dependencies(spark, sf_dir):
+    return tasks.dependencies(_customer_parts(spark, sf_dir)).select("filePath", "dependsOn")
+
+
+@query(f"{_PARTS2} SELECT round(CAST(least(count(*) / 10.0, 3.0) + 1.5 * count(*) FILTER (level = 'CRITICAL') + 0.5 * count(*) FILTER (level = 'HIGH') + 0.3 * 1 AS DOUBLE), 6) AS score, 'HIGH' AS complexity FROM p")
+def t15_complexity(spark, sf_dir):
+    p = _customer_parts(spark, sf_dir)
+    return tasks.complexity(p, tasks.dependencies(p)).select(F.round("score", 6).alias("score"), "complexity")
+
+
+@query(f"""{_PARTS2} SELECT f AS "filePath" FROM p WHERE f NOT IN ('/c/2', '/c/4') AND f NOT IN (SELECT f FROM d WHERE t NOT IN ('/c/2', '/c/4'))""")
+def t16_parallelisable(spark, sf_dir):
+    p = _customer_parts(spark, sf_dir)
+    return tasks.parallelisable(p, tasks.dependencies(p), ["/c/2", "/c/4"]).select("filePath")
+
+
+_STATES = "CASE event_type WHEN 'click' THEN 'working' WHEN 'view' THEN 'claiming' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'idle' ELSE 'failed' END"
+
+
+@query(f"""WITH l AS (SELECT user_id, arg_max({_STATES}, epoch_us(ts)) AS s, max(epoch_us(ts)) AS seen FROM events GROUP BY 1), w AS (SELECT CASE WHEN s IN ('claiming', 'working') AND {NOW} - seen > 86400000000 THEN 'timeout' ELSE s END AS s FROM l)
+SELECT count(*) AS total, count(*) FILTER (s IN ('working', 'claiming')) AS active, count(*) FILTER (s = 'idle') AS idle, count(*) FILTER (s = 'timeout') AS timed_out FROM w""")
+def a19_worker_stats(spark, sf_dir):
+    """And t17: the latest state of each worker, a day of silence being too long."""
+    state = F.expr(_STATES)
+    e = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("workerId"), state.alias("state"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return tasks.worker_stats(tasks.workers(e, NOW, 86_400_000_000))
+
+
+@query(f"""{_GRAPH}, b AS (SELECT unnest(['P:1', 'C:2', 'gone', 'P:2']) AS id) SELECT b.id, n.id IS NOT NULL AS found, n.filePath AS "filePath" FROM b LEFT JOIN nodes n ON n.id = b.id""")
+def k2_working_set(spark, sf_dir):
+    b = spark.createDataFrame([(["P:1", "C:2", "gone", "P:2"],)], "workingSetNodeIds array<string>")
+    return sessions.working_set(b, X.graph(spark, sf_dir).nodes).select("id", "found", "filePath")
+
+
+@query(f"{_ROWS} SELECT id FROM b WHERE (expiresAt IS NULL OR expiresAt > 1) AND sessionId = 3 ORDER BY createdAt, id LIMIT 50")
+def k5_session_notes(spark, sf_dir):
+    return sessions.recall(_bookmarks(spark, sf_dir), 1, 50, oldest_first=True, sessionId=3).select("id")
+
+
+@query(f"{_CODE}, g AS (SELECT h, count(*) AS k FROM n WHERE length(h) > 0 GROUP BY 1 HAVING count(*) >= 2) SELECT 'structural' AS type, count(*) AS groups, CAST(sum(k) AS BIGINT) AS items FROM g HAVING count(*) > 0")
+def d15_duplicate_stats(spark, sf_dir):
+    g = duplicates.structural_groups(duplicates.structural_items(_code_nodes(spark, sf_dir)))
+    return g.groupBy("type").agg(_n("groups"), F.sum("n_items").alias("items"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM e), l AS (SELECT user_id, g, event_id % 3 AS f, arg_max(event_type, ts) AS t FROM g GROUP BY ALL)
+SELECT CAST(user_id AS VARCHAR) AS "projectId", '/' || f || '.ts' AS "filePath", CASE WHEN t = 'error' THEN 'deleted' ELSE 'changed' END AS change, count(*) AS n FROM l GROUP BY ALL""")
+def v3_batch_changes(spark, sf_dir):
+    """The last event of each file in every debounced batch; errors stand for unlinked files."""
+    e = X.table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "unlink").otherwise("change")
+    rows = e.select(F.col("user_id").cast("string").alias("who"), kind.alias("type"), F.concat(F.lit("/"), (F.col("event_id") % 3).cast("string"), F.lit(".ts")).alias("filePath"), F.col("ts").cast("timestamp").alias("ts"))
+    batches = stream.debounced(rows.withColumnRenamed("who", "projectId"), "2 hours")
+    one = batches.withColumn("projectId", F.concat_ws("|", "projectId", F.unix_micros("first").cast("string")))
+    last = stream.latest_changes(one)
+    return last.groupBy(F.substring_index("projectId", "|", 1).alias("projectId"), "filePath", "change").agg(_n())
