@@ -80,25 +80,27 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
     cut after a word; its n_chars follows.  Documents without words are not part
     of a mix by words and go.
     """
-    columns = docs.columns
+    # Columns by position while internal ones are about, whatever their names are.
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    text = at["text"]
 
-    def row_key(mark):
-        named = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("doc_id", "source")]
+    def row_key(doc_id, source, mark):
+        named = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (doc_id, source)]
         return F.md5(F.concat_ws("\x00", *named, mark).cast("binary"))
 
-    chosen = plan(docs, most=most).where("taken > 0").select(row_key(F.col("mark")).alias("_key"), "size", "taken")
+    chosen = plan(docs, most=most).where("taken > 0").select(row_key("doc_id", "source", F.col("mark")).alias("_key"), "size", "taken")
     chosen = chosen.groupBy("_key").agg(F.max("size").alias("_size"), F.sort_array(F.collect_list("taken"), False).alias("_all"))
-    mark = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = docs.withColumn("_key", row_key(mark))
+    mark = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    rows = docs.toDF(*at.values()).withColumn("_key", row_key(at["doc_id"], at["source"], mark))
     rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0))))
     rows = rows.join(chosen, "_key").withColumn("_taken", F.get("_all", F.col("_nth") - 1)).where("_taken > 0")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
     words = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
     rows = rows.withColumn("_words", words).withColumn("_cut", F.col("_words") < F.col("_size"))
     # The words up to the budget's end, with the blanks before each.
-    parts = F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
+    parts = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     short = F.array_join(F.slice(parts, F.lit(1), F.col("_words").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("_cut"), short).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
+    rows = rows.withColumn(text, F.when(F.col("_cut"), short).otherwise(F.col(text)))
+    if "n_chars" in at:
+        rows = rows.withColumn(at["n_chars"], F.when(F.col("_cut"), F.length(text).cast("long")).otherwise(F.col(at["n_chars"])))
+    return rows.select(*at.values()).toDF(*docs.columns)

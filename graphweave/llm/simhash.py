@@ -118,7 +118,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     first = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "mark")).alias("first"))
     kept = first.join(found, "fp").groupBy("component").agg(F.min("first").alias("first"))
     kept = C.cut(kept.select(F.col("first.id").alias("_id"), F.col("first.mark").alias("_mark")))
-    marked = docs.withColumn("_id0", F.coalesce(F.col(id_col).cast("long"), last)).withColumn("_mark0", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    # Columns by position while internal ones are about, whatever their names are.
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    marked = docs.toDF(*at.values()).withColumn("_id0", F.coalesce(F.col(at[id_col]).cast("long"), last)).withColumn("_mark0", F.xxhash64(F.coalesce(F.col(at[text_col]), F.lit(""))))
     met = marked.join(kept, (F.col("_id0") == F.col("_id")) & (F.col("_mark0") == F.col("_mark")))
     met = met.withColumn("_nth", F.row_number().over(W.partitionBy("_id0", "_mark0").orderBy(F.lit(0))))
-    return met.where("_nth = 1").select(*docs.columns)
+    return met.where("_nth = 1").select(*at.values()).toDF(*docs.columns)

@@ -31,7 +31,7 @@ def docs(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(odd_rows(), SCHEMA)
-    return df.select("*", *[F.lit(1).alias(c) for c in ("fp", "size", "mark", "uid", "h", "line", "doc", "ids", "score", "key", "_text")]).repartition(3)
+    return df.select("*", *[F.lit(1).alias(c) for c in ("fp", "size", "mark", "uid", "h", "line", "doc", "ids", "score", "key", "_text", "_id", "_mark", "_key", "_nth", "_size", "c0")]).repartition(3)
 
 
 @pytest.fixture(scope="module")
