@@ -5,9 +5,12 @@ The texts are SQL that both engines run, so that oracles start from the same row
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import PropertyGraph
+from ..storage import shared_dir
 
 PROJECT = "proj_6b02d0f4a6f1"
 
@@ -94,11 +97,25 @@ def oracle_text(text: str, **words: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", text)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The fixture graph as a stored one, written to the shared folder at first use by a session.
+
+    Edges are partitioned by type and sorted by source, so that filters by type and
+    by a frontier of ids prune files and row groups.
+    """
     from pyspark.sql import functions as F
 
-    nodes = build(spark, sf_dir, NODES).withColumn("labels", F.array("coreType", F.lit("GraphNode")))
-    return PropertyGraph(nodes, build(spark, sf_dir, EDGES))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+        nodes = build(spark, sf_dir, NODES).withColumn("labels", F.array("coreType", F.lit("GraphNode")))
+        nodes.write.parquet(f"{path}/nodes")
+        build(spark, sf_dir, EDGES).sortWithinPartitions("type", "src").write.partitionBy("type").parquet(f"{path}/edges")
+        _STORED[key] = path
+    return PropertyGraph(spark.read.parquet(f"{_STORED[key]}/nodes"), spark.read.parquet(f"{_STORED[key]}/edges"))
 
 
 def markers(spark, sf_dir):
