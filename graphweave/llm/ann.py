@@ -193,7 +193,7 @@ def candidates(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
 
 
 def _curve_stage(rows, dim, k, n_curves, tile):
-    sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    sample = C.smallest_hashes(rows.select("vec_id", "v"), "vec_id", SAMPLE).toArrow()
     curves = Curves(V.matrix(sample.column("v"), dim), n_curves)
     ranked = ranked_rows(rows, curves, dim)
     return ranked, C.cut(window_candidates(ranked, dim, k, tile))

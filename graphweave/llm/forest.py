@@ -159,7 +159,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
         return alone
     classes = C.cut(fine.select("vec_id", "v", h1, h2).groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
     total = classes.count()
-    sample = classes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()
+    sample = C.smallest_hashes(classes.select("rep", "v"), "rep", SAMPLE).toArrow()
     shared = classes.sparkSession.sparkContext.broadcast(Forest(_unit(V.matrix(sample.column("v"), dim)), total, least, trees, leaf))
 
     def sizes(batches):

@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isNotNull())
     known = known.where(C.remainder(F.col("_id"), 3) != 1).groupBy("_id").agg((F.avg("_label") >= 0.5).cast("int").alias("_label"))
-    picked = C.cut(known.orderBy(F.xxhash64("_id"), "_id").limit(sample))
+    picked = C.cut(C.smallest_hashes(C.cut(known), "_id", sample))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
 
     def run(batches):

@@ -70,6 +70,15 @@ def test_chunks_cover_all_rows():
     assert all(sum(len(t) for _, t in got[:k]) == i for k, (i, _) in enumerate(got))
 
 
+def test_smallest_hashes_are_the_same_with_a_bound(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(9000).withColumn("same", F.lit(7))
+    want = [r.id for r in rows.orderBy(F.xxhash64("id"), "id").limit(300).collect()]
+    assert [r.id for r in C.smallest_hashes(rows, "id", 300).collect()] == want
+    assert C.smallest_hashes(rows, "same", 300).count() == 300 and C.smallest_hashes(rows.limit(5), "id", 300).count() == 5
+
+
 # ---------------------------------------------------------------- components
 
 
