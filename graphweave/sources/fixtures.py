@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import PropertyGraph
-from ..storage import shared_dir
+from ..storage import exists, shared_dir
 
 PROJECT = "proj_6b02d0f4a6f1"
 
@@ -109,7 +109,7 @@ def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     from pyspark.sql import functions as F
 
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
+    if key not in _STORED or not exists(spark, f"{_STORED[key]}/edges/_SUCCESS"):
         path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
         nodes = build(spark, sf_dir, NODES).withColumn("labels", F.array("coreType", F.lit("GraphNode")))
         nodes.write.parquet(f"{path}/nodes")

@@ -26,3 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
