@@ -106,13 +106,13 @@ def page(found: DataFrame, least: str = "LOW", category_is: str = "all", without
 
 def stats(found: DataFrame, shown: DataFrame | None = None) -> DataFrame:
     """One row: counts by confidence and category over all findings, and the risk, whose total is of the shown ones."""
-    total = (found if shown is None else shown).agg(F.count("*").alias("total"), F.countDistinct("filePath").alias("affected_files"))
-    counts = found.agg(
+    totals = [F.count("*").alias("total"), F.countDistinct("filePath").alias("affected_files")]
+    counts = [
         F.count("*").alias("total_before_filter"),
         *[F.count_if(F.col("confidence") == x).alias(x.lower()) for x in ("HIGH", "MEDIUM", "LOW")],
         *[F.count_if(F.col("category") == x).alias(x.replace("-", "_")) for x in ("library-export", "ui-component", "internal-unused")],
-    )
-    both = counts.join(total)  # one row each
+    ]
+    both = found.agg(*counts, *totals) if shown is None else found.agg(*counts).join(shown.agg(*totals))  # a row each
     return both.withColumn("risk_level", risk_level(F.col("total"), F.col("high")))
 
 
