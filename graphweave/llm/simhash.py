@@ -112,11 +112,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     Rows without id come last; of rows with one id the one with the smallest mark
     stays, of equal rows one.
     """
-    last = F.lit((1 << 63) - 1)
     rows = C.cut(fingerprints(docs, id_col, text_col, width))
     found = components(rows, radius).select("fp", "component")
-    first = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "mark")).alias("first"))
-    kept = first.join(found, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    return first_of_each(docs, rows.join(found, "fp").select("component", "doc_id", "mark"), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each component of ``rows`` (component, doc_id, mark) the row of ``docs`` that keep_one names."""
+    last = F.lit((1 << 63) - 1)
+    kept = rows.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "mark")).alias("first"))
     kept = C.cut(kept.select(F.col("first.id").alias("_id"), F.col("first.mark").alias("_mark")))
     # Columns by position while internal ones are about, whatever their names are.
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}

@@ -441,3 +441,68 @@ def test_lm_probabilities_sum_to_one():
     flat = (pairs * lm.log_probabilities(contexts, targets, bias)).sum()
     unigram = pairs.sum(0) / pairs.sum()
     assert flat > 0.8 * (pairs * np.log10(unigram)).sum()
+
+
+# ---------------------------------------------------------------- near copies by shingles
+
+
+def plain_near_copies(rows, width=5):
+    """Smallest ids of the components of pairs within two bits or with a Jaccard similarity of 0.8 or more."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
+    fps = {i: plain_fingerprint(t) for i, t in rows}
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids, by_jaccard = sorted(sets), 0
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = sets[i], sets[j]
+            both = len(a & b) if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) else 0
+            near = both and 5 * both >= 4 * len(a | b)
+            bits = (fps[i] ^ fps[j]).bit_count() <= 2
+            by_jaccard += bool(near and not bits)
+            if near or bits:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted({find(i) for i in ids}), by_jaccard
+
+
+def test_near_copies_of_five_word_shingles(spark, sf):
+    from graphweave.llm import shingles
+
+    rng = np.random.default_rng(5)
+    rows = [(r.doc_id, r.text) for r in C.table(spark, sf, "documents").select("doc_id", "text").collect()]
+    at = 10_000
+    passage = [f"p{i}" for i in range(60)]
+    for n in (3, 5, 9, 49, 104, 300):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        for cut in (0, 1, 2, 3, 5, n // 20, n // 10, n // 5):
+            rows.append((at, " ".join(base[: n - cut])))
+            rows.append((at + 1, " ".join(["Other"] + base[:-1]) if cut % 2 else " ".join(base[:cut] + [f"x{at}"] + base[cut + 1 :])))
+            rows.append((at + 2, " ".join(passage + [f"y{at + x}" for x in range(n)])))
+            at += 3
+    want, by_jaccard = plain_near_copies(rows)
+    assert by_jaccard > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shingles.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == want
+    assert shingles.keep_one(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stage_finds_near_copies(spark, sf):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(200)]
+    other = [f"x{i}" if i in (40, 80, 120, 160) else w for i, w in enumerate(base)]
+    a, b = (simhash.fingerprint(" ".join(t).encode()) for t in (base, other))
+    assert (a ^ b).bit_count() > 2
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, "z")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, sf).collect()) == [1, 3]
