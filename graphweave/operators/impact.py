@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import NO_WEIGHT, PropertyGraph, paths, with_both_ends
@@ -65,12 +66,19 @@ def risk_level(score):
     return F.when(score >= 0.75, "CRITICAL").when(score >= 0.5, "HIGH").when(score >= 0.25, "MEDIUM").otherwise("LOW")
 
 
-def critical_paths(direct_rows: DataFrame, overrides: dict | None = None, least: float = 0.6, most: int = 10) -> DataFrame:
-    """(target, id, type, line): strong direct dependents; a type without a weight counts 0.5 here."""
+def critical_paths(direct_rows: DataFrame, overrides: dict | None = None, least: float = 0.6, most: int = 10, by: tuple[str, ...] = ("target",)) -> DataFrame:
+    """(target, id, type, line): strong direct dependents, the first ``most`` of each target; a type without a weight counts 0.5 here.
+
+    Without ``by`` all rows are those of one analysis, as of a file.
+    """
     w = F.coalesce(weight_of(fallback="_none", overrides=overrides), F.lit(NO_WEIGHT))
     rows = direct_rows.withColumn("_none", F.lit(None).cast("double")).withColumn("w", w).where(F.col("w") >= least)
     line = F.concat("name", F.lit(" -["), "type", F.lit("]-> target"))
-    return rows.select("target", "id", "type", line.alias("line")).orderBy("target", "id", "type").limit(most)
+    rows = rows.select("target", "id", "type", line.alias("line"))
+    if not by:
+        return rows.orderBy("target", "id", "type").limit(most)
+    nth = F.row_number().over(W.partitionBy(*by).orderBy("target", "id", "type"))
+    return rows.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth").orderBy("target", "id", "type")
 
 
 def file_targets(nodes: DataFrame, file_path: str, core_types=("ClassDeclaration", "FunctionDeclaration", "InterfaceDeclaration")) -> DataFrame:

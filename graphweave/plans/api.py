@@ -112,7 +112,7 @@ class Tools:
         if not node:
             d = impact.of_file(d)
         t = impact.beyond_direct(impact.transitive(self.graph, first, whole_number(max_depth, 4, 6)), d)
-        return {"direct": d, "transitive": t, "risk": impact.risk(first, d, t, list(high_risk), overrides), "critical": impact.critical_paths(d, overrides)}
+        return {"direct": d, "transitive": t, "risk": impact.risk(first, d, t, list(high_risk), overrides), "critical": impact.critical_paths(d, overrides, by=("target",) if node else ())}
 
     def detect_dead_code(self, **page) -> dict[str, DataFrame]:
         n, e = self.graph.nodes, self.graph.edges

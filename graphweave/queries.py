@@ -258,6 +258,13 @@ def i6_risk(spark, sf_dir):
 
 @query(f"{_DIRECT} SELECT target, id, type, name || ' -[' || type || ']-> target' AS line FROM d WHERE weight >= 0.6 AND false UNION ALL SELECT target, id, type, name || ' -[' || type || ']-> target' FROM (SELECT * FROM d WHERE type = 'IN_NATION' ORDER BY target, id, type LIMIT 10)")
 def i9_critical_paths(spark, sf_dir):
+    """All nations as one analysis, whose ten the SQL has; i10_critical_paths_each has those of each."""
+    return impact.critical_paths(impact.direct(*_nations(spark, sf_dir)), {"IN_NATION": 0.7}, by=())
+
+
+@query(f"{_DIRECT} SELECT target, id, type, name || ' -[' || type || ']-> target' AS line FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY id, type) AS k FROM d WHERE type = 'IN_NATION') WHERE k <= 10")
+def i10_critical_paths_each(spark, sf_dir):
+    """Ten strong dependents of each nation."""
     return impact.critical_paths(impact.direct(*_nations(spark, sf_dir)), {"IN_NATION": 0.7})
 
 

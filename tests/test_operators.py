@@ -192,6 +192,13 @@ def test_completion_unblocks_only_who_waits_for_nothing_else(spark):
     assert {r.id: r.level for r in tasks.levels(t.select("id"), ring).collect()} == {"t1": -1, "t2": -1, "t3": 0}
 
 
+def test_critical_paths_of_each_target(spark):
+    g = make(spark, [node(x) for x in ["A", "B", *(f"x{i:02}" for i in range(12))]], [("CALLS", f"x{i:02}", t, 0.1) for i in range(12) for t in "AB"])
+    d = impact.direct(g, g.nodes.where("id in ('A', 'B')").select("id"))
+    assert [(r.target, r.id) for r in impact.critical_paths(d).collect()] == [(t, f"x{i:02}") for t in "AB" for i in range(10)]
+    assert [r.target for r in impact.critical_paths(d, by=()).collect()] == ["A"] * 10
+
+
 def test_transitions_need_holder_and_state(spark):
     t = spark.createDataFrame([("1", "claimed", "a", 5, True, 1), ("2", "claimed", "b", 5, True, 1), ("3", "failed", "a", 5, False, 1), ("4", "failed", "b", 5, True, 1)], "id string, status string, claimedBy string, updatedAt long, retryable boolean, retryCount int")
     every = ["1", "2", "3", "4"]
