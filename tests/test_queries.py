@@ -54,3 +54,20 @@ def test_greedy_pairs_against_a_loop(spark, sf):
     used = [x for r in got for x in (r.id1, r.id2)]
     assert got and len(used) == len(set(used))
     assert all(r.id1 in used or r.id2 in used for r in pairs)
+
+
+def test_levels_of_all_orders_against_a_plain_sort(spark, sf):
+    from graphweave.sources.fixtures import depends, table
+
+    ids = {f"t{r.o_orderkey}" for r in table(spark, sf, "orders").select("o_orderkey").collect()}
+    before = {i: set() for i in ids}
+    for r in depends(spark, sf).collect():
+        before[r.taskId].add(r.dependsOn)
+    want, level, rest = {}, 0, dict(before)
+    while ready := [i for i, b in rest.items() if not b & rest.keys()]:
+        want |= {i: (level, len(before[i])) for i in ready}
+        rest = {i: b for i, b in rest.items() if i not in want}
+        level += 1
+    got = queries.t17_levels_all(spark, sf).collect()
+    assert len(got) == len(ids) and not rest
+    assert {r.id: (r.level, r.n) for r in got} == want
