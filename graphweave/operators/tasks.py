@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -192,21 +194,24 @@ def dependencies(parts: DataFrame) -> DataFrame:
     return wants.join(parts.select(F.col("filePath").alias("dependsOn")), "dependsOn", "left_semi").distinct()
 
 
-def levels(ids: DataFrame, depends: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def levels(ids: DataFrame, depends: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, level, n): a level above all that an id depends on (columns taskId, dependsOn); n is its number of dependencies.
 
     Ids on a cycle, and those behind one, get level -1 and come last.  Ordered by
-    level, n and id this is a topological order.
+    level, n and id this is a topological order.  Rounds go on until one frees
+    nothing; beyond ``max_rounds``, if given, it raises.
     """
     edges = depends.join(ids.select(F.col("id").alias("dependsOn")), "dependsOn", "left_semi").join(ids.select(F.col("id").alias("taskId")), "taskId", "left_semi").select("taskId", "dependsOn").distinct()
     counts = edges.groupBy("taskId").agg(F.count("*").alias("n"))
     rest = cut(ids.select("id").distinct().join(counts, F.col("id") == F.col("taskId"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n")))
     edges, out = cut(edges), None
-    for level in range(max_rounds):
+    for level in count():
         ready = rest.join(edges.select(F.col("taskId").alias("id")), "id", "left_anti")
         ready = cut(ready.withColumn("level", F.lit(level)))
         if ready.isEmpty():
             break
+        if level == max_rounds:
+            raise RuntimeError("levels did not settle")
         out = ready if out is None else out.unionByName(ready)
         gone = ready.select(F.col("id").alias("g"))
         rest = cut(rest.join(gone, rest.id == gone.g, "left_anti"))

@@ -192,6 +192,14 @@ def test_completion_unblocks_only_who_waits_for_nothing_else(spark):
     assert {r.id: r.level for r in tasks.levels(t.select("id"), ring).collect()} == {"t1": -1, "t2": -1, "t3": 0}
 
 
+def test_levels_raise_rather_than_call_a_long_chain_a_cycle(spark):
+    ids = spark.createDataFrame([(f"t{i}",) for i in range(4)], "id string")
+    chain = spark.createDataFrame([(f"t{i + 1}", f"t{i}") for i in range(3)], "taskId string, dependsOn string")
+    with pytest.raises(RuntimeError):
+        tasks.levels(ids, chain, max_rounds=3)
+    assert {r.id: r.level for r in tasks.levels(ids, chain, max_rounds=4).collect()} == {f"t{i}": i for i in range(4)}
+
+
 def test_critical_paths_of_each_target(spark):
     g = make(spark, [node(x) for x in ["A", "B", *(f"x{i:02}" for i in range(12))]], [("CALLS", f"x{i:02}", t, 0.1) for i in range(12) for t in "AB"])
     d = impact.direct(g, g.nodes.where("id in ('A', 'B')").select("id"))
