@@ -253,7 +253,7 @@ def test_query_against_sql(spark, sf, name):
 
 
 def test_pipeline_against_plain_stages(spark, sf):
-    from test_text_operators import plain_components, plain_fingerprint, plain_lines, plain_targets, words
+    from test_text_operators import plain_lines, plain_near_copies, plain_targets, words
     from tokenizers import Tokenizer
 
     from graphweave.llm import quality
@@ -264,9 +264,7 @@ def test_pipeline_against_plain_stages(spark, sf):
     good = [i for i in rows if model.scores([(rows[i].text or "").encode()])[0] >= 0.5]
     assert len(good) >= 0.7 * len(rows)
     text = {i: t for i, _, _, t in plain_lines([(i, rows[i].text) for i in good])}
-    fps = {i: plain_fingerprint(t) for i, t in text.items()}
-    comp = plain_components(list(fps.items()))
-    kept = sorted({comp[f] for f in fps.values()})
+    kept = plain_near_copies(list(text.items()))[0]
     sizes = defaultdict(int)
     for i in kept:
         sizes[rows[i].source] += len(words(text[i]))
