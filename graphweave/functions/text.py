@@ -10,39 +10,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Identifiers that normalisation keeps as they are.
-RESERVED = (
-    "async await break case catch class const continue debugger default delete do else enum export extends false finally for function if "
-    "implements import in instanceof interface let new null of private protected public readonly return static super switch this throw true "
-    "try typeof undefined var void while with yield "
-    "abstract as asserts constructor declare get set infer is keyof module namespace require type satisfies using "
-    "any boolean never number object string symbol unknown "
-    "Array Object String Number Boolean Promise Map Set WeakMap WeakSet Date Error console JSON Math BigInt Symbol Proxy Reflect "
-    "$STR $NUM"
-).split()
+RESERVED = [
+    "async", "await", "break", "case", "catch", "class", "const", "continue", "debugger", "default", "delete", "do", "else", "enum", "export", "extends",
+    "false", "finally", "for", "function", "if", "implements", "import", "in", "instanceof", "interface", "let", "new", "null", "of", "private",
+    "protected", "public", "readonly", "return", "static", "super", "switch", "this", "throw", "true", "try", "typeof", "undefined", "var", "void",
+    "while", "with", "yield", "abstract", "as", "asserts", "constructor", "declare", "get", "set", "infer", "is", "keyof", "module", "namespace",
+    "require", "type", "satisfies", "using", "any", "boolean", "never", "number", "object", "string", "symbol", "unknown", "Array", "Object", "String",
+    "Number", "Boolean", "Promise", "Map", "Set", "WeakMap", "WeakSet", "Date", "Error", "console", "JSON", "Math", "BigInt", "Symbol", "Proxy",
+    "Reflect", "$STR", "$NUM",
+]
 
 # The length limits of shown and embedded text.
 SHOWN_CODE, EMBEDDED_CODE = 500, 24000
 
+# White space, the ends of lines, and the patterns of normalisation in the order in which they apply.
 _SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-
-
-def _strip(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{_SPACE}+|{_SPACE}+$", "")
-
-
-_LINE_END = "\n\r\u2028\u2029"
-_BLANK = "[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 _STEPS = [
     (re.compile(r"`[^`]*`"), "$STR"),
-    (re.compile(rf'"(?:[^"\\]|\\[^{_LINE_END}])*"'), "$STR"),
-    (re.compile(rf"'(?:[^'\\]|\\[^{_LINE_END}])*'"), "$STR"),
+    (re.compile(r'"(?:[^"\\]|\\[^\n\r\u2028\u2029])*"'), "$STR"),
+    (re.compile(r"'(?:[^'\\]|\\[^\n\r\u2028\u2029])*'"), "$STR"),
     (re.compile(r"/\*[\s\S]*?\*/"), ""),
-    (re.compile(rf"//[^{_LINE_END}]*"), ""),
+    (re.compile(r"//[^\n\r\u2028\u2029]*"), ""),
+]
+_NUMBERS = [
+    re.compile(r"\b0[xX][0-9a-fA-F_]+n?\b", re.A),
+    re.compile(r"\b0[bB][01_]+n?\b", re.A),
+    re.compile(r"\b0[oO][0-7_]+n?\b", re.A),
+    re.compile(r"(?<![a-zA-Z_$])\b\d[\d_]*(\.\d[\d_]*)?([eE][+-]?\d[\d_]*)?n?\b", re.A),
 ]
-_RUN = re.compile(f"{_BLANK}+")
-_NUMBERS = [re.compile(rf"\b0{x}n?\b", re.A) for x in ("[xX][0-9a-fA-F_]+", "[bB][01_]+", "[oO][0-7_]+")]
-_NUMBERS.append(re.compile(r"(?<![a-zA-Z_$])\b\d[\d_]*(\.\d[\d_]*)?([eE][+-]?\d[\d_]*)?n?\b", re.A))
 _NAMES = re.compile(r"\b[a-zA-Z_$][a-zA-Z0-9_$]*\b", re.A)
+_RUN = re.compile(f"{_SPACE}+", re.A)
+
+
+def _strip(col: Column) -> Column:
+    return F.regexp_replace(col, f"^{_SPACE}+|{_SPACE}+$", "")
 
 
 def normalize(code: str | None) -> str:

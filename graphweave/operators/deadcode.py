@@ -12,10 +12,14 @@ EXPORT_REFERENCES = ["IMPORTS", "EXTENDS", "IMPLEMENTS", "TYPED_AS", "INJECTS",
 INTERFACE_REFERENCES = ["IMPLEMENTS", "EXTENDS", "TYPED_AS", "IMPORTS"]
 
 # Files that frameworks enter by themselves.
-ENTRY_FILES = (
-    "main.ts app.ts index.ts *.module.ts *.controller.ts *.routes.ts *.router.ts *.handler.ts server.ts page.tsx page.ts layout.tsx layout.ts "
-    "route.tsx route.ts loading.tsx error.tsx not-found.tsx template.tsx default.tsx root.tsx *.astro"
-).split()
+ENTRY_FILES = [
+    "main.ts", "app.ts", "index.ts", "*.module.ts", "*.controller.ts", "*.routes.ts", "*.router.ts", "*.handler.ts", "server.ts", "page.tsx", "page.ts",
+    "layout.tsx", "layout.ts", "route.tsx", "route.ts", "loading.tsx", "error.tsx", "not-found.tsx", "template.tsx", "default.tsx", "root.tsx",
+    "*.astro",
+]
+# What reports say.
+NEVER_IMPORTED, NEVER_CALLED, NEVER_IMPLEMENTED = "Exported but never imported or referenced", "Private method never called", "Interface never implemented or referenced"
+CONFIDENCE_REASONS = {"HIGH": "Exported but never imported anywhere", "MEDIUM": "Private method with no internal callers", "LOW": "Could be used via dynamic references"}
 ENTRY_SUFFIXES = ["main.ts", ".module.ts", ".controller.ts", "index.ts"]
 EXPORTABLE = ["ClassDeclaration", "FunctionDeclaration", "InterfaceDeclaration"]
 
@@ -32,18 +36,18 @@ def unreferenced_exports(nodes: DataFrame, edges: DataFrame, core_types=EXPORTAB
         a = nodes.select(F.col("id").alias("src"), F.col("filePath").alias("_from"))
         b = nodes.select(F.col("id").alias("dst"), F.col("filePath").alias("_to"))
         refs = refs.join(a, "src").join(b, "dst").where(F.col("_from") != F.col("_to"))
-    return _without(wanted, refs).withColumn("reason", F.lit("Exported but never imported or referenced"))
+    return _without(wanted, refs).withColumn("reason", F.lit(NEVER_IMPORTED))
 
 
 def uncalled_private_methods(nodes: DataFrame, edges: DataFrame, core_type: str = "MethodDeclaration", types=("CALLS",)) -> DataFrame:
     wanted = nodes.where((F.col("coreType") == core_type) & (F.col("visibility") == "private"))
-    return _without(wanted, edges.where(F.col("type").isin(list(types)))).withColumn("reason", F.lit("Private method never called"))
+    return _without(wanted, edges.where(F.col("type").isin(list(types)))).withColumn("reason", F.lit(NEVER_CALLED))
 
 
 def unreferenced_interfaces(nodes: DataFrame, edges: DataFrame, core_type: str = "InterfaceDeclaration", types=INTERFACE_REFERENCES) -> DataFrame:
     """Exported interfaces without any reference; those from the same file count."""
     wanted = nodes.where((F.col("coreType") == core_type) & F.col("isExported"))
-    return _without(wanted, edges.where(F.col("type").isin(list(types)))).withColumn("reason", F.lit("Interface never implemented or referenced"))
+    return _without(wanted, edges.where(F.col("type").isin(list(types)))).withColumn("reason", F.lit(NEVER_IMPLEMENTED))
 
 
 def semantic_types(nodes: DataFrame) -> DataFrame:
@@ -64,7 +68,8 @@ def confidence(exported="isExported", visibility="visibility", reason="reason"):
 
 
 def confidence_reason(level="confidence"):
-    return F.when(F.col(level) == "HIGH", "Exported but never imported anywhere").when(F.col(level) == "MEDIUM", "Private method with no internal callers").otherwise("Could be used via dynamic references")
+    told = CONFIDENCE_REASONS
+    return F.when(F.col(level) == "HIGH", told["HIGH"]).when(F.col(level) == "MEDIUM", told["MEDIUM"]).otherwise(told["LOW"])
 
 
 def category(path="filePath"):

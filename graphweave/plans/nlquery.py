@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Names of syntax nodes, and the labels meant by them.
 AST_LABELS = {
@@ -67,7 +69,11 @@ def extract_json(reply: str) -> dict:
 
 
 def project_guard(query: str) -> list[str]:
-    """Warnings; raises if a query reads the graph without a filter by project."""
+    """Warnings; raises if a query reads the graph without naming the project.
+
+    This is about the text only, as a hint to whoever wrote it: run() hands over
+    tables of one project, whatever the text says.
+    """
     reads = len(re.findall(r"\b(?:from|join)\s+(?:nodes|edges)\b", query, re.I)) + len(re.findall(r"\bMATCH\b", query, re.I))
     filters = len(re.findall(r"[:$]projectId\b", query))
     if reads and not filters:
@@ -75,6 +81,16 @@ def project_guard(query: str) -> list[str]:
     return [f"{filters} filters by project for {reads} reads"] if filters < reads else []
 
 
+def table_guard(spark: SparkSession, query: str, tables) -> None:
+    """Raises if a query, or a subquery of it, names a table, view or file that is not among ``tables``, or calls into the JVM."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query).toString()
+    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan):
+        if name not in tables and ("," in name or "`" in name or spark.catalog.tableExists(name)):
+            raise ValueError(f"the query may not read {name}")
+    if re.search(r"\b(reflect|try_reflect|java_method)\s*\(", query, re.I):
+        raise ValueError("the query may not call Java")
+
+
 def label_guard(query: str, known: list[str]) -> None:
     """Raises on labels that are not in the schema, with a hint where a syntax name was used for a label."""
     used = set(re.findall(r"array_contains\(\s*(?:\w+\.)?labels\s*,\s*'([^']+)'\s*\)", query, re.I)) | set(re.findall(r"\(\s*\w*\s*:\s*([A-Za-z_]\w*)", query))
@@ -85,19 +101,27 @@ def label_guard(query: str, known: list[str]) -> None:
 
 
 def run(spark: SparkSession, reply: str, project: str, labels: list[str], tables: dict[str, DataFrame]) -> DataFrame:
-    """Check a reply's query, let Spark explain it, and return its DataFrame."""
-    query = extract_json(reply)["sql"]
+    """Check a reply's query, let Spark analyse it, and return its DataFrame.
+
+    The query sees the rows of ``project`` of the given tables, and nothing else.
+    They are common table expressions around it, so it can use aliases, joins,
+    subqueries and WITH as it likes.
+    """
+    query = extract_json(reply)["sql"].strip().rstrip(";")
     if not re.match(r"\s*(select|with)\b", query, re.I):
         raise ValueError("only queries that read are allowed")
     project_guard(query)
     label_guard(query, labels)
-    views = {f"_nl_{k}": df for k, df in tables.items()}
-    text = query
-    for k in tables:
-        text = re.sub(rf"\b(from|join)\s+{k}\b", rf"\1 {{_nl_{k}}} AS {k}", text, flags=re.I)
-    df = spark.sql(text, args={"projectId": project}, **views)
-    df._jdf.queryExecution().assertAnalyzed()
-    return df
+    table_guard(spark, query, tables)
+    views = {k: f"nl_{k}_{uuid.uuid4().hex}" for k in tables}
+    try:
+        for k, df in tables.items():
+            df.where(F.col("projectId") == project).createOrReplaceTempView(views[k])
+        given = ", ".join(f"{k} AS (SELECT * FROM {v})" for k, v in views.items())
+        return spark.sql(f"WITH {given} SELECT * FROM (\n{query}\n)", args={"projectId": project})
+    finally:
+        for v in views.values():
+            spark.catalog.dropTempView(v)
 
 
 def ask(question: str, model: Callable[[str], str], spark: SparkSession, project: str, labels, relationships, semantic, tables) -> DataFrame:

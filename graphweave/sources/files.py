@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.graph import PropertyGraph, with_both_ends
+from ..storage import cut, exists
 
 # Paths that are not parsed, as regular expressions or literals.
 EXCLUDED = [
@@ -14,7 +18,10 @@ EXCLUDED = [
     r"test-setup\.ts$", r"global-setup\.ts$", r"global-teardown\.ts$",
 ]
 # Config files that become nodes, and the most bytes of one.
-CONFIG_FILES = "package.json tsconfig.json tsconfig.*.json nest-cli.json turbo.json nx.json docker-compose*.yml Dockerfile .env.example *.config.js *.config.ts".split()
+CONFIG_FILES = [
+    "package.json", "tsconfig.json", "tsconfig.*.json", "nest-cli.json", "turbo.json", "nx.json", "docker-compose*.yml", "Dockerfile", ".env.example",
+    "*.config.js", "*.config.ts",
+]
 CONFIG_BYTES = 65536
 
 
@@ -65,12 +72,36 @@ def project_types(spark: SparkSession, root: str, markers: list[str] = ()) -> Da
     return rows.select("path", detect_framework(merged, list(markers)).alias("framework"))
 
 
+#: Names that elements of a JSON graph have beside their properties, and the columns for them.
+_NODE_FIELDS = {"id": "id", "labels": "labels"}
+_EDGE_FIELDS = {"id": "edge_id", "type": "type", "startNodeId": "src", "endNodeId": "dst"}
+
+
+def _spread(elements: DataFrame, named: dict[str, str]) -> DataFrame:
+    """Fields and properties side by side; a property that repeats a field (a node's id) counts once."""
+    props = elements.schema["properties"].dataType if "properties" in elements.columns else None
+    inner = [p for p in getattr(props, "names", []) if p not in named.values()]
+    fields = [F.col(k).alias(v) for k, v in named.items() if k in elements.columns]
+    return flattened(elements.select(*fields, *[F.col("properties").getField(p).alias(p) for p in inner]))
+
+
+def _packed(rows: DataFrame, named: dict[str, str]) -> DataFrame:
+    """Columns as an element with properties, the id among those of a node."""
+    inner = [c for c in rows.columns if c not in named.values() or c == "id"]
+    return rows.select(*[F.col(v).alias(k) for k, v in named.items() if v in rows.columns], F.struct(*inner).alias("properties"))
+
+
 def read_graph_json(spark: SparkSession, path: str) -> PropertyGraph:
-    """A graph of one JSON document {nodes, edges, metadata}."""
-    doc = spark.read.option("multiLine", True).json(path)
-    n = doc.select(F.explode("nodes").alias("n")).select("n.id", "n.labels", "n.properties.*")
-    e = doc.select(F.explode("edges").alias("e")).select(F.col("e.id").alias("edge_id"), F.col("e.type").alias("type"), F.col("e.startNodeId").alias("src"), F.col("e.endNodeId").alias("dst"), "e.properties.*")
-    return PropertyGraph(n.drop("id_"), e)
+    """A graph of one JSON document {nodes, edges, metadata}, or of a folder with elements as JSON lines.
+
+    Nested properties (``context``) become JSON text.
+    """
+    if exists(spark, f"{path}/nodes"):
+        n, e = spark.read.json(f"{path}/nodes"), spark.read.json(f"{path}/edges")
+    else:
+        doc = spark.read.option("multiLine", True).json(path)
+        n, e = (doc.select(F.explode(k).alias("x")).select("x.*") for k in ("nodes", "edges"))
+    return PropertyGraph(_spread(n, _NODE_FIELDS), _spread(e, _EDGE_FIELDS))
 
 
 def flattened(df: DataFrame) -> DataFrame:
@@ -88,12 +119,36 @@ def write_graph(g: PropertyGraph, path: str, mode: str = "append") -> tuple[int,
 
     Returns how many edges were given and how many stored.
     """
-    spark = g.nodes.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    flattened(g.nodes).write.mode(mode).partitionBy("projectId").parquet(f"{path}/nodes")
-    kept = with_both_ends(g.edges, g.nodes)
-    flattened(kept).write.mode(mode).partitionBy("projectId", "type").parquet(f"{path}/edges")
-    return g.edges.count(), kept.count()
+    nodes, edges = cut(flattened(g.nodes)), cut(flattened(g.edges))
+    kept = cut(with_both_ends(edges, nodes))
+
+    def put(rows, kind, by):
+        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{kind}")
+
+    put(nodes, "nodes", ["projectId"])
+    put(kept, "edges", ["projectId", "type"])
+    return edges.count(), kept.count()
+
+
+def import_chunks(chunks: Iterable[PropertyGraph], path: str) -> tuple[int, int, int]:
+    """(chunks, edges given, edges stored) of a graph that comes in parts.
+
+    All nodes go before the first edge, so that edges between parts keep both ends;
+    each part is written as it comes and only its place in the shared folder is kept.
+    """
+    spark, parts, given, stored = None, [], 0, 0
+    for g in chunks:
+        spark = g.nodes.sparkSession
+        flattened(g.nodes).write.mode("append").partitionBy("projectId").parquet(f"{path}/nodes")
+        parts.append(cut(flattened(g.edges)))
+    if not parts:
+        return 0, 0, 0
+    known = spark.read.parquet(f"{path}/nodes").select("id").distinct()
+    for edges in parts:
+        kept = cut(with_both_ends(edges, known))
+        kept.write.mode("append").partitionBy("projectId", "type").parquet(f"{path}/edges")
+        given, stored = given + edges.count(), stored + kept.count()
+    return len(parts), given, stored
 
 
 def read_graph(spark: SparkSession, path: str, project: str | None = None) -> PropertyGraph:
@@ -104,18 +159,57 @@ def read_graph(spark: SparkSession, path: str, project: str | None = None) -> Pr
     return PropertyGraph(nodes, edges)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clear_project(spark: SparkSession, path: str, project: str) -> None:
     """Remove a project's partitions."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
     for kind in ("nodes", "edges"):
-        p = fs_path(f"{path}/{kind}/projectId={project}")
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, f"{path}/{kind}/projectId={project}")
+
+
+def clear_all(spark: SparkSession, path: str) -> None:
+    """Remove a stored graph with all its projects."""
+    for kind in ("nodes", "edges"):
+        _delete(spark, f"{path}/{kind}")
 
 
 def write_json(g: PropertyGraph, path: str, mode: str = "errorifexists") -> None:
-    """A dump: nodes and edges as JSON lines."""
-    g.nodes.write.mode(mode).json(f"{path}/nodes")
-    g.edges.write.mode(mode).json(f"{path}/edges")
+    """A dump that read_graph_json reads: nodes, edges and metadata as JSON lines, a folder each."""
+    _packed(g.nodes, _NODE_FIELDS).write.mode(mode).json(f"{path}/nodes")
+    _packed(g.edges, _EDGE_FIELDS).write.mode(mode).json(f"{path}/edges")
+    metadata(g).write.mode(mode).json(f"{path}/metadata")
+
+
+def write_json_document(g: PropertyGraph, path: str, mode: str = "errorifexists") -> None:
+    """The same as one document {nodes, edges, metadata}; being one text, it is written by one task, as a stream."""
+    spark = g.nodes.sparkSession
+    lines = [(0, _packed(g.nodes, _NODE_FIELDS)), (1, _packed(g.edges, _EDGE_FIELDS)), (2, metadata(g))]
+    rows = None
+    for k, df in lines:
+        one = df.select(F.lit(k).alias("k"), F.to_json(F.struct("*")).alias("x"))
+        rows = one if rows is None else rows.unionByName(one)
+    heads = spark.createDataFrame([(0, ""), (1, "")], "k int, x string")  # a line for each list, be it empty
+
+    def join(batches):
+        lists = ['{"nodes": [', '], "edges": [', '], "metadata": ']
+        at, first = -1, True
+        for batch in batches:
+            out = []
+            for k, x in zip(batch.column("k").to_pylist(), batch.column("x").to_pylist()):
+                while at < k:
+                    at, first = at + 1, True
+                    out.append(lists[at])
+                if x:
+                    out.append(x if first else "," + x)
+                    first = False
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["}"])], names=["value"])
+
+    ordered = heads.unionByName(rows).repartition(1).sortWithinPartitions("k", "x")
+    ordered.mapInArrow(join, "value string").write.mode(mode).text(path)
 
 
 def metadata(g: PropertyGraph) -> DataFrame:

@@ -16,9 +16,10 @@ AUTH = ["UseGuards", "Auth", "Roles", "Public"]
 VALIDATION = ["UsePipes", "ValidationPipe"]
 COLUMNS = ["Column", "PrimaryGeneratedColumn"]
 RELATIONS = ["OneToOne", "OneToMany", "ManyToOne", "ManyToMany"]
-VALIDATORS = (
-    "IsString IsNumber IsEmail IsOptional IsNotEmpty MinLength MaxLength IsArray IsBoolean IsDate IsEnum IsUUID IsUrl Min Max Matches IsIn IsNotIn IsDefined ValidateNested"
-).split()
+VALIDATORS = [
+    "IsString", "IsNumber", "IsEmail", "IsOptional", "IsNotEmpty", "MinLength", "MaxLength", "IsArray", "IsBoolean", "IsDate", "IsEnum", "IsUUID",
+    "IsUrl", "Min", "Max", "Matches", "IsIn", "IsNotIn", "IsDefined", "ValidateNested",
+]
 DYNAMIC = ["forRoot", "forFeature", "forRootAsync", "forFeatureAsync"]
 
 

@@ -23,21 +23,29 @@ from ..operators.graph import EDGE_WEIGHTS, PropertyGraph
 from .files import plain_path
 
 # Calls that make no edge: built-in functions, methods and classes.
-BUILT_IN_FUNCTIONS = frozenset(
-    "console setTimeout setInterval clearTimeout clearInterval parseInt parseFloat isNaN isFinite encodeURI decodeURI encodeURIComponent decodeURIComponent JSON Math Date Object Array String Number Boolean Symbol BigInt Promise require eval".split()
-)
-BUILT_IN_METHODS = frozenset(
-    "push pop shift unshift slice splice concat join reverse sort indexOf lastIndexOf includes find findIndex filter map reduce reduceRight every some forEach flat flatMap fill entries keys values "
-    "charAt charCodeAt substring substr split trim trimStart trimEnd toLowerCase toUpperCase replace replaceAll match search startsWith endsWith padStart padEnd repeat "
-    "hasOwnProperty toString valueOf toJSON then catch finally log error warn info debug trace dir table bind call apply".split()
-)
-BUILT_IN_CLASSES = frozenset(
-    "Array Object String Number Boolean Date RegExp Error TypeError RangeError SyntaxError ReferenceError Map Set WeakMap WeakSet Promise Proxy Reflect Symbol BigInt ArrayBuffer DataView "
-    "Int8Array Uint8Array Int16Array Uint16Array Int32Array Uint32Array Float32Array Float64Array URL URLSearchParams TextEncoder TextDecoder Buffer EventEmitter".split()
-)
+BUILT_IN_FUNCTIONS = frozenset([
+    "console", "setTimeout", "setInterval", "clearTimeout", "clearInterval", "parseInt", "parseFloat", "isNaN", "isFinite", "encodeURI", "decodeURI",
+    "encodeURIComponent", "decodeURIComponent", "JSON", "Math", "Date", "Object", "Array", "String", "Number", "Boolean", "Symbol", "BigInt", "Promise",
+    "require", "eval",
+])
+BUILT_IN_METHODS = frozenset([
+    "push", "pop", "shift", "unshift", "slice", "splice", "concat", "join", "reverse", "sort", "indexOf", "lastIndexOf", "includes", "find", "findIndex",
+    "filter", "map", "reduce", "reduceRight", "every", "some", "forEach", "flat", "flatMap", "fill", "entries", "keys", "values", "charAt", "charCodeAt",
+    "substring", "substr", "split", "trim", "trimStart", "trimEnd", "toLowerCase", "toUpperCase", "replace", "replaceAll", "match", "search",
+    "startsWith", "endsWith", "padStart", "padEnd", "repeat", "hasOwnProperty", "toString", "valueOf", "toJSON", "then", "catch", "finally", "log",
+    "error", "warn", "info", "debug", "trace", "dir", "table", "bind", "call", "apply",
+])
+BUILT_IN_CLASSES = frozenset([
+    "Array", "Object", "String", "Number", "Boolean", "Date", "RegExp", "Error", "TypeError", "RangeError", "SyntaxError", "ReferenceError", "Map",
+    "Set", "WeakMap", "WeakSet", "Promise", "Proxy", "Reflect", "Symbol", "BigInt", "ArrayBuffer", "DataView", "Int8Array", "Uint8Array", "Int16Array",
+    "Uint16Array", "Int32Array", "Uint32Array", "Float32Array", "Float64Array", "URL", "URLSearchParams", "TextEncoder", "TextDecoder", "Buffer",
+    "EventEmitter",
+])
 #: Shorter bodies are not searched for calls.
 LEAST_BODY = 15
-_NOT_CALLS = frozenset("if for while switch catch return function super typeof await new throw constructor of in do else".split())
+_NOT_CALLS = frozenset([
+    "if", "for", "while", "switch", "catch", "return", "function", "super", "typeof", "await", "new", "throw", "constructor", "of", "in", "do", "else",
+])
 _NAME = r"[A-Za-z_$][\w$]*"
 
 _ROUTE = "struct<method:string,path:string,controllerName:string,handler:string,authenticated:boolean>"
@@ -77,6 +85,26 @@ def closing(text: str, at: int) -> int:
     return len(text)
 
 
+def closing_angle(text: str, at: int) -> int:
+    """Position after the ">" that closes the "<" at ``at``; arrows don't count, brackets inside are stepped over."""
+    i, depth = at, 0
+    while i < len(text):
+        ch = text[i]
+        if ch in "([{":
+            i = closing(text, i)
+            continue
+        if ch == "<":
+            depth += 1
+        elif ch == ">" and text[i - 1] != "=":
+            depth -= 1
+            if depth == 0:
+                return i + 1
+        elif ch == ";":
+            return i
+        i += 1
+    return i
+
+
 def pieces(text: str) -> list[str]:
     """Parts between commas outside brackets."""
     out, depth, start = [], 0, 0
@@ -135,7 +163,7 @@ class File:
             name, what, exported = m["name"], m["what"], "export" in m["mods"].split()
             more = {"isExported": exported} | self.named(self.decorators(m.start("deco"), m.end("deco")))
             if what in ("class", "interface", "enum"):
-                brace = self.text.find("{", m.end())
+                brace = self.heading_end(m.end())
                 if brace < 0:
                     continue
                 end = closing(self.text, brace)
@@ -150,12 +178,11 @@ class File:
                 else:
                     self.node("EnumDeclaration", name, start, end, root, "CONTAINS", **more)
             elif what.startswith("function"):
-                paren = self.text.find("(", m.end())
-                if paren < 0:
+                paren = self.after_generics(m.end())
+                if self.text[paren : paren + 1] != "(":
                     continue
                 after = closing(self.text, paren)
-                brace = self.text.find("{", after)
-                end = closing(self.text, brace) if brace >= 0 else after
+                brace, end = self.body(after, len(self.text))
                 own = self.node("FunctionDeclaration", name, start, end, root, "CONTAINS", isAsync="async" in m["mods"].split(), **more)
                 self.parameters(own, paren, after)
                 self.calls(own, brace, end, {})
@@ -181,6 +208,69 @@ class File:
                 depth += 1
         return "".join(out)
 
+    def after_generics(self, at: int) -> int:
+        """The next position that is no blank, behind type parameters if there are any."""
+        while at < len(self.text) and self.text[at].isspace():
+            at += 1
+        if self.text[at : at + 1] == "<":
+            at = closing_angle(self.text, at)
+            while at < len(self.text) and self.text[at].isspace():
+                at += 1
+        return at
+
+    def heading_end(self, at: int) -> int:
+        """Where the braces of a class, interface or enum open; -1 if they don't."""
+        while at < len(self.text):
+            ch = self.text[at]
+            if ch == "{":
+                return at
+            if ch in ";}":
+                return -1
+            at = closing_angle(self.text, at) if ch == "<" else closing(self.text, at) if ch in "([" else at + 1
+        return -1
+
+    def body(self, at: int, stop: int) -> tuple[int, int]:
+        """Of what follows a parameter list: where its body opens (-1 without one) and where the declaration ends.
+
+        A result type is stepped over.  A brace opens the body unless a type is due
+        there, behind a colon or an operator of types.  Without body a declaration
+        ends behind its semicolon, or with the line if nothing goes on.
+        """
+        due, typed = False, False
+        token = re.compile(rf"=>|{_NAME}|\d[\w.]*|.", re.S)
+        while at < stop:
+            if self.text[at].isspace():
+                quote = self.code[at] if self.code[at] in "'\"`" else ""
+                if quote and due:  # a literal type, blanked
+                    at += len(re.compile(rf"{quote}(?:\\.|[^{quote}\\])*{quote}?").match(self.code, at)[0])
+                    due = False
+                elif self.code.startswith(("//", "/*"), at):
+                    at = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)").match(self.code, at).end()
+                elif self.text[at] == "\n" and not due and not re.compile(r"\s*(?:[{|&=\[<.?:]|extends\b|is\b|$)").match(self.text, at):
+                    return -1, at
+                else:
+                    at += 1
+                continue
+            m = token.match(self.text, at)
+            if m[0] == "{":
+                end = closing(self.text, at)
+                if not due:
+                    return at, end
+                at, due = end, False
+            elif m[0] in "([":
+                at, due = closing(self.text, at), False
+            elif m[0] == "<":
+                at, due = closing_angle(self.text, at), False
+            elif m[0] == ";":
+                return -1, at + 1
+            elif m[0] in ")}],":
+                return -1, at
+            else:
+                typed = typed or m[0] == ":"
+                due = typed and m[0] in (":", "=>", "|", "&", "?", "extends", "is", "keyof", "typeof", "readonly", "infer", "unique", "asserts", "new", "abstract")
+                at = m.end()
+        return -1, at
+
     def statement_end(self, at: int) -> int:
         depth = 0
         for i in range(at, len(self.text)):
@@ -251,7 +341,7 @@ class File:
                 it = self.node("PropertyDeclaration", label, s, b, own, "HAS_MEMBER", typeAnnotation=m and m[1].strip(), **extra)
             else:
                 after = closing(self.text, a)
-                body = self.text.find("{", after, b)
+                body = self.body(after, b)[0]
                 core = "ConstructorDeclaration" if what == "constructor" else "MethodDeclaration"
                 it = self.node(core, label, s, b, own, "HAS_MEMBER", isAsync="async" in mods, **extra)
                 self.parameters(it, a, after)
@@ -281,14 +371,11 @@ class File:
             name, mods = m["name"].lstrip("* "), m["mods"].split()
             start = first if first is not None else m.start() + len(m[0]) - len(m[0].lstrip())
             i = m.end()
-            generic = re.compile(r"\s*[?!]?\s*(?:<[^()]*?>)?\s*").match(self.text, i, b)
-            i2 = generic.end() if generic else i
+            mark = re.compile(r"\s*[?!]?\s*").match(self.text, i, b)
+            i2 = self.after_generics(mark.end())
             if i2 < b and self.text[i2] == "(":
                 after = closing(self.text, i2)
-                stop = re.compile(r"[{;\n]").search(self.text, after, b)
-                while stop and stop[0] == "\n" and not re.match(r"\s*[\w@#}]", self.text[stop.start() : b]):
-                    stop = re.compile(r"[{;\n]").search(self.text, stop.end(), b)
-                end = closing(self.text, stop.start()) if stop and stop[0] == "{" else (stop.end() if stop else b)
+                end = self.body(after, b)[1]
                 yield ("constructor" if name == "constructor" else "method", name, i2, min(end, b), start, mods, decos)
                 at = end
             else:

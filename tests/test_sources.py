@@ -109,6 +109,48 @@ def test_typescript_edges(parsed):
     assert not any(t == "CALLS" and y in ("log", "trim") for t, _, y in got)
 
 
+SHAPES = """declare function outside(a: string): void;
+function over(a: string): string;
+function over(a: number): string
+function over(a: any): string { return inner(a, 1, 2); }
+export class Between<T = {}> extends Base<{ x: string }> implements Able<{ y: () => void }> {
+  abstract nothing(): void;
+  twice(a: string): { b: string };
+  twice(a: any): { b: string } | undefined { return fromMethod(a, "{"); }
+  arrow(cb: (x: number) => { y: 1 }): (z: string) => { w: 2 } { return later(cb, 22); }
+  literal(): 'a' | "b" { return pickOne('a', 'b', 3); }
+  check(x: unknown): x is { k: string } { return isThere(x, 'k') }
+  generic<K extends { id: string }, V = Map<K, () => void>>(k: K): Promise<Array<{ v: V }>>
+  {
+    return made(k, 1, 2);
+  }
+}
+function wrapped<T extends (a: string) => { c: T }>(v: T): { b: string /* } */ } { return afterType(v, 'it'); }
+function last(): asserts x is string { return finalCall(1, 2, 3); }
+"""
+
+
+def test_declarations_end_where_they_end(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/shapes.ts").write_text(SHAPES)
+    rows = typescript.File("/shapes.ts", SHAPES, "p").parse()
+    made = [(r["coreType"], r["name"], r["sourceCode"]) for r in rows if r["kind"] == "node"]
+    text = {}
+    for core, name, code in made:
+        text.setdefault((core, name), []).append(code)
+    assert text["FunctionDeclaration", "outside"] == ["declare function outside(a: string): void;"]
+    assert text["FunctionDeclaration", "over"] == ["function over(a: string): string;", "function over(a: number): string", "function over(a: any): string { return inner(a, 1, 2); }"]
+    assert text["FunctionDeclaration", "wrapped"][0].endswith("return afterType(v, 'it'); }") and text["FunctionDeclaration", "last"][0].endswith("}")
+    assert text["ClassDeclaration", "Between"][0].startswith("export class Between") and text["ClassDeclaration", "Between"][0].endswith("  }\n}")
+    assert text["MethodDeclaration", "nothing"] == ["abstract nothing(): void;"] and text["MethodDeclaration", "twice"][0] == "twice(a: string): { b: string };"
+    assert all(text["MethodDeclaration", m][-1].endswith("}") for m in ("twice", "arrow", "literal", "check", "generic"))
+    names = {r["id"]: r["name"] for r in rows if r["kind"] == "node"}
+    calls = sorted((names[r["src"]], r["targetName"]) for r in rows if r["kind"] == "deferred" and r["edgeType"] == "CALLS")
+    assert calls == sorted([("over", "inner"), ("twice", "fromMethod"), ("arrow", "later"), ("literal", "pickOne"), ("check", "isThere"), ("generic", "made"), ("wrapped", "afterType"), ("last", "finalCall")])
+    bases = {(r["edgeType"], r["targetName"]) for r in rows if r["kind"] == "deferred" and r["edgeType"] in ("EXTENDS", "IMPLEMENTS")}
+    assert bases == {("EXTENDS", "Base"), ("IMPLEMENTS", "Able")}
+
+
 def test_odd_sources_do_not_break_the_parser():
     for code in ("", "}", "class {", "class A {", "export class A { x(", "function f(", "`unclosed", "/* open", "class A { @D( } }", "export const a = {", "import 'x'", "\x00﻿" * 50, "class A { get [x]() {} #p = 1; *g() {} static { } }", "((((" * 2000):
         typescript.File("/x.ts", code, "p").parse()
@@ -122,10 +164,48 @@ def test_stored_graph(spark, parsed, tmp_path):
     assert "PartitionFilters: [isnotnull(projectId" in back.nodes._jdf.queryExecution().toString()
     files.clear_project(spark, str(tmp_path / "g"), "proj_0123456789ab")
     assert not (tmp_path / "g/nodes/projectId=proj_0123456789ab").exists()
-    doc = {"nodes": [{"id": "a", "labels": ["X"], "properties": {"name": "n"}}], "edges": [{"id": "e", "type": "T", "startNodeId": "a", "endNodeId": "a", "properties": {"w": 1.0}}], "metadata": {}}
-    (tmp_path / "g.json").write_text(json.dumps(doc))
+    with pytest.raises(Exception, match="nodes"):
+        files.clear_all(spark, str(tmp_path / "g"))
+        files.read_graph(spark, str(tmp_path / "g"))
+
+
+def full_graph():
+    """A document with every field that nodes and edges can have."""
+    node = {"id": "p:Class:1", "projectId": "p", "name": "n", "coreType": "ClassDeclaration", "semanticType": "Service", "filePath": "/a.ts", "packageName": "@s/a", "isExported": True, "visibility": "public", "startLine": 1, "endLine": 2}
+    node |= {"sourceCode": "class n {}", "createdAt": "2024-01-01", "contentHash": "c", "mtime": 1.5, "size": 10, "parentClassName": "x", "typeAnnotation": "T", "normalizedHash": "h", "context": {"routes": [{"path": "/x"}], "n": 1}}
+    edge = {"coreType": "CALLS", "projectId": "p", "semanticType": "S", "source": "ast", "confidence": 0.9, "relationshipWeight": 0.85, "filePath": "/a.ts", "createdAt": "2024-01-01", "lineNumber": 3, "context": {"a": {"b": 1}}}
+    nodes = [{"id": node["id"], "labels": ["Class"], "properties": node, "skipEmbedding": True}, {"id": "p:Class:2", "labels": ["Class", "TypeScript"], "properties": {k: node[k] for k in ("projectId", "name", "coreType", "filePath")} | {"id": "p:Class:2"}}]
+    return {"nodes": nodes, "edges": [{"id": "e", "type": "CALLS", "startNodeId": "p:Class:1", "endNodeId": "p:Class:2", "properties": edge}], "metadata": {"totalNodes": 2}}
+
+
+def test_json_graphs_round_trip(spark, tmp_path):
+    from graphweave.operators import graph
+
+    (tmp_path / "g.json").write_text(json.dumps(full_graph()))
     g = files.read_graph_json(spark, str(tmp_path / "g.json"))
-    assert g.nodes.first().name == "n" and g.edges.first().dst == "a"
+    one = g.nodes.where("id = 'p:Class:1'").first()
+    assert one.name == "n" and one.mtime == 1.5 and json.loads(one.context) == {"routes": [{"path": "/x"}], "n": 1} and g.nodes.columns.count("id") == 1
+    e = g.edges.first()
+    assert (e.edge_id, e.type, e.src, e.dst, e.relationshipWeight, e.lineNumber) == ("e", "CALLS", "p:Class:1", "p:Class:2", 0.85, 3)
+    assert [r.id for r in graph.traverse(g, "p:Class:1", 2, "OUTGOING").collect()] == ["p:Class:2"]
+    same = lambda a, b: sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(a.columns)).collect()))
+    files.write_json(g, str(tmp_path / "lines"))
+    files.write_json_document(g, str(tmp_path / "doc"))
+    (text,) = [p for p in (tmp_path / "doc").iterdir() if p.name.startswith("part")]
+    doc = json.loads(text.read_text())
+    assert {n["properties"]["id"] for n in doc["nodes"]} == {"p:Class:1", "p:Class:2"} and doc["metadata"]["totalEdges"] == 1
+    for back in (files.read_graph_json(spark, str(tmp_path / "lines")), files.read_graph_json(spark, str(text))):
+        assert same(g.nodes.drop("skipEmbedding"), back.nodes) and same(g.edges, back.edges)
+    files.write_json_document(PropertyGraph(g.nodes.limit(0), g.edges.limit(0)), str(tmp_path / "none"))
+    (text,) = [p for p in (tmp_path / "none").iterdir() if p.name.startswith("part")]
+    assert json.loads(text.read_text()) == {"nodes": [], "edges": [], "metadata": {"totalNodes": 0, "sourceFiles": 0, "totalEdges": 0}}
+
+
+def test_chunks_keep_edges_between_them(spark, parsed, tmp_path):
+    one, two = (PropertyGraph(parsed.nodes.where(x), parsed.edges.join(parsed.nodes.where(x).select("id"), F.col("src") == F.col("id"), "left_semi")) for x in ("filePath like '%service%'", "filePath not like '%service%'"))
+    parts, given, stored = files.import_chunks([one, two], str(tmp_path / "g"))
+    assert parts == 2 and given == stored == parsed.edges.count()
+    assert files.read_graph(spark, str(tmp_path / "g")).edges.count() == stored and files.import_chunks([], str(tmp_path / "x")) == (0, 0, 0)
 
 
 def test_incremental_after_a_change(spark, tree, parsed):
@@ -179,6 +259,25 @@ def test_guards(spark, parsed):
         nlquery.run(spark, '{"sql": "DROP TABLE x"}', "p", [], {})
 
 
+def test_generated_queries_see_one_project(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "p", "one"), ("b", "p", "two"), ("c", "other", "three")], "id string, projectId string, name string")
+    edges = spark.createDataFrame([("a", "b", "p"), ("c", "c", "other")], "src string, dst string, projectId string")
+    ask = lambda sql: nlquery.run(spark, json.dumps({"sql": sql}), "p", [], {"nodes": nodes, "edges": edges}).collect()
+    mine = ":projectId = :projectId"
+    assert ask(f"SELECT count(*) AS n FROM nodes WHERE {mine}")[0].n == 2
+    assert ask(f"SELECT n.name FROM nodes n WHERE n.projectId = :projectId ORDER BY n.name")[1].name == "two"
+    assert ask(f"SELECT m.name FROM nodes AS n JOIN edges AS e ON e.src = n.id JOIN nodes m ON m.id = e.dst WHERE {mine};")[0].name == "two"
+    assert ask(f"SELECT count(*) AS n FROM nodes n, edges e WHERE {mine}")[0].n == 2
+    assert ask(f"SELECT nodes.name FROM nodes WHERE nodes.id IN (SELECT dst FROM edges) AND {mine}")[0].name == "two"
+    assert ask(f"WITH x AS (SELECT * FROM nodes n) SELECT count(*) AS n FROM x WHERE {mine}")[0].n == 2
+    assert ask(f"SELECT (SELECT max(name) FROM nodes) AS m, '{{brace}}' AS b WHERE {mine}")[0].m == "two"
+    nodes.write.parquet(str(tmp_path / "t"))
+    nodes.createOrReplaceTempView("everything")
+    for sql in (f"SELECT * FROM everything WHERE {mine}", f"SELECT * FROM parquet.`{tmp_path}/t` WHERE {mine}", f"SELECT * FROM nodes WHERE id IN (SELECT id FROM everything) AND {mine}", f"WITH everything AS (SELECT * FROM everything) SELECT * FROM everything WHERE {mine}", f"SELECT reflect('java.lang.System', 'getenv', 'HOME') FROM nodes WHERE {mine}"):
+        with pytest.raises(ValueError):
+            ask(sql)
+
+
 def test_tools(spark, parsed):
     projects = spark.createDataFrame([("proj_0123456789ab", "mine", "/w/mine", 1)], "projectId string, name string, path string, updatedAt long")
     t = Tools(spark, PropertyGraph(parsed.nodes, parsed.edges), projects=projects)
