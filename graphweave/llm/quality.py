@@ -8,6 +8,7 @@ descent.  It is fitted on a bounded sample of labelled rows; every text is score
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BITS = 20
-#: At most so many labelled rows are fitted on, those with the smallest hashes of their ids.
-SAMPLE = 6000
+#: The fit is on a bounded sample: labelled rows in order of the hashes of their ids, at most SAMPLE, as long as all their
+#: features, of 4 bytes, fit into SAMPLE_BYTES.  A row that doesn't fit is passed over.
+SAMPLE, SAMPLE_BYTES = 6000, 64 << 20
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 1
@@ -106,7 +108,7 @@ class Model:
         return 1 / (1 + np.exp(-self.scale * self.margins(texts)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, alpha: float = 1.0, epochs: int = 30, scale: float = 3.0, seed: int = 7) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, alpha: float = 1.0, epochs: int = 30, scale: float = 3.0, seed: int = 7, tolerance: float = 1e-3) -> Model:
     """Log-count ratios, then dual coordinate descent for the hinge loss on rows of unit length.
 
     With one class or no row at all, every text gets that class, or 1.
@@ -138,31 +140,44 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, alpha: fl
                 bias += step
                 moved = max(moved, abs(step))
                 dual[i] = new
-        if moved < 1e-3:
+        if moved < tolerance:
             break
     return Model((w * ratio).astype(np.float64), ratio**2, float(bias), scale)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold (crc32 of the id modulo 3 is 1).
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on labelled rows outside the held-out fold (crc32 of the id modulo 3 is 1), bounded in rows and in bytes.
 
-    Null labels and ids don't count; of several labels of one id the mean decides.
+    Null labels and ids don't count; of several labels of one id the mean decides,
+    of several documents the text with the smallest hash.  Empty texts and those
+    without words are rows like others.  Executors make the features; the driver
+    gets at most ``sample_bytes`` of them.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isNotNull())
     known = known.where(C.remainder(F.col("_id"), 3) != 1).groupBy("_id").agg((F.avg("_label") >= 0.5).cast("int").alias("_label"))
     picked = C.cut(C.smallest_hashes(C.cut(known), "_id", sample))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")  # at most ``sample`` rows
 
     def run(batches):
         for batch in batches:
             for first, texts in C.chunks(batch, "_text"):
                 got = [f.astype(np.int32) for f in features(texts)]
+                marks = pa.array([zlib.crc32(t) for t in texts], pa.int64())
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), pa.array(got, pa.list_(pa.int32()))], names=["id", "label", "f"])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), marks, pa.array(got, pa.list_(pa.int32()))], names=["id", "label", "mark", "f"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    got = rows.select("_id", "_text", "_label").mapInArrow(run, f"id {kind}, label int, f array<int>").toArrow()
-    got = got.sort_by("id")
+    made = C.cut(rows.select("_id", "_text", "_label").mapInArrow(run, f"id {kind}, label int, mark long, f array<int>"))
+    made = made.withColumn("size", F.size("f"))
+    sizes = made.groupBy("id").agg(F.min(F.struct("mark", "size")).alias("x")).select("id", "x.*").orderBy(F.xxhash64("id"), "id").collect()  # a row a picked id
+    room, fits = sample_bytes // 4, []
+    for r in sizes:
+        if r.size <= room:
+            room, fits = room - r.size, [*fits, (r.id, r.mark)]
+    if not fits:
+        return fit([], np.zeros(0, np.int64))
+    chosen = docs.sparkSession.createDataFrame(fits, f"id {kind}, mark long")
+    got = made.drop("size").dropDuplicates(["id", "mark"]).join(F.broadcast(chosen), ["id", "mark"]).select("id", "label", "f").toArrow().sort_by("id")
     lists = got.column("f").combine_chunks()
     flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else [0]
     found = [flat[a:b].astype(np.int64) for a, b in zip(offsets[:-1], offsets[1:])]

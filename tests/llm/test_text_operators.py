@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from graphweave.llm import bpe, lines, lm, mixing, quality, queries, simhash
 from graphweave.llm import common as C
@@ -383,6 +384,47 @@ def test_quality_features_do_not_depend_on_neighbours():
     assert all((quality.features([t])[0] == f).all() for t, f in zip(texts, together))
 
 
+def test_quality_fit_against_brute_force():
+    """Ratios from counts, and the optimum of the dual: no step along any coordinate improves it, and the gap to the primal closes."""
+    rng = np.random.default_rng(6)
+    labels = rng.integers(0, 2, 80)
+    rows = [np.unique(rng.choice(40, 12) + (rng.random(12) < 0.4) * 10 * y) for y in labels]
+    cost, alpha = 0.7, 1.0
+    m = quality.fit(rows, labels, cost=cost, alpha=alpha, epochs=4000, tolerance=1e-10)
+    ratio = np.zeros(1 << quality.BITS)
+    for k in range(50):
+        p, q = (sum(k in r for r, y in zip(rows, labels) if y == c) for c in (1, 0))
+        if p + q:
+            ratio[k] = math.log((p + alpha) / ((labels == 1).sum() + 2 * alpha)) - math.log((q + alpha) / ((labels == 0).sum() + 2 * alpha))
+    assert m.square == pytest.approx(ratio**2)
+    x = np.zeros((80, 51))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.linalg.norm(ratio[r])
+        x[i, 50] = 1  # the bias
+    y = np.where(labels == 1, 1.0, -1.0)
+    weight = np.append(np.divide(m.weight[:50], ratio[:50], out=np.zeros(50), where=ratio[:50] != 0), m.bias)
+    primal = 0.5 * weight @ weight + cost * np.maximum(0, 1 - y * (x @ weight)).sum()
+    gram, dual = (y[:, None] * x) @ (y[:, None] * x).T, np.zeros(80)
+    pace = 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(20000):  # projected gradient, another way to the same optimum
+        dual = np.clip(dual + pace * (1 - gram @ dual), 0, cost)
+    assert primal == pytest.approx(dual.sum() - 0.5 * dual @ gram @ dual, rel=1e-5)
+    assert weight == pytest.approx(x.T @ (y * dual), abs=1e-3)
+
+
+def test_quality_sample_is_bounded_in_bytes(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(12), 101, 103, 105]], "doc_id long, quality int")
+    whole, few = quality.train(docs, labels), quality.train(docs, labels, sample_bytes=4 * 120)
+    assert 0 < (few.square > 0).sum() < (whole.square > 0).sum()
+    assert (quality.train(docs, labels, sample_bytes=0).square == 0).all()
+
+
+def test_word_hashes_do_not_depend_on_slices():
+    text = b"".join(bytes([97 + i % 26]) * (1 + i % 9000) + b" " for i in range(0, 9000, 700))
+    data, lens = np.frombuffer(text.replace(b" ", b""), np.uint8), np.array([len(w) for w in text.split()])
+    assert C.hash_runs(data, lens, 1000).tolist() == C.hash_runs(data, lens).tolist() == [int(C.hash_runs(np.frombuffer(w, np.uint8), np.array([len(w)]))[0]) for w in text.split()]
+
+
 def test_quality_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows, y = [], []
@@ -420,7 +462,7 @@ def check_lm_counts(rows, got):
 def test_lm_base_scores_on_odd_rows(docs, empty):
     rows = [(r[0], r[1]) for r in odd_rows()]
     for head in (lm.HEAD, 5):  # with the joined counts, too
-        got = lm.score(docs, classes=8, head=head).collect()
+        got = lm.score(docs, words=8, head=head).collect()
         check_lm_counts(rows, got)
         assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert lm.score(empty).count() == 0
@@ -433,14 +475,73 @@ def test_lm_query_beats_the_base_on_held_out_texts(spark, sf):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_scores_against_a_plain_evaluation(spark, docs):
+    """score, token by token in plain Python from the same weights, counts by word."""
+    rows = [(r[0], r[1]) for r in odd_rows()]
+    fitted = lm.fit(docs, words=12, head=6)
+    m, x, w = fitted[0], fitted[0].lexicon, fitted[0].weights
+    count, n_docs = Counter(), 0
+    for i, t in rows:
+        if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2:
+            count.update(words(lowered(t)))
+            n_docs += 1
+    number = {h: i for i, h in zip(x.order.tolist(), x.hashes.tolist())}
+
+    def hash_of(word):
+        return int(lm.tokens([word.encode()])[0][0])
+
+    def softmax(scores, pick):
+        return scores[pick] - math.log(sum(map(math.exp, scores)))
+
+    rest = [[c for v, c in count.items() if hash_of(v) & 255 == s and hash_of(v) not in number] for s in range(lm.SURFACES)]
+    want = []
+    for i, t in rows:
+        said, before, total = words(lowered(t))[:400], [x.start] * lm.CONTEXT, 0.0
+        for v in [*said, None]:
+            h = int(C.END) if v is None else hash_of(v)
+            item = number.get(h, x.n + (h & 255))
+            hidden = sum(w.r[k].astype(float) * w.c[j].astype(float) for j, k in enumerate(before))
+            group = int(x.group[item])
+            total += softmax((w.g[:, :-1].astype(float) @ hidden + w.g[:, -1]).tolist(), group)
+            if item < x.n:
+                lo, hi = x.words_of[group], x.words_of[group + 1]
+                total += softmax((w.w[lo:hi, :-1].astype(float) @ hidden + w.w[lo:hi, -1]).tolist(), item - lo)
+            else:
+                own = rest[item - x.n]
+                total += math.log((count[v] + 1) / (sum(own) + len(own) + 1))
+            before = [item, *before[:-1]]
+        want.append((str(i), len(said) + 1, total / math.log(10)))
+    cut = docs.withColumn("text", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(C.WORD), F.lit(0)), 1, 400), " "))
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.score(cut, fitted=fitted).collect())
+    want.sort()
+    assert [g[:2] for g in got] == [x[:2] for x in want]
+    assert [g[2] for g in got] == pytest.approx([x[2] for x in want], rel=1e-4)
+
+
 def test_lm_probabilities_sum_to_one():
-    pairs = np.random.default_rng(0).integers(0, 9, (12, 12)).astype(float) + 60 * np.roll(np.eye(12), 1, axis=1)
-    contexts, targets, bias = lm.train_nce(pairs, dim=6)
-    p = 10 ** lm.log_probabilities(contexts, targets, bias)
-    assert p.sum(axis=1) == pytest.approx(np.ones(12))
-    flat = (pairs * lm.log_probabilities(contexts, targets, bias)).sum()
-    unigram = pairs.sum(0) / pairs.sum()
-    assert flat > 0.8 * (pairs * np.log10(unigram)).sum()
+    rng = np.random.default_rng(0)
+    lex = lm.Lexicon(np.sort(rng.integers(0, 1 << 60, 50).astype(np.uint64)), np.arange(50, 0, -1) * 9, rng.integers(0, 20, lm.SURFACES), groups=6)
+    items = np.arange(lex.n).repeat(40)[rng.permutation(2000)]
+    following = (items + 1) % lex.n  # every word after the one before it
+    t = lm.Trainer(lex, lm.Weights(lex).flat, rate=0.3)
+    contexts = np.stack([items, rng.integers(0, lex.start + 1, 2000)], axis=1)
+    m = lm.Model(lex, t.w, 0, 0, None, None, None, None, 0)
+    before = m.log_probabilities(following, contexts).mean()
+    for _ in range(60):
+        t.train(following, contexts)
+    assert m.log_probabilities(following, contexts).mean() > before + 1  # it learns what follows what
+    every = np.concatenate([np.arange(lex.n), lex.n + np.arange(lm.SURFACES)])
+    for c in contexts[:3]:
+        p = np.exp(m.log_probabilities(every, np.repeat(c[None], len(every), axis=0)))
+        assert p.sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_lm_weights_are_averaged_over_all_partitions(spark, monkeypatch):
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{(i * j) % 7}" for j in range(1, 30))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9, "doc_id")
+    monkeypatch.setattr(lm, "FAN", 3)
+    got = lm.score(docs).collect()
+    assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
 
 
 # ---------------------------------------------------------------- near copies by shingles
