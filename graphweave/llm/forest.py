@@ -1,14 +1,17 @@
 """Embedding near-duplicates with a forest of random projection trees.
 
 Trees split by random directions at the median, with spill: a row close to the
-border goes to both sides.  Rows are compared inside leaves.  A pair that shares
-several leaves counts in the first of them only, so leaves hand on counts and
-star edges, a row per vector, and never pairs.
+border goes to both sides.  The upper levels are fitted on a sample; leaves that
+are still too large are split further in rounds, each fitted on rows of its own,
+so that leaves have one size whatever the number of rows.  Rows are compared
+inside leaves.  A pair that shares several leaves counts in the first of them
+only, so leaves hand on counts and star edges, a row per vector, and never pairs.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -18,40 +21,54 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import vectors as V
 
-TREES, LEAF, SPILL, BLOCK = 6, 512, 0.5, 1536
-#: Trees are fitted on at most so many vectors, those with the smallest hashes of their ids; all are routed.
-SAMPLE = 16384
+#: Trees, rows of a leaf, spill, and rows of a block of a leaf that can't be split.
+TREES, LEAF, SPILL, BLOCK = 12, 512, 0.2, 1536
+#: The upper levels are fitted on at most SAMPLE vectors, those with the smallest hashes of their ids, and a leaf that
+#: is split further on about FIT of its own; every vector is routed.  A leaf holds LEAST rows of a sample or more.
+SAMPLE, FIT, LEAST = 16384, 2048, 32
+#: Rows of a leaf that one task routes at a time.
+PART = 8192
 
 
 class Tree:
-    """Directions, borders and children of the inner nodes; leaves are numbered from first_leaf."""
+    """Directions, borders and children of the inner nodes, the root first; leaves are numbered from 0, as -1 - number."""
 
-    def __init__(self, sample: np.ndarray, leaf: int, margin: float, rng, first_leaf: int):
-        self.directions, self.borders, self.children, self.margin = [], [], [], margin
-        self.leaves, self.first_leaf = 0, first_leaf
-        self.root = self._grow(sample, np.arange(len(sample)), leaf, rng, 0)
+    def __init__(self, sample: np.ndarray, leaf: float, margin: float, seed: int):
+        self.margin, self.leaves = margin, 0
+        self.directions, self.borders, self.children = [], [], []
+        rng = np.random.default_rng(seed)
+        self.root = self._grow(sample, np.arange(len(sample)), max(leaf, LEAST), rng, 0)
 
     def _grow(self, x, rows, leaf, rng, depth):
-        if len(rows) > max(leaf, 16) and depth < 40:
-            way = rng.normal(size=x.shape[1])
-            way /= np.linalg.norm(way)
-            at = x[rows] @ way
-            border = float(np.median(at))
+        if len(rows) > leaf and depth < 40:
+            ways = rng.normal(size=(x.shape[1], 3))
+            at = x[rows] @ (ways / np.linalg.norm(ways, axis=0))
+            widest = int(np.argmax(at.std(axis=0)))  # of three random directions
+            at, border = at[:, widest], float(np.median(at[:, widest]))
             left, right = rows[at <= border + self.margin], rows[at >= border - self.margin]
             # A clump within the margin can't be split: it stays a leaf, which is compared in blocks.
             if max(len(left), len(right)) <= 0.85 * len(rows):
                 me = len(self.borders)
-                self.directions.append(way)
+                self.directions.append(ways[:, widest] / np.linalg.norm(ways[:, widest]))
                 self.borders.append(border)
                 self.children.append(None)
                 self.children[me] = (self._grow(x, left, leaf, rng, depth + 1), self._grow(x, right, leaf, rng, depth + 1))
                 return me
         self.leaves += 1
-        return -(self.first_leaf + self.leaves)
+        return -self.leaves
+
+    def to_bytes(self) -> bytes:
+        return pickle.dumps((self.margin, self.root, np.array(self.directions), self.borders, self.children))
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        tree.margin, tree.root, tree.directions, tree.borders, tree.children = pickle.loads(data)
+        return tree
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of all leaves that each row goes to."""
-        out, todo = [], [(self.root, np.arange(len(x)))]
+        out, todo = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], [(self.root, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
             if not len(rows):
@@ -62,30 +79,28 @@ class Tree:
             at = x[rows] @ self.directions[node]
             for child, side in zip(self.children[node], (at <= self.borders[node] + self.margin, at >= self.borders[node] - self.margin)):
                 todo.append((child, rows[side]))
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(np.concatenate(c) for c in zip(*out))
 
 
 class Forest:
-    def __init__(self, sample: np.ndarray, total: int, least: float, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 5):
-        """Two unit vectors of cosine ``least`` are ``apart``; projected, their distance has about apart / sqrt(dim) as deviation."""
-        rng = np.random.default_rng(seed)
-        apart = math.sqrt(max(0.0, 2 - 2 * least))
-        margin = spill * apart / math.sqrt(sample.shape[1])
-        small = leaf * len(sample) / max(total, 1)
-        self.trees, first = [], 0
-        for _ in range(trees):
-            tree = Tree(sample, small, margin, rng, first)
-            self.trees.append(tree)
-            first += tree.leaves
+    """Trees over a sample of a table; their leaves are numbered through."""
+
+    def __init__(self, sample: np.ndarray, total: int, margin: float, trees: int = TREES, leaf: int = LEAF, seed: int = 5):
+        self.trees = [Tree(sample, leaf * len(sample) / max(total, 1), margin, seed + k) for k in range(trees)]
+        self.first = np.cumsum([0, *[t.leaves for t in self.trees]])
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row, leaf = (np.concatenate(c) for c in zip(*[t.route(x) for t in self.trees]))
+        found = [t.route(x) for t in self.trees]
+        row, leaf = np.concatenate([r for r, _ in found]), np.concatenate([k + f for (_, k), f in zip(found, self.first)])
         order = np.lexsort((leaf, row))
         return row[order], leaf[order]
 
 
+def margin_of(least: float, dim: int, spill: float = SPILL) -> float:
+    """Two unit vectors of cosine ``least`` are ``apart``; projected, their distance has about apart / sqrt(dim) as deviation."""
+    return spill * math.sqrt(max(0.0, 2 - 2 * least)) / math.sqrt(dim)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -139,7 +154,90 @@ def compare(table: pa.Table, dim: int, least: float) -> pa.Table:
     return pa.table({"rep": smallest, "links": links.astype(np.int64), "root": least_of[root]})
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+def _leaf_of(leaf: np.ndarray | int, sub: np.ndarray) -> np.ndarray:
+    """Number of a leaf's leaf: a 64-bit hash of both."""
+    return C.mix64(C.mix64(np.asarray(leaf, np.int64).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + sub.astype(np.uint64)).view(np.int64)
+
+
+def split_leaves(members: DataFrame, dim: int, leaf: int, margin: float, seed: int, fit: int) -> DataFrame:
+    """(leaf, rep, v) of ``members`` (leaf, size, rep, v) in leaves of their leaves.
+
+    Each leaf gets a tree fitted on about ``fit`` of its own rows; its rows are
+    dealt to tasks of PART rows, each of which has a copy of the tree.
+    """
+    h = F.xxhash64("rep", "leaf")
+    low = F.when(F.col("size") > fit, (F.lit(fit) / F.col("size") * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit((1 << 63) - 1))
+
+    def grow(t: pa.Table) -> pa.Table:
+        x = _unit(V.matrix(t.column("v"), dim))
+        size, k = t.column("size")[0].as_py(), t.column("leaf")[0].as_py()
+        tree = Tree(x, leaf * len(x) / size, margin, seed + k % (1 << 32))
+        return pa.table({"leaf": pa.array([k], pa.int64()), "parts": pa.array([-(-size // PART)], pa.int64()), "tree": pa.array([tree.to_bytes()], pa.binary())})
+
+    trees = C.cut(members.where(h <= low).groupBy("leaf").applyInArrow(grow, "leaf long, parts long, tree binary"))
+    trees = trees.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "tree")
+    dealt = members.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "rep"), F.ceil(F.col("size") / PART)))
+
+    def route(rows: pa.Table, tree: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"leaf": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64()))})
+        if not tree.num_rows:  # none of its rows was picked to fit on: it stays as it is
+            return rows.select(["leaf", "rep", "v"])
+        x = V.matrix(rows.column("v"), dim)
+        row, sub = Tree.from_bytes(tree.column("tree")[0].as_py()).route(_unit(x))
+        return pa.table({"leaf": _leaf_of(rows.column("leaf")[0].as_py(), sub), "rep": rows.column("rep").to_numpy()[row], "v": V.lists(x[row])})
+
+    return dealt.groupBy("leaf", "part").cogroup(trees.groupBy("leaf", "part")).applyInArrow(route, "leaf long, rep long, v array<double>")
+
+
+def leaves_of(classes: DataFrame, dim: int, least: float, trees: int, leaf: int, sample: int, fit: int = FIT, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(rep, n, v, leaves) of all classes, the leaves of each sorted; and (leaf, size) of all leaves.
+
+    Rounds of splitting go on while a leaf has over twice ``leaf`` rows and the
+    last round made it smaller.  What a round has split stands in the shared folder.
+    """
+    margin = margin_of(least, dim)
+    total = classes.count()
+    some = C.smallest_hashes(classes.select("rep", "v"), "rep", sample).toArrow()
+    shared = classes.sparkSession.sparkContext.broadcast(Forest(_unit(V.matrix(some.column("v"), dim)), total, margin, trees, leaf))  # SAMPLE and LEAST bound its nodes
+
+    def route(batches):
+        for batch in batches:
+            x = V.matrix(batch.column("v"), dim)
+            for a in range(0, len(x), 2048):
+                row, at = shared.value.route(_unit(x[a : a + 2048]))
+                ends = np.searchsorted(row, np.arange(min(2048, len(x) - a) + 1)).astype(np.int32)
+                part = batch.slice(a, 2048)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("n"), part.column("v"), pa.ListArray.from_arrays(pa.array(ends), pa.array(at))], names=["rep", "n", "v", "leaves"])
+
+    routed = classes.select("rep", "n", "v").mapInArrow(route, "rep long, n long, v array<double>, leaves array<long>")
+    sizes = C.cut(routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("size")))
+    if sizes.where(F.col("size") > 2 * leaf).isEmpty():
+        return routed, sizes
+    members, closed = C.cut(routed.select(F.explode("leaves").alias("leaf"), "rep", "v")), None
+    last = None
+    for k in range(rounds):
+        large = sizes.where(F.col("size") > 2 * leaf)
+        over = large.agg(F.count("*").alias("leaves"), F.sum("size").alias("rows")).first()
+        stuck = last is not None and (over.rows or 0) >= 0.98 * last
+        small = members if not over.leaves or stuck else members.join(large.select("leaf"), "leaf", "left_anti")
+        small = small.select("leaf", "rep")
+        closed = small if closed is None else closed.unionByName(small)
+        if not over.leaves or stuck:
+            break
+        last = over.rows
+        members = C.cut(split_leaves(members.join(large, "leaf"), dim, leaf, margin, 1000 * (k + 1), fit))
+        sizes = C.cut(members.groupBy("leaf").agg(F.count("*").alias("size")))
+    else:
+        closed = closed.unionByName(members.select("leaf", "rep"))
+    closed = C.cut(closed)
+    lists = closed.groupBy("rep").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
+    return C.cut(classes.select("rep", "n", "v").join(lists, "rep")), closed.groupBy("leaf").agg(F.count("*").alias("size"))
+
+
+def near_duplicates(
+    vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE, fit: int = FIT
+) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``.
 
     Equal vectors are one class, with its size as weight.  Vectors that are null,
@@ -158,40 +256,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     if not dim:
         return alone
     classes = C.cut(fine.select("vec_id", "v", h1, h2).groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
-    total = classes.count()
-    sample = C.smallest_hashes(classes.select("rep", "v"), "rep", SAMPLE).toArrow()
-    shared = classes.sparkSession.sparkContext.broadcast(Forest(_unit(V.matrix(sample.column("v"), dim)), total, least, trees, leaf))
-
-    def sizes(batches):
-        count: dict[int, int] = {}
-        for batch in batches:
-            for k, c in zip(*np.unique(shared.value.route(_unit(V.matrix(batch.column("v"), dim)))[1], return_counts=True)):
-                count[int(k)] = count.get(int(k), 0) + int(c)
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["leaf", "size"])
-
-    size = {r.leaf: r.size for r in classes.select("v").mapInArrow(sizes, "leaf long, size long").groupBy("leaf").agg(F.sum("size").alias("size")).withColumnRenamed("size", "size").collect()}  # a row per leaf: SAMPLE bounds them
-    cuts = {k: -(-s // block) for k, s in size.items() if s > block}
-
-    def deal(batches):
-        """Rows by leaf; a leaf above ``block`` rows by pairs of blocks, so that no group is larger than two."""
-        for batch in batches:
-            x = V.matrix(batch.column("v"), dim)
-            rep = batch.column("rep").to_numpy()
-            row, leaf_of = shared.value.route(_unit(x))
-            start = np.searchsorted(row, np.arange(len(x) + 1))
-            parts = np.array([cuts.get(int(k), 1) for k in leaf_of], np.int64)
-            sub = (C.mix64(rep[row].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-            take = np.repeat(np.arange(len(row)), parts)
-            other = np.arange(len(take)) - np.repeat(np.cumsum(parts) - parts, parts)
-            low, high = np.minimum(sub[take], other), np.maximum(sub[take], other)
-            for i in range(0, len(take), 4096):
-                t = take[i : i + 4096]
-                r = row[t]
-                lists = pa.array([leaf_of[start[j] : start[j + 1]] for j in r], pa.list_(pa.int64()))
-                cols = [pa.array(leaf_of[t]), pa.array(low[i : i + 4096]), pa.array(high[i : i + 4096]), pa.array(low[i : i + 4096] != high[i : i + 4096]), pa.array(sub[t]), batch.column("rep").take(pa.array(r)), batch.column("n").take(pa.array(r)), lists, V.lists(x[r])]
-                yield pa.RecordBatch.from_arrays(cols, names=["leaf", "low", "high", "pair", "sub", "rep", "n", "leaves", "v"])
-
-    dealt = classes.select("rep", "n", "v").mapInArrow(deal, "leaf long, low long, high long, pair boolean, sub long, rep long, n long, leaves array<long>, v array<double>")
+    routed, sizes = leaves_of(classes, dim, least, trees, leaf, sample, fit)
+    # A leaf above ``block`` rows, a clump, goes by pairs of blocks, so that no group is larger than two.
+    cuts = sizes.where(F.col("size") > block).select(F.col("leaf").alias("cut_leaf"), F.ceil(F.col("size") / block).cast("long").alias("parts"))
+    dealt = routed.select("rep", "n", "v", "leaves", F.explode("leaves").alias("leaf"))
+    dealt = dealt.join(cuts, F.col("leaf") == F.col("cut_leaf"), "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("sub", F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("leaf", F.least("sub", "other").alias("low"), F.greatest("sub", "other").alias("high"), (F.col("sub") != F.col("other")).alias("pair"), "sub", "rep", "n", "leaves", "v")
     found = C.cut(dealt.groupBy("leaf", "low", "high").applyInArrow(lambda t: compare(t, dim, least), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = C.connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
