@@ -2,10 +2,14 @@
 
 Several Hilbert orderings of projected, shifted vectors are range-partitioned.
 A query meets the tile of its key and the tiles beside it in every ordering;
-their best rows are merged and reranked.  The distance of its k-th best so far
-then bounds an exact check: the query set against all rows, in blocks, where a
-block that lies farther than the bound is passed over.  So results are exact;
-the better the curves do, the less the check has to look at.
+their best rows are merged and reranked.  Rows stay in the tile of their key and
+only queries travel to neighbouring tiles, so that a wide window costs products
+of matrices, no shuffle.
+
+With ``exact`` a check follows: the distance of a query's k-th best so far bounds
+which blocks of rows can hold a nearer one, from their centres and radii, a row a
+block; only those are met.  On clustered rows they are few, on independent ones
+nearly all.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import vectors as V
 
-CURVES, DIMS, CELL_BITS, TILE, BLOCK, QUERY_BLOCK = 4, 8, 7, 1024, 4096, 512
+CURVES, DIMS, CELL_BITS, TILE, BLOCK, QUERY_BLOCK = 8, 8, 7, 4096, 4096, 512
+#: Queries of a group that meets the blocks' centres and radii in one task.
+ASKS = 16384
 #: The projections' ranges come from at most so many rows, those with the smallest hashes of their ids.
 SAMPLE = 8192
 _FOUND = "query_id long, vec_id long, score double"
@@ -199,40 +205,75 @@ def _curve_stage(rows, dim, k, n_curves, tile):
     return ranked, C.cut(window_candidates(ranked, dim, k, tile))
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", n_curves: int = CURVES, tile: int = TILE) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest other rows of each query, by Euclidean distance.
+def reachable(asks: DataFrame, blocks: DataFrame, total: int, dim: int) -> DataFrame:
+    """(block, asks, vec_id): the blocks (block, centre, radius) that can hold a row within each query's bound.
 
-    Nearest first, ties to the smaller id; all rows, if there are fewer than k.
-    Vectors that are null, empty, zero, of an odd length or hold null or
-    non-finite components take no part, nor do rows without id.  Equal rows count
-    once; a query never meets a row with its own id.
+    Queries go in groups of about ASKS; every group meets all blocks, a row a block.
     """
-    rows, dim = _prepare(vectors, is_query, id_col, vector_col)
-    if not dim:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    ranked, near = _curve_stage(rows, dim, k, n_curves, tile)
-    total = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
-    n_blocks, n_asks = max(1, -(-total.n // BLOCK)), max(1, -(-total.q // QUERY_BLOCK))
+    groups = max(1, -(-total // ASKS))
+    one = asks.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("g"), F.lit(-1).cast("long").alias("block"), "asks", "vec_id", "v", "bound")
+    two = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "block", F.lit(0).alias("asks"), F.lit(0).cast("long").alias("vec_id"), F.col("centre").alias("v"), F.col("radius").alias("bound"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        block, x, far = t.column("block").to_numpy(), V.matrix(t.column("v"), dim), t.column("bound").to_numpy()
+        q, c = np.flatnonzero(block < 0), np.flatnonzero(block >= 0)
+        hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i in range(0, len(q), 1024):
+            part = x[q[i : i + 1024]]
+            apart = np.sqrt(np.maximum((part * part).sum(1)[:, None] + (x[c] * x[c]).sum(1)[None, :] - 2 * part @ x[c].T, 0))
+            slack = 1e-6 * (1 + apart)  # rounding of the matrix product
+            a, b = np.nonzero(apart - far[c][None, :] - slack <= far[q[i : i + 1024]][:, None])
+            hits.append((q[i + a], c[b]))
+        a, b = (np.concatenate(h) for h in zip(*hits))
+        return pa.table({"block": block[b], "asks": t.column("asks").to_numpy()[a], "vec_id": t.column("vec_id").to_numpy()[a]})
+
+    return one.unionByName(two).groupBy("g").applyInArrow(meet, "block long, asks int, vec_id long")
+
+
+def check(rows: DataFrame, ranked: DataFrame, near: DataFrame, dim: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of all rows no farther than a query's k-th best of ``near``; all rows, if it has fewer."""
+    total = rows.where("is_query").count()
     nth = W.partitionBy("query_id").orderBy("score", "vec_id")
     bound = near.withColumn("rank", F.row_number().over(nth)).where(F.col("rank") == k).select(F.col("query_id").alias("qid"), F.col("score").alias("bound"))
     asks = rows.where("is_query").select("vec_id", "v").join(bound, F.col("vec_id") == F.col("qid"), "left")
-    none = F.lit(float("inf"))
-    ask_block = F.pmod(F.xxhash64("vec_id"), F.lit(n_asks)).cast("int")
-    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), ask_block.alias("asks"), F.lit(1).alias("role"), "vec_id", "v", F.coalesce("bound", none).alias("bound"))
-    # Blocks are runs of the first ordering, so that they are compact and a bound can pass over them.
-    data = ranked.where("curve = 0").select(F.floor(F.col("place") / BLOCK).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))).alias("asks"), F.lit(0).alias("role"), "vec_id", "v", none.alias("bound"))
-
-    def check(table):
-        q_ids, q, x_ids, x, role = _split(table, dim)
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-total // QUERY_BLOCK)))).cast("int")
+    asks = C.cut(asks.select("vec_id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"), part.alias("asks")))
+    # Blocks are runs of the first ordering, so that they are compact.
+    data = ranked.where("curve = 0").select(F.floor(F.col("place") / BLOCK).cast("long").alias("block"), "vec_id", "v")
+
+    def sphere(t: pa.Table) -> pa.Table:
+        x = V.matrix(t.column("v"), dim)
+        centre = x.mean(0)
+        return pa.table({"block": t.column("block")[:1], "centre": V.lists(centre[None]), "radius": [float(np.sqrt(((x - centre) ** 2).sum(1).max()))]})
+
+    blocks = data.groupBy("block").applyInArrow(sphere, "block long, centre array<double>, radius double")
+    pairs = C.cut(reachable(asks, blocks, total, dim))
+    met = pairs.join(asks.drop("asks"), "vec_id").select("block", "asks", F.lit(1).alias("role"), "vec_id", "v", "bound")
+    held = pairs.select("block", "asks").distinct().join(data, "block").select("block", "asks", F.lit(0).alias("role"), "vec_id", "v", F.lit(0.0).alias("bound"))
+
+    def best(t: pa.Table) -> pa.Table:
+        q_ids, q, x_ids, x, role = _split(t, dim)
         if not len(q_ids) or not len(x_ids):
             return _found([])
-        bounds = table.column("bound").to_numpy()[role == 1]
-        centre = x.mean(0)
-        radius = np.sqrt(((x - centre) ** 2).sum(1).max())
-        reach = np.sqrt(((q - centre) ** 2).sum(1)) - radius <= bounds * (1 + 1e-9) + 1e-9
-        q_ids, q, bounds = q_ids[reach], q[reach], bounds[reach]
+        bounds = t.column("bound").to_numpy()[role == 1]
         return _found([_best(q_ids[i : i + 256], q[i : i + 256], x_ids, x, k, bounds[i : i + 256]) for i in range(0, len(q_ids), 256)])
 
-    checked = data.union(asks).groupBy("block", "asks").applyInArrow(check, _FOUND)
-    merged = near.union(checked).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return merged.withColumn("rank", F.row_number().over(nth)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return met.unionByName(held).groupBy("block", "asks").applyInArrow(best, _FOUND)
+
+
+def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", n_curves: int = CURVES, tile: int = TILE, exact: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest other rows found of each query, by Euclidean distance.
+
+    Nearest first, ties to the smaller id; all rows, if there are fewer than k.
+    What the curves find is nearest among the rows met; with ``exact`` a check over
+    all rows follows.  Vectors that are null, empty, zero, of an odd length or hold
+    null or non-finite components take no part, nor do rows without id.  Equal rows
+    count once; a query never meets a row with its own id.
+    """
+    rows, dim = _prepare(vectors, is_query, id_col, vector_col)
+    if not dim:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    ranked, near = _curve_stage(rows, dim, k, n_curves, tile)
+    found = near.union(check(rows, ranked, near, dim, k)).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")) if exact else near
+    nth = W.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(nth)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
