@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import cut
 
 # What each scope compares.
 SCOPES = {"methods": ["MethodDeclaration"], "functions": ["FunctionDeclaration"], "classes": ["ClassDeclaration"], "all": ["MethodDeclaration", "FunctionDeclaration", "ClassDeclaration"]}
@@ -54,31 +54,77 @@ def semantic_confidence(similarity, items=2):
     return F.when((similarity >= 0.9) & (F.lit(items) >= 2), "HIGH").when(similarity >= 0.85, "MEDIUM").otherwise("LOW")
 
 
+def _unit(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def near_blocks(rows: DataFrame, dim: int, reach: float, block: int, seed: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(rows with their block b, pairs (i, j) of blocks that can hold rows no farther than ``reach``).
+
+    A block is a cell of random hyperplanes, cut by hash where it is too large;
+    its centre and radius tell what it can reach.  Pairs of blocks are looked at
+    in tasks, some blocks against all; rows follow only where a pair survives.
+    """
+    total = rows.count()
+    bits = max(0, int(np.ceil(np.log2(max(total, 1) / block))))
+    planes = np.random.default_rng(seed).normal(size=(dim, bits))
+
+    def cell(batches):
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            code = ((x @ planes > 0) << np.arange(bits)).sum(1) if bits else np.zeros(len(x), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int64))], names=[*batch.schema.names, "cell"])
+
+    rows = cut(rows.select("id", "v").mapInArrow(cell, "id string, v array<double>, cell long"))
+    parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
+    rows = rows.join(parts, "cell").withColumn("b", F.xxhash64("cell", F.pmod(F.xxhash64("id"), F.col("parts")))).drop("cell", "parts")
+    rows = cut(rows)
+
+    def sphere(t: pa.Table) -> pa.Table:
+        x = _unit(t.column("v"), dim)
+        centre = x.mean(0)
+        return pa.table({"b": t.column("b")[:1], "centre": pa.array([centre.tolist()]), "radius": [float(np.sqrt(((x - centre) ** 2).sum(1).max()))]})
+
+    blocks = cut(rows.select("b", "v").groupBy("b").applyInArrow(sphere, "b long, centre array<double>, radius double"))
+    groups = max(1, -(-blocks.count() // 1024))
+    one = blocks.select(F.pmod("b", F.lit(groups)).alias("g"), F.lit(0).alias("side"), "b", "centre", "radius")
+    two = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.lit(1).alias("side"), "b", "centre", "radius")
+
+    def meet(t: pa.Table) -> pa.Table:
+        side, b, c, r = t.column("side").to_numpy(), t.column("b").to_numpy(), _unit(t.column("centre"), dim), t.column("radius").to_numpy()
+        p, q, out = np.flatnonzero(side == 0), np.flatnonzero(side == 1), []
+        for i in p:
+            apart = np.sqrt(((c[q] - c[i]) ** 2).sum(1)) - r[q] - r[i]
+            out.append(np.stack([np.full((apart <= reach + 1e-9).sum(), b[i]), b[q[apart <= reach + 1e-9]]]))
+        i, j = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64())})
+
+    return rows, cut(one.unionByName(two).groupBy("g").applyInArrow(meet, "i long, j long"))
+
+
 def similar_pairs(nodes: DataFrame, least: float = 0.8, neighbours: int = 50, limit: int | None = None, scale: str = "unit", group_cols=("coreType",), block: int = 1024) -> DataFrame:
     """(id1, id2, similarity): of each node's ``neighbours`` nearest, the similar ones of its kind, from another file and with another hash.
 
     Nearest are taken among all vectors, before any filter, in exact arithmetic:
-    rows are dealt to blocks, and each pair of blocks is one matrix product, whose
-    best rows a node are merged.  ``least`` prunes before the merge where that
-    can't change the result.
+    vectors lie in compact blocks, and each pair of blocks that can hold similar
+    ones is one matrix product, whose best rows a node are merged.  ``least``
+    prunes blocks and rows, which can't change the result.
     """
     rows = nodes.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("v"), "filePath", "normalizedHash", F.concat_ws("|", *group_cols).alias("kind"))
-    n = max(1, -(-rows.count() // block))
-    at = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    slim = rows.select(at.alias("b"), "id", "v")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = slim.select(F.col("b").alias("i"), every.alias("j"), F.lit(0).alias("side"), "id", "v")
-    right = slim.select(every.alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), "id", "v")
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    some = rows.withColumn("size", size).where("size > 0").select("id", F.transform("v", lambda x: x / F.col("size")).alias("v"))
+    dim = (some.agg(F.max(F.size("v"))).first()[0]) or 0
+    if not dim:
+        none = F.lit(None).cast("string")
+        return rows.limit(0).select(F.col("id").alias("id1"), F.col("id").alias("id2"), F.lit(0.0).alias("similarity"), none.alias("file1"), none.alias("file2"))
+    cosine = 2 * least - 1 if scale == "unit" else least
+    some, pairs = near_blocks(some.where(F.size("v") == dim), dim, float(np.sqrt(max(0.0, 2 - 2 * cosine))), block)
+    left = pairs.join(some, F.col("i") == F.col("b")).select("i", "j", F.lit(0).alias("side"), "id", "v")
+    right = pairs.join(some, F.col("j") == F.col("b")).select("i", "j", F.lit(1).alias("side"), "id", "v")
 
     def best(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        ids = np.array(t.column("id").to_pylist(), object)
-        x = np.stack([np.asarray(v.as_py(), float) for v in t.column("v")]) if t.num_rows else np.zeros((0, 1))
-        size = np.sqrt((x * x).sum(1))
-        x = np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0)
-        a, b = np.flatnonzero((side == 0) & (size > 0)), np.flatnonzero((side == 1) & (size > 0))
-        if not len(a) or not len(b):
-            return pa.table({"id1": pa.array([], pa.string()), "id2": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
+        side, ids, x = t.column("side").to_numpy(), np.array(t.column("id").to_pylist(), object), _unit(t.column("v"), dim)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         s = x[a] @ x[b].T
         s = (1 + s) / 2 if scale == "unit" else s
         s[ids[a][:, None] == ids[b][None, :]] = -9
@@ -98,24 +144,31 @@ def similar_pairs(nodes: DataFrame, least: float = 0.8, neighbours: int = 50, li
 
 
 def greedy_pairs(pairs: DataFrame, structural: DataFrame | None = None) -> DataFrame:
-    """Pairs by falling similarity whose nodes no earlier pair has used.
+    """Pairs by falling similarity whose nodes no earlier pair has used, ties by id.
 
-    Meant for the cut rows of similar_pairs(limit=...): choosing is sequential, so
-    they go through one task.  Pairs that share a structural group don't count.
+    A pair that is the first one left at both its nodes would be chosen whatever
+    comes before it, so all such pairs are chosen at once; rounds go on until none
+    is left.  Pairs that share a structural group don't count.
     """
-    rows = pairs
+    rows = pairs.where("file1 != file2")
     if structural is not None:
         h = structural.select(F.col("id"), F.col("normalizedHash"))
         a, b = h.select(F.col("id").alias("id1"), F.col("normalizedHash").alias("h1")), h.select(F.col("id").alias("id2"), F.col("normalizedHash").alias("h2"))
         rows = rows.join(a, "id1", "left").join(b, "id2", "left").where("h1 is null or h2 is null or h1 != h2").drop("h1", "h2")
+    rest, chosen = cut(rows.dropDuplicates(["id1", "id2"])), None
+    place = F.struct((-F.col("similarity")).alias("s"), F.col("id1").alias("a"), F.col("id2").alias("b"))
+    while not rest.isEmpty():
+        ends = rest.select(F.explode(F.array("id1", "id2")).alias("x"), place.alias("p"))
+        first = ends.groupBy("x").agg(F.min("p").alias("p"))
+        both = first.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select(F.col("p.a").alias("id1"), F.col("p.b").alias("id2"))
+        taken = cut(rest.join(both, ["id1", "id2"], "left_semi"))
+        used = taken.select(F.explode(F.array("id1", "id2")).alias("x"))
+        rest = cut(rest.join(used, F.col("id1") == F.col("x"), "left_anti").join(used, F.col("id2") == F.col("x"), "left_anti"))
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+    chosen = rest if chosen is None else chosen
+    return chosen.withColumn("confidence", semantic_confidence(F.col("similarity"))).withColumn("rounded", F.round("similarity", 3))
 
-    def choose(t: pd.DataFrame) -> pd.DataFrame:
-        used, keep = set(), []
-        for r in t.sort_values(["similarity", "id1", "id2"], ascending=[False, True, True]).itertuples(index=False):
-            if r.id1 not in used and r.id2 not in used and r.file1 != r.file2:
-                used |= {r.id1, r.id2}
-                keep.append(r)
-        return pd.DataFrame(keep, columns=t.columns)
 
-    chosen = rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(lambda t: choose(t.drop(columns="_all")), rows.schema)
-    return chosen.withColumn("confidence", semantic_confidence(F.col("similarity"))).withColumn("rounded", F.round("similarity", 3))
+def stats(groups: DataFrame) -> DataFrame:
+    """(type, groups, items): how much is duplicated, by type of group."""
+    return groups.groupBy("type").agg(F.count("*").alias("groups"), F.sum("n_items").alias("items"))

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import vectors
-from ..storage import cut
+from ..functions import text, vectors
+from ..storage import cut, numbered
 
 MAX_DEPTH = 5
 DECAY, NO_WEIGHT = 0.85, 0.5
@@ -151,8 +151,8 @@ def traverse(g: PropertyGraph, start_id: str, depth: int = 3, direction: str = "
     found = paths(g.edges, start, depth, direction, types).where(F.col("id") != start_id)
     rows = found.join(g.nodes.select("id", "name", "coreType", "semanticType", "filePath", "labels"), "id")
     if skip:
-        order = W.orderBy("depth", "id", F.concat_ws("/", "path_edges"))
-        rows = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") > skip).drop("_k")
+        rows = rows.withColumn("_path", F.concat_ws("/", "path_edges"))
+        rows = numbered(rows, ["depth", "id", "_path"], "_k").where(F.col("_k") >= skip).drop("_k", "_path")
     return rows
 
 
@@ -212,6 +212,52 @@ def response(found: DataFrame, most: int = 50) -> DataFrame:
     )
 
 
+def shown_nodes(found: DataFrame, most: int = 50, code: bool = False, snippet: int = 500) -> DataFrame:
+    """(id, name, type, filePath, depth[, sourceCode]): the distinct nodes of an answer in order of depth and path, ``most`` of them."""
+    first = F.min(F.struct("depth", F.concat_ws("/", "path_edges").alias("p")))
+    cols = ["name", "filePath", display_type().alias("type"), *(["sourceCode"] if code and "sourceCode" in found.columns else [])]
+    rows = found.select("id", "depth", "path_edges", *cols)
+    rest = [c for c in rows.columns if c not in ("id", "depth", "path_edges")]
+    one = rows.groupBy("id").agg(first.alias("at"), F.any_value(F.struct(*rest)).alias("x")).orderBy("at", "id").limit(most)
+    out = one.select("id", "x.*", F.col("at.depth").alias("depth"))
+    return out.withColumn("sourceCode", F.substring("sourceCode", 1, snippet)) if "sourceCode" in out.columns else out
+
+
+def shown_edges(found: DataFrame) -> DataFrame:
+    """(depth, type, direction of travel by its last edge, id): what an answer's nodes were reached by, distinct."""
+    return found.select("depth", F.element_at("path_types", -1).alias("type"), F.element_at("path_edges", -1).alias("edge_id"), "id").distinct()
+
+
+def common_root(found: DataFrame) -> DataFrame:
+    """One row (projectRoot): the folders that all files of an answer share.
+
+    The smallest and the largest path share what all of them share.
+    """
+    ends = found.where("filePath is not null").agg(F.array(F.min("filePath"), F.max("filePath")).alias("p"))
+    return ends.select(F.when(F.get("p", F.lit(0)).isNotNull(), text.common_root(F.col("p"))).alias("projectRoot"))
+
+
+#: Fixed value: an answer with more characters is given as its summary.
+MOST_CHARACTERS = 50_000
+
+
+def answer(found: DataFrame, per_chain: int = 5, most: int = 50, summary_only: bool = False, characters: int = MOST_CHARACTERS, code: bool = False) -> dict[str, DataFrame]:
+    """What a traversal returns: totals, nodes, chains by depth; or, above ``characters`` of JSON, totals and files instead.
+
+    ``most`` and ``per_chain`` bound nodes and chains; the size is measured, not the rows fetched.
+    """
+    totals = response(found, most)
+    summary = {"totals": totals, "depths": depth_summary(found, per_chain).drop("chains"), "files": file_summary(found)}
+    if summary_only:
+        return summary
+    full = {"totals": totals, "nodes": shown_nodes(found, most, code), "edges": shown_edges(found), "depths": depth_summary(found, per_chain), "root": common_root(found)}
+    size = sum(df.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()[0] for k, df in full.items() if k != "edges")
+    if size <= characters:
+        return full
+    spark = found.sparkSession
+    return summary | {"note": spark.createDataFrame([(True, int(size))], "autoSummarized boolean, originalSize long")}
+
+
 def find_start(nodes: DataFrame, file_path: str) -> DataFrame:
     """The source file of a path; without an exact match, up to five whose path ends so or that have this name.
 

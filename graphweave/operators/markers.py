@@ -52,10 +52,23 @@ def purged(markers: DataFrame, now: int, below: float = 0.01) -> DataFrame:
 def nodes_of_files(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """Ids that mark a list of paths: nodes whose path ends so, and the paths themselves."""
     wanted = files.select(F.col("path"))
-    hits = nodes.join(wanted, nodes.filePath.endswith(wanted.path)).select("id")
+    hits = ending_in(nodes, wanted, "filePath", "path").select("id")
     return hits.union(wanted.select(F.col("path").alias("id"))).distinct()
 
 
+def ending_in(rows: DataFrame, wanted: DataFrame, text_col: str, end_col: str) -> DataFrame:
+    """Each of ``rows`` with each of ``wanted`` that its text ends in: an equi-join on the text's tails.
+
+    Only tails as long as a wanted end are made; there are no more lengths than
+    characters in a path.
+    """
+    ends = wanted.where(F.col(end_col).isNotNull()).distinct()
+    lengths = [r.n for r in ends.select(F.length(end_col).alias("n")).distinct().collect()]
+    sizes = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length(text_col))
+    tails = rows.withColumn("_tail", F.explode(F.transform(sizes, lambda n: F.substring(F.col(text_col), F.length(text_col) - n + 1, n))))
+    return tails.join(ends, F.col("_tail") == F.col(end_col)).drop("_tail")
+
+
 def deposit(markers: DataFrame, new: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Upsert by node, agent, swarm and type: the latest strength, time and data, but the first half-life.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 # Categories as declared, their order at delivery, and the time to live in milliseconds.
 CATEGORIES = ["blocked", "conflict", "finding", "request", "alert", "handoff"]
 DELIVERY = ["alert", "conflict", "blocked", "request", "finding", "handoff"]
@@ -50,5 +52,13 @@ def pending(messages: DataFrame, agent: str, now: int, swarm: str | None = None,
     return rows.withColumn("rank", F.when(rank > 0, rank - 1).otherwise(len(DELIVERY))).orderBy("rank", F.col("timestamp").desc(), "id").limit(limit)
 
 
+def delivered(messages: DataFrame, agent: str, now: int, swarm: str | None = None, limit: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(what is delivered with a claim, ``messages`` with that marked as read by the agent)."""
+    got = cut(pending(messages, agent, now, swarm, limit))
+    hit = messages.join(got.select(F.col("id").alias("_id"), F.lit(True).alias("_hit")), F.col("id") == F.col("_id"), "left").drop("_id")
+    read = F.when(F.col("_hit") & ~F.array_contains("readBy", agent), F.concat("readBy", F.array(F.lit(agent)))).otherwise(F.col("readBy"))
+    return got, hit.withColumn("readBy", read).drop("_hit")
+
+
 def unexpired(messages: DataFrame, now: int) -> DataFrame:
     return messages.where(F.col("expiresAt") > now)

@@ -10,6 +10,48 @@ from .search import vector_search
 
 #: Bookmarks that stay per session.
 KEEP = 3
+# Labels of what agents keep among themselves.
+HIDDEN = ("Pheromone", "SwarmTask", "SessionBookmark", "SessionNote")
+
+
+# What a bookmark and a note can't be without, and the shortest summary.
+BOOKMARK_NEEDS, NOTE_NEEDS, SHORTEST_SUMMARY = ["summary", "taskContext", "workingSetNodeIds"], ["topic", "content", "category"], 10
+
+
+def kind_to_save(given: dict, kind: str = "auto") -> str:
+    """bookmark, note or both; raises if what they need is missing.
+
+    Left to itself a working set makes a bookmark, topic with content a note.
+    """
+    has = {k for k, v in given.items() if v}
+    if kind == "auto":
+        parts = [k for k, need in (("bookmark", {"workingSetNodeIds"}), ("note", {"topic", "content"})) if need <= has]
+        if not parts:
+            raise ValueError("a working set makes a bookmark, topic and content make a note; neither is given")
+        kind = parts[0] if len(parts) == 1 else "both"
+    needs = (BOOKMARK_NEEDS if kind != "note" else []) + (NOTE_NEEDS if kind != "bookmark" else [])
+    missing = [k for k in needs if k not in has]
+    if missing:
+        raise ValueError(f"a {kind} needs {', '.join(missing)}")
+    if kind != "note" and len(given["summary"]) < SHORTEST_SUMMARY:
+        raise ValueError(f"a summary has at least {SHORTEST_SUMMARY} characters")
+    return kind
+
+
+def saved(rows: DataFrame, new: DataFrame, nodes: DataFrame, links_col: str, now: int, exclude=HIDDEN) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with the new bookmarks or notes, stamped now; their links (id, nodeId) to nodes that exist).
+
+    Notes have ``expiresInHours``, which gives expiresAt; 0 or none never expires.
+    """
+    fine = nodes
+    for label in exclude:
+        fine = fine.where(~F.array_contains("labels", label)) if "labels" in nodes.columns else fine
+    stamped = new.withColumn("createdAt", F.lit(now).cast("long"))
+    if "expiresInHours" in new.columns:
+        hours = F.col("expiresInHours")
+        stamped = stamped.withColumn("expiresAt", F.when(hours != 0, F.lit(now) + (hours * 3_600_000)).cast("long")).drop("expiresInHours")
+    links = new.select("id", F.explode(F.array_distinct(links_col)).alias("nodeId")).join(fine.select(F.col("id").alias("nodeId")), "nodeId", "left_semi").select("id", "nodeId")
+    return rows.unionByName(stamped, allowMissingColumns=True), links
 
 
 def latest(rows: DataFrame, by: list[str] = (), at: str = "createdAt", id_col: str = "id", **only) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, numbered
+from .markers import ending_in
 
 # States, priorities and types.
 STATUSES = ["available", "claimed", "in_progress", "blocked", "needs_review", "completed", "failed", "cancelled"]
@@ -71,14 +70,15 @@ def claim_next(tasks: DataFrame, depends: DataFrame, by: list[str] = (), **only)
     return rows.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_k = 1").drop("_k")
 
 
-def advance(tasks: DataFrame, action: str, ids: list[str], agent: str, now: int) -> DataFrame:
+def advance(tasks: DataFrame, action: str, ids: list[str] | DataFrame, agent: str, now: int) -> DataFrame:
     """Update rows (id, status, claimedBy, updatedAt, guard) of the tasks that may take the step.
 
-    Only the agent that holds a task may move it, but for approvals, rejections
+    ``ids`` names them, as a list or as a table with a column id.  Only the agent that holds a task may move it, but for approvals, rejections
     and retries; a retry needs a task that allows it, where the column exists.
     """
     before, after = TRANSITIONS[action]
-    rows = tasks.where(F.col("id").isin(list(ids)) & F.col("status").isin(before))
+    rows = tasks.where(F.col("status").isin(before))
+    rows = rows.join(ids.select("id"), "id", "left_semi") if isinstance(ids, DataFrame) else rows.where(F.col("id").isin(list(ids)))
     if action in ("start", "release", "abandon", "complete", "fail", "request_review") and "claimedBy" in tasks.columns:
         rows = rows.where(F.col("claimedBy") == agent)
     if action == "retry" and "retryable" in tasks.columns:
@@ -122,6 +122,71 @@ def listing(tasks: DataFrame, depends: DataFrame, targets: DataFrame | None = No
     return out
 
 
+def post(tasks: DataFrame, new: DataFrame, nodes: DataFrame, now: int, per_file: int = 20, hidden=("Pheromone", "SwarmTask")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows to append, targets (taskId, nodeId), dependencies (taskId, dependsOn)) of new tasks.
+
+    ``new``: id, swarmId, title, description, type, priority, targetNodeIds,
+    targetFilePaths, dependencies, createdBy.  A task that names no nodes targets
+    the first ``per_file`` nodes, by line, of the files whose path ends in one of
+    its paths.  Links are to nodes and tasks that exist; a task that waits for an
+    open one is blocked.
+    """
+    fine = nodes
+    for label in hidden:
+        fine = fine.where(~F.array_contains("labels", label)) if "labels" in nodes.columns else fine
+    given = F.filter(F.coalesce("targetNodeIds", F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.length(x) > 0))
+    asked = new.withColumn("_ids", given)
+    paths = asked.where(F.size("_ids") == 0).select(F.col("id").alias("taskId"), F.explode(F.array_distinct("targetFilePaths")).alias("path"))
+    hits = ending_in(fine.select(F.col("id").alias("nodeId"), "filePath", "startLine"), paths.select("path").distinct(), "filePath", "path")
+    nth = F.row_number().over(W.partitionBy("path").orderBy(F.col("startLine").asc_nulls_last(), "nodeId"))
+    of_path = hits.withColumn("_k", nth).where(F.col("_k") <= per_file).select("path", "nodeId")
+    by_file = paths.join(of_path, "path").select("taskId", "nodeId").distinct()
+    named = asked.select(F.col("id").alias("taskId"), F.explode(F.array_distinct("_ids")).alias("nodeId"))
+    targets = named.join(fine.select(F.col("id").alias("nodeId")), "nodeId", "left_semi").select("taskId", "nodeId").unionByName(by_file)
+    state = tasks.select("id", "status").unionByName(new.select("id", F.lit("available").alias("status")))
+    links = asked.select(F.col("id").alias("taskId"), F.explode(F.array_distinct("dependencies")).alias("dependsOn")).join(state.withColumnRenamed("id", "dependsOn"), "dependsOn")
+    waits = links.groupBy("taskId").agg(F.count_if(F.col("status") != "completed").alias("_open"))
+    ids = named.unionByName(by_file).groupBy("taskId").agg(F.array_sort(F.collect_list("nodeId")).alias("targets"))  # what it names, whether it is there or not
+    rows = asked.join(waits, asked.id == waits.taskId, "left").drop("taskId").join(ids, asked.id == ids.taskId, "left").drop("taskId")
+    status = F.when(F.coalesce("_open", F.lit(0)) > 0, "blocked").otherwise("available")
+    rows = rows.select(*[c for c in new.columns if c != "targetNodeIds"], F.coalesce("targets", F.array().cast("array<string>")).alias("targetNodeIds"), priority_score(F.col("priority")).alias("priorityScore"), status.alias("status"), F.lit(now).cast("long").alias("createdAt"), F.lit(now).cast("long").alias("updatedAt"))
+    return rows, targets, links.select("taskId", "dependsOn")
+
+
+def detail(tasks: DataFrame, depends: DataFrame, ids: list[str] | DataFrame, targets: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Tasks with what they wait for, what waits for them and their target nodes, as arrays of structs in order of id."""
+    mine = tasks.join(ids.select("id"), "id", "left_semi") if isinstance(ids, DataFrame) else tasks.where(F.col("id").isin(list(ids)))
+    short = [c for c in ("title", "status", "claimedBy") if c in tasks.columns]
+    other = tasks.select(F.col("id").alias("_o"), F.struct("id", *short).alias("_x"))
+
+    def linked(key, far, name):
+        return depends.select(F.col(key).alias("_t"), F.col(far).alias("_o")).join(other, "_o").groupBy("_t").agg(F.array_sort(F.collect_set("_x")).alias(name))
+
+    out = mine
+    parts = [linked("taskId", "dependsOn", "dependencies"), linked("dependsOn", "taskId", "blockedTasks")]
+    if targets is not None and nodes is not None:
+        n = nodes.select(F.col("id").alias("nodeId"), F.struct("id", "name", "filePath", "coreType", "semanticType").alias("_x"))
+        parts.append(targets.join(n, "nodeId").groupBy(F.col("taskId").alias("_t")).agg(F.array_sort(F.collect_set("_x")).alias("targets")))
+    for p in parts:
+        out = out.join(p, out.id == p["_t"], "left").drop("_t")
+    return out
+
+
+def dependency_graph(tasks: DataFrame, depends: DataFrame, swarm: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges (taskId, dependsOn, status)) of all tasks or of a swarm's; a dependency without a task is no edge."""
+    mine = tasks if swarm is None else tasks.where(F.col("swarmId") == swarm)
+    shown = [c for c in ("id", "title", "status", "priority", "type", "claimedBy") if c in tasks.columns]
+    state = tasks.select(F.col("id").alias("dependsOn"), "status")
+    edges = depends.join(mine.select(F.col("id").alias("taskId")), "taskId", "left_semi").join(state, "dependsOn")
+    return mine.select(*shown).distinct(), edges.select("taskId", "dependsOn", "status").distinct()
+
+
+def page_info(rows: DataFrame, limit: int) -> DataFrame:
+    """One row (returned, hasMore) of a page: there may be more if it is full."""
+    n = F.count("*")
+    return rows.agg(n.alias("returned"), (n >= limit).alias("hasMore"))
+
+
 def stats(tasks: DataFrame, by: list[str] = ("status", "priority", "owner")) -> DataFrame:
     """(dimension, value, n): one pass over grouping sets, with the total."""
     sets = ", ".join(f"({c})" for c in by)
@@ -153,6 +218,29 @@ def workers(progress_rows: DataFrame, now: int, timeout: int = 1_800_000) -> Dat
     return latest.withColumn("state", F.when(late, "timeout").otherwise(F.col("state")))
 
 
+def started(swarm: str, names: DataFrame, now: int) -> DataFrame:
+    """Progress rows of new workers (column workerId) of a swarm: idle, nothing done."""
+    return names.select("workerId", F.lit(swarm).alias("swarmId"), F.lit("idle").alias("state"), F.lit(0).cast("long").alias("completed"), F.lit(0).cast("long").alias("failed"), F.lit(now).cast("long").alias("at"))
+
+
+def progressed(rows: DataFrame, updates: DataFrame, now: int) -> DataFrame:
+    """Progress rows after updates (workerId and some of their columns; null leaves a value): active now; unknown workers stay unknown."""
+    new = updates.select(F.col("workerId").alias("_w"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in ("state", "completed", "failed") if c in updates.columns])
+    met = rows.join(new, rows.workerId == new["_w"], "left")
+    value = lambda c: F.coalesce(f"_{c}", c).alias(c) if f"_{c}" in new.columns else F.col(c)
+    return met.select("workerId", "swarmId", value("state"), value("completed"), value("failed"), F.when(F.col("_hit"), F.lit(now).cast("long")).otherwise(F.col("at")).alias("at"))
+
+
+def without_swarm(rows: DataFrame, swarm: str) -> DataFrame:
+    return rows.where(F.col("swarmId") != swarm)
+
+
+def swarm_stats(rows: DataFrame, swarm: str) -> DataFrame:
+    """One row: workers at work and idle, tasks done and failed."""
+    n = rows.where(F.col("swarmId") == swarm)
+    return n.agg(F.count_if(F.col("state").isin("working", "claiming")).alias("active"), F.count_if(F.col("state") == "idle").alias("idle"), F.coalesce(F.sum("completed"), F.lit(0)).alias("completed"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"))
+
+
 def worker_stats(latest: DataFrame) -> DataFrame:
     return latest.agg(F.count("*").alias("total"), F.count_if(F.col("state").isin("working", "claiming")).alias("active"), F.count_if(F.col("state") == "idle").alias("idle"), F.count_if(F.col("state") == "timeout").alias("timed_out"))
 
@@ -180,12 +268,12 @@ def decompose(nodes: DataFrame, impact: DataFrame, priority: str = "normal") ->
     order = F.array_position(F.array(*[F.lit(x) for x in ("LOW", "MEDIUM", "HIGH", "CRITICAL")]), F.col("level"))
     rows = nodes.join(impact.select(F.col("id").alias("_id"), "level", "files"), nodes.id == F.col("_id"), "left")
     g = rows.groupBy("filePath").agg(F.array_sort(F.collect_set("id")).alias("nodeIds"), F.coalesce(F.max(order), F.lit(1)).alias("rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("files", F.array().cast("array<string>")))))).alias("affected"))
-    g = g.withColumn("index", F.row_number().over(W.orderBy(F.col("rank").desc(), "filePath")) - 1)
+    g = numbered(g, [F.col("rank").desc(), F.col("filePath")])
     steps = list(reversed(PRIORITY))
     bump = F.when(F.col("index") >= 3, 0).when(F.col("rank") >= 4, 2).when(F.col("rank") == 3, 1).otherwise(0)
     at = F.least(F.lit(len(steps) - 1), F.lit(steps.index(priority)) + bump)
     level = F.get(F.array(*[F.lit(x) for x in ("LOW", "MEDIUM", "HIGH", "CRITICAL")]), F.col("rank").cast("int") - 1)
-    return g.select("index", "filePath", "nodeIds", level.alias("level"), F.get(F.array(*[F.lit(x) for x in steps]), at).alias("priority"), "affected")
+    return g.select(F.col("index").cast("int").alias("index"), "filePath", "nodeIds", level.alias("level"), F.get(F.array(*[F.lit(x) for x in steps]), at).alias("priority"), "affected")
 
 
 def dependencies(parts: DataFrame) -> DataFrame:
@@ -194,30 +282,50 @@ def dependencies(parts: DataFrame) -> DataFrame:
     return wants.join(parts.select(F.col("filePath").alias("dependsOn")), "dependsOn", "left_semi").distinct()
 
 
-def levels(ids: DataFrame, depends: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def levels(ids: DataFrame, depends: DataFrame) -> DataFrame:
     """(id, level, n): a level above all that an id depends on (columns taskId, dependsOn); n is its number of dependencies.
 
-    Ids on a cycle, and those behind one, get level -1 and come last.  Ordered by
-    level, n and id this is a topological order.  Rounds go on until one frees
-    nothing; beyond ``max_rounds``, if given, it raises.
+    Ids on a cycle, and those behind one, get level -1.  Ordered by level, n and id
+    this is a topological order.  Runs of ids with one dependency each are followed
+    by doubling steps, so a chain takes the logarithm of its length in rounds; only
+    ids with several dependencies on one path take a round each.
     """
-    edges = depends.join(ids.select(F.col("id").alias("dependsOn")), "dependsOn", "left_semi").join(ids.select(F.col("id").alias("taskId")), "taskId", "left_semi").select("taskId", "dependsOn").distinct()
+    known = ids.select("id").distinct()
+    edges = depends.join(known.select(F.col("id").alias("dependsOn")), "dependsOn", "left_semi").join(known.select(F.col("id").alias("taskId")), "taskId", "left_semi").select("taskId", "dependsOn").distinct()
+    edges = cut(edges)
     counts = edges.groupBy("taskId").agg(F.count("*").alias("n"))
-    rest = cut(ids.select("id").distinct().join(counts, F.col("id") == F.col("taskId"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n")))
-    edges, out = cut(edges), None
-    for level in count():
-        ready = rest.join(edges.select(F.col("taskId").alias("id")), "id", "left_anti")
-        ready = cut(ready.withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            break
-        if level == max_rounds:
-            raise RuntimeError("levels did not settle")
-        out = ready if out is None else out.unionByName(ready)
-        gone = ready.select(F.col("id").alias("g"))
-        rest = cut(rest.join(gone, rest.id == gone.g, "left_anti"))
-        edges = cut(edges.join(gone, edges.dependsOn == gone.g, "left_anti"))
-    cyclic = rest.withColumn("level", F.lit(-1))
-    return cyclic if out is None else out.unionByName(cyclic)
+    every = cut(known.join(counts, F.col("id") == F.col("taskId"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n")))
+
+    # (id, up, dist): where the run below an id begins, and how far that is; done if it has no single dependency itself.
+    single = every.where("n = 1").select("id")
+    runs = edges.join(single, F.col("taskId") == F.col("id"), "left_semi").select(F.col("taskId").alias("id"), F.col("dependsOn").alias("up"), F.lit(1).cast("long").alias("dist"))
+    more = single.select(F.col("id").alias("up"), F.lit(False).alias("done"))
+    runs = cut(runs.join(more, "up", "left").select("id", "up", "dist", F.coalesce("done", F.lit(True)).alias("done")))
+    total, steps = runs.count(), 0
+    while 1 << steps <= 2 * total and not runs.where("not done").isEmpty():
+        far = runs.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
+        moved = runs.where("not done").join(far, "up").select("id", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"))
+        runs, steps = cut(runs.where("done").unionByName(moved)), steps + 1
+    runs = runs.where("done").select("id", "up", "dist")  # the others are on a cycle or behind one
+
+    # Between ids with several dependencies, each edge is as long as the run that it leads to.
+    joints = edges.join(every.where("n > 1").select(F.col("id").alias("taskId"), "n"), "taskId")
+    loops = single.join(runs, "id", "left_anti").select(F.col("id").alias("dependsOn"), F.lit(True).alias("stuck"))
+    joints = joints.join(runs.select(F.col("id").alias("dependsOn"), "up", "dist"), "dependsOn", "left").join(loops, "dependsOn", "left")
+    rest = cut(joints.select(F.col("taskId").alias("id"), "n", F.when(F.col("stuck").isNull(), F.coalesce("up", "dependsOn")).alias("up"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")))
+    fresh = cut(every.where("n = 0").select("id", F.lit(0).cast("long").alias("level")))
+    found, seen = fresh, rest.select("id", F.lit(0).cast("long").alias("k"), F.lit(-1).cast("long").alias("level")).limit(0)
+    while not rest.isEmpty() and not fresh.isEmpty():
+        met = rest.join(fresh.select(F.col("id").alias("up"), "level"), "up").groupBy("id").agg(F.count("*").alias("k"), F.max(F.col("level") + F.col("dist")).alias("level"))
+        seen = cut(seen.unionByName(met).groupBy("id").agg(F.sum("k").alias("k"), F.max("level").alias("level")))
+        rest = rest.join(fresh.select(F.col("id").alias("up")), "up", "left_anti").select("id", "n", "up", "dist")
+        need = every.select(F.col("id"), F.col("n").alias("want"))
+        fresh = cut(seen.join(need, "id").where("k = want").select("id", "level"))
+        seen = cut(seen.join(fresh.select("id"), "id", "left_anti"))
+        rest, found = cut(rest), found.unionByName(fresh)
+    behind = runs.join(found.select(F.col("id").alias("up"), "level"), "up").select("id", (F.col("level") + F.col("dist")).alias("level"))
+    done = found.unionByName(behind)
+    return every.join(done, "id", "left").select("id", F.coalesce("level", F.lit(-1)).cast("int").alias("level"), F.col("n").cast("long").alias("n"))
 
 
 def complexity(parts: DataFrame, depends: DataFrame) -> DataFrame:

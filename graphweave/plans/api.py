@@ -16,7 +16,9 @@ from ..functions import ids
 from ..functions.text import whole_number
 from ..operators import deadcode, duplicates, graph, impact, markers, messages, search, sessions, tasks
 from ..operators.graph import PropertyGraph
+from ..sources import files, typescript
 from ..streaming.events import Watchers
+from . import nlquery
 
 
 @dataclass
@@ -64,6 +66,9 @@ class Tools:
     watchers: Watchers = field(default_factory=Watchers)
     jobs: Jobs = field(default_factory=Jobs)
     clock: object = lambda: int(time.time() * 1000)
+    #: Folder of the stored graph, which parsing replaces a project of; and a model that turns a prompt into a reply.
+    store: str | None = None
+    model: object = None
 
     def hello(self) -> str:
         return "hello"
@@ -105,6 +110,10 @@ class Tools:
         depth = whole_number(depth, 3)
         return graph.beam(self.graph, node, depth, direction) if weighted else graph.traverse(self.graph, node, depth, direction, types, whole_number(skip, 0))
 
+    def traversal_answer(self, node: str | None = None, file_path: str | None = None, summary_only: bool = False, most: int = 50, per_chain: int = 5, **how) -> dict[str, DataFrame]:
+        """Nodes, edges and chains of a traversal with its totals; a summary where that is too long."""
+        return graph.answer(self.traverse_from_node(node, file_path, **how), per_chain, most, summary_only)
+
     def impact_analysis(self, node: str | None = None, file_path: str | None = None, max_depth=4, high_risk=(), overrides=None) -> dict[str, DataFrame]:
         targets = self.graph.nodes.where(F.col("id") == node) if node else impact.file_targets(self.graph.nodes, file_path)
         d = impact.direct(self.graph, targets)
@@ -127,6 +136,46 @@ class Tools:
             out["semantic"] = duplicates.greedy_pairs(duplicates.similar_pairs(nodes, least, limit=most * 2), items)
         return out if kind != "structural" else {"structural": out["structural"]}
 
+    def natural_language_query(self, question: str, project: str) -> DataFrame:
+        """``model`` answers a prompt made of the graph's schema; its query runs on the project's rows."""
+        g = self.graph.of_project(self.resolve_project(project))
+        labels = [r.label for r in g.nodes.select(F.explode("labels").alias("label")).distinct().collect()]  # a row a label
+        types = [r.type for r in g.edges.select("type").distinct().collect()]
+        kinds = [r.semanticType for r in deadcode.semantic_types(g.nodes).collect()] if "semanticType" in g.nodes.columns else []
+        return nlquery.ask(question, self.model, self.spark, self.resolve_project(project), sorted(labels), sorted(types), sorted(kinds), {"nodes": self.graph.nodes, "edges": self.graph.edges})
+
+    def parse_typescript_project(self, path: str, project: str | None = None, clear: bool = True) -> str:
+        """Parse a folder into the graph at ``store``; returns the job, whose state check_parse_status tells."""
+        project = project if project and ids.is_project_id(project) else self.spark.range(1).select(ids.project_id(F.lit(path)).alias("p")).first().p
+        job = self.jobs.create(project, path, self.clock())
+        try:
+            found = files.source_files(self.spark, path)
+            self.jobs.update(job, self.clock(), status="running", filesTotal=found.count())
+            g = typescript.build_graph(found, project)
+            if clear:
+                files.clear_project(self.spark, self.store, project)
+            given, stored = files.write_graph(g, self.store)
+            self.graph = files.read_graph(self.spark, self.store)
+            self.jobs.update(job, self.clock(), status="completed", filesProcessed=self.jobs.rows[job]["filesTotal"], edges=stored, edgesGiven=given)
+        except Exception as error:
+            self.jobs.update(job, self.clock(), status="failed", error=str(error))
+            raise
+        return job
+
+    def check_parse_status(self, job: str) -> dict:
+        if job not in self.jobs.rows:
+            raise ValueError(f"no job {job}")
+        return self.jobs.rows[job] | {"percent": self.jobs.percent(job)}
+
+    def start_watch_project(self, project: str, folder: str, checkpoint: str, handle, **how):
+        return self.watchers.start(self.spark, self.resolve_project(project), folder, checkpoint, handle, **how)
+
+    def stop_watch_project(self, project: str) -> bool:
+        return self.watchers.stop(self.resolve_project(project))
+
+    def list_watchers(self) -> list[dict]:
+        return self.watchers.list()
+
     def swarm_sense(self, **how) -> DataFrame:
         return markers.sense(self.markers, self.clock(), self.graph.nodes, **how)
 
@@ -139,10 +188,24 @@ class Tools:
     def swarm_get_tasks(self, **how) -> DataFrame:
         return tasks.listing(self.tasks, self.depends, **how)
 
-    def swarm_claim_task(self, agent: str, **only):
-        """The candidate, and the messages that come with a claim."""
-        got = tasks.claim_next(self.tasks, self.depends, **only)
-        return got, messages.pending(self.messages, agent, self.clock())
+    def swarm_post_task(self, new: DataFrame):
+        """New rows, which the tool's own tables have from now on, with their targets and dependencies."""
+        rows, targets, depends = tasks.post(self.tasks, new, self.graph.nodes, self.clock())
+        self.tasks = self.tasks.unionByName(rows, allowMissingColumns=True)
+        self.depends = self.depends.unionByName(depends, allowMissingColumns=True)
+        return rows, targets, depends
+
+    def swarm_claim_task(self, agent: str, swarm: str | None = None, **only):
+        """The candidate, and the messages that come with a claim; those are read then."""
+        got = tasks.claim_next(self.tasks, self.depends, **only | ({"swarmId": [swarm]} if swarm else {}))
+        told, self.messages = messages.delivered(self.messages, agent, self.clock(), swarm)
+        return got, told
+
+    def swarm_release_task(self, task: str, agent: str, abandon: bool = False) -> DataFrame:
+        return tasks.advance(self.tasks, "abandon" if abandon else "release", [task], agent, self.clock())
+
+    def swarm_task_detail(self, task: str) -> DataFrame:
+        return tasks.detail(self.tasks, self.depends, [task])
 
     def swarm_advance_task(self, action: str, task: str, agent: str) -> DataFrame:
         return tasks.advance(self.tasks, action, [task], agent, self.clock())
@@ -154,6 +217,23 @@ class Tools:
     def swarm_message(self, agent: str, **how) -> DataFrame:
         return messages.inbox(self.messages, agent, self.clock(), **how)
 
+    def session_save(self, session: str, agent: str, kind: str = "auto", **given) -> dict[str, DataFrame]:
+        """A bookmark, a note or both, by what is given; the tool's own tables have them from now on."""
+        kind, now, out = sessions.kind_to_save(given, kind), self.clock(), {}
+        said = {"sessionId": session, "agentId": agent}
+        if kind != "note":
+            row = said | {"id": self.jobs.factory.make("bookmark"), **{k: given[k] for k in sessions.BOOKMARK_NEEDS}, **{k: given.get(k) for k in ("findings", "nextSteps")}}
+            new = self.spark.createDataFrame([row], "id string, sessionId string, agentId string, summary string, taskContext string, workingSetNodeIds array<string>, findings string, nextSteps string")
+            self.bookmarks, out["bookmark_links"] = sessions.saved(self.bookmarks, new, self.graph.nodes, "workingSetNodeIds", now)
+            out["bookmark"] = self.bookmarks.where(F.col("id") == row["id"])
+        if kind != "bookmark":
+            row = said | {"id": self.jobs.factory.make("note"), **{k: given[k] for k in sessions.NOTE_NEEDS}, "severity": given.get("severity", "info"), "aboutNodeIds": list(given.get("aboutNodeIds") or []), "expiresInHours": float(given.get("expiresInHours") or 0)}
+            new = self.spark.createDataFrame([row], "id string, sessionId string, agentId string, topic string, content string, category string, severity string, aboutNodeIds array<string>, expiresInHours double")
+            self.notes, out["note_links"] = sessions.saved(self.notes, new, self.graph.nodes, "aboutNodeIds", now)
+            note = self.notes.where(F.col("id") == row["id"])
+            out["note"] = sessions.link_notes(note, self.bookmarks) if self.bookmarks is not None else note
+        return out
+
     def session_recall(self, query: str | None = None, **only) -> DataFrame:
         if query is not None:
             return sessions.recall_by_vector(self.notes, self.embed(query), self.clock(), **only)

@@ -353,24 +353,6 @@ def d6_normalized_code(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", F.length(code).alias("length"), T.hash_of(code).alias("hash"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[;{}]')) AS BIGINT) AS marks,
-CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g')) > 0)) AS BIGINT) AS lines,
-CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) > 0)) AS BIGINT) AS tokens,
-CAST(floor((len(regexp_extract_all(text, '[;{}]')) + 1) / 2) AS BIGINT) AS statements FROM documents""")
-def d7_metrics(spark, sf_dir):
-    m = T.code_metrics(F.col("text"))
-    return X.table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("[;{}]")).cast("long").alias("marks"), m["lineCount"].alias("lines"), m["tokenCount"].alias("tokens"), m["statementCount"].alias("statements"))
-
-
-@query("""SELECT a.doc_id, round(CAST(0.35 * (1 - abs(a.l - b.l) / greatest(a.l, b.l, 1)) + 0.65 AS DOUBLE), 6) AS similarity FROM (SELECT doc_id, CAST(n_chars AS DOUBLE) AS l FROM documents) a JOIN (SELECT doc_id, CAST(n_chars AS DOUBLE) AS l FROM documents) b ON b.doc_id = a.doc_id + 1""")
-def d9_metric_similarity(spark, sf_dir):
-    """Each document with the next one, their lengths as one metric and the others equal."""
-    d = X.table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("l"))
-    other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("l").alias("l2"))
-    one = {k: F.lit(1.0) for k in ("parameterCount", "statementCount", "controlFlowDepth")}
-    return d.join(other, "doc_id").select("doc_id", F.round(T.metric_similarity(one | {"lineCount": F.col("l")}, one | {"lineCount": F.col("l2")}), 6).alias("similarity"))
-
-
 _CODE = f"WITH n AS (SELECT concat('D:', doc_id) AS id, concat('doc', doc_id) AS name, concat('/apps/', source, '/', doc_id, '.ts') AS filePath, CAST(doc_id AS INT) AS startLine, source, CASE WHEN length({_FLAT}) = 0 THEN '' ELSE sha256({_FLAT}) END AS h FROM documents)"
 
 
@@ -551,12 +533,6 @@ def t10_active_workers(spark, sf_dir):
     return tasks.active_workers(X.markers(spark, sf_dir), NOW)
 
 
-@query(f"{_WORK} SELECT d.taskId, d.dependsOn, o.status FROM depends d JOIN tasks o ON o.id = d.dependsOn")
-def t11_dependency_graph(spark, sf_dir):
-    state = X.tasks(spark, sf_dir).select(F.col("id").alias("dependsOn"), "status")
-    return X.depends(spark, sf_dir).join(state, "dependsOn").select("taskId", "dependsOn", "status")
-
-
 @query("""SELECT page_id, CASE WHEN u LIKE '%rename%' THEN 'rename' WHEN u LIKE '%document%' OR u LIKE '%jsdoc%' THEN 'document' WHEN u LIKE '%migrate%' OR u LIKE '%convert%' OR u LIKE '%upgrade%' OR u LIKE '%modernize%' THEN 'migrate'
 WHEN u LIKE '%deprecate%' THEN 'deprecate' WHEN u LIKE '%fix%' OR u LIKE '%repair%' OR u LIKE '%correct%' OR u LIKE '%resolve%' THEN 'fix' WHEN u LIKE '%test%' THEN 'test' END AS kind FROM (SELECT page_id, lower(CASE page_id % 7 WHEN 0 THEN 'Rename it' WHEN 1 THEN 'add JSDoc' WHEN 2 THEN 'Upgrade' WHEN 3 THEN 'deprecate' WHEN 4 THEN 'repair' WHEN 5 THEN 'unit test' ELSE 'other' END) AS u FROM pages)""")
 def t12_infer_type(spark, sf_dir):
@@ -578,22 +554,6 @@ def t12_decompose(spark, sf_dir):
     return tasks.decompose(n, rows).select("index", "filePath", F.size("nodeIds").cast("long").alias("n"), "level", "priority")
 
 
-@query(f"""WITH RECURSIVE d AS ({X.oracle_text(X.DEPENDS)}), r AS (SELECT concat('t', o_orderkey) AS id FROM orders WHERE o_custkey <= 50),
-l(id, level) AS (SELECT id, 0 FROM r WHERE id NOT IN (SELECT taskId FROM d) UNION ALL SELECT d.taskId, l.level + 1 FROM l JOIN d ON d.dependsOn = l.id)
-SELECT l.id, l.level, CAST((SELECT count(*) FROM d WHERE d.taskId = l.id) AS INT) AS n FROM l""")
-def t14_levels(spark, sf_dir):
-    """Topological levels of the first fifty customers' chains, those that its SQL names; t17_levels_all has all orders."""
-    few = X.table(spark, sf_dir, "orders").where("o_custkey <= 50").select(F.concat(F.lit("t"), "o_orderkey").alias("id"))
-    return tasks.levels(few, X.depends(spark, sf_dir)).select("id", "level", F.col("n").cast("int").alias("n"))
-
-
-@query()
-def t17_levels_all(spark, sf_dir):
-    """Topological levels of all orders.  Without SQL; tests hold it against a plain sort."""
-    every = X.table(spark, sf_dir, "orders").select(F.concat(F.lit("t"), "o_orderkey").alias("id"))
-    return tasks.levels(every, X.depends(spark, sf_dir)).select("id", "level", F.col("n").cast("int").alias("n"))
-
-
 # ---------------------------------------------------------------- messages and sessions
 
 
@@ -843,11 +803,6 @@ def p38_embedding_text(spark, sf_dir):
     return d.select("doc_id", T.embedding_text(F.col("lang"), F.col("source"), F.col("text")).alias("t")).where("t is not null")
 
 
-@query("SELECT lang, count(*) AS n, max(n_chars) AS longest FROM documents GROUP BY 1")
-def s11_tracked_files(spark, sf_dir):
-    return X.table(spark, sf_dir, "documents").groupBy("lang").agg(_n(), F.max("n_chars").alias("longest"))
-
-
 # ---------------------------------------------------------------- more of sources, rules and coordination
 
 
@@ -1020,7 +975,7 @@ def k5_session_notes(spark, sf_dir):
 @query(f"{_CODE}, g AS (SELECT h, count(*) AS k FROM n WHERE length(h) > 0 GROUP BY 1 HAVING count(*) >= 2) SELECT 'structural' AS type, count(*) AS groups, CAST(sum(k) AS BIGINT) AS items FROM g HAVING count(*) > 0")
 def d15_duplicate_stats(spark, sf_dir):
     g = duplicates.structural_groups(duplicates.structural_items(_code_nodes(spark, sf_dir)))
-    return g.groupBy("type").agg(_n("groups"), F.sum("n_items").alias("items"))
+    return duplicates.stats(g)
 
 
 @query("""WITH e AS (SELECT user_id, event_id, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
@@ -1035,3 +990,6 @@ def v3_batch_changes(spark, sf_dir):
     one = batches.withColumn("projectId", F.concat_ws("|", "projectId", F.unix_micros("first").cast("string")))
     last = stream.latest_changes(one)
     return last.groupBy(F.substring_index("projectId", "|", 1).alias("projectId"), "filePath", "change").agg(_n())
+
+
+from . import queries_more  # noqa: E402,F401

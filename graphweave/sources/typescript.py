@@ -41,6 +41,8 @@ BUILT_IN_CLASSES = frozenset([
     "Uint16Array", "Int32Array", "Uint32Array", "Float32Array", "Float64Array", "URL", "URLSearchParams", "TextEncoder", "TextDecoder", "Buffer",
     "EventEmitter",
 ])
+# Nodes that stand in their parent's text by signature and id only.
+SKELETONS = ["MethodDeclaration", "FunctionDeclaration", "PropertyDeclaration"]
 #: Shorter bodies are not searched for calls.
 LEAST_BODY = 15
 _NOT_CALLS = frozenset([
@@ -143,6 +145,9 @@ class File:
     def node(self, core: str, name: str, start: int, end: int, parent: str | None = None, edge: str | None = None, **more) -> str:
         parts = [self.project, core, self.path, *([parent] if parent else []), name]
         own = f"{self.project}:{core}:{hashlib.sha256('::'.join(parts).encode()).hexdigest()[:16]}"
+        if parent and core in SKELETONS and "{" in self.code[start:end]:
+            outer = next(r for r in reversed(self.rows) if r["kind"] == "node" and r["id"] == parent)
+            outer["sourceCode"] = outer["sourceCode"].replace(self.code[start:end], f"{self.code[start:end].split('{', 1)[0].strip()} {{ /* NodeID: {own} */ }}", 1)
         self.rows.append({"kind": "node", "id": own, "projectId": self.project, "name": name, "coreType": core, "labels": [*LABELS[core], "GraphNode"], "filePath": self.path, "startLine": self.line(start), "endLine": self.line(max(start, end - 1)), "sourceCode": self.code[start:end], "seq": len(self.rows)} | more)
         if parent and edge:
             self.rows.append({"kind": "edge", "projectId": self.project, "edgeType": edge, "src": parent, "dst": own, "seq": len(self.rows)})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, order: list, name: str = "index") -> DataFrame:
+    """``df`` with the place of each row in a global order, from 0.
+
+    Rows are range-partitioned and sorted; a place is the row's in its partition
+    and the number of rows before that, of which the driver has one a partition.
+    """
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    at = F.monotonically_increasing_id()  # partition << 33 | place in it
+    rows = rows.withColumn("_p", F.shiftright(at, 33)).withColumn("_k", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    before, offsets = 0, []
+    for r in sorted(rows.groupBy("_p").agg(F.count("*").alias("n")).collect()):
+        offsets += [F.lit(r._p), F.lit(before)]
+        before += r.n
+    if not offsets:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    return rows.withColumn(name, (F.col("_k") + F.element_at(F.create_map(*offsets), F.col("_p"))).cast("long")).drop("_p", "_k")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store it names."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -141,7 +141,8 @@ def test_declarations_end_where_they_end(spark, tmp_path):
     assert text["FunctionDeclaration", "outside"] == ["declare function outside(a: string): void;"]
     assert text["FunctionDeclaration", "over"] == ["function over(a: string): string;", "function over(a: number): string", "function over(a: any): string { return inner(a, 1, 2); }"]
     assert text["FunctionDeclaration", "wrapped"][0].endswith("return afterType(v, 'it'); }") and text["FunctionDeclaration", "last"][0].endswith("}")
-    assert text["ClassDeclaration", "Between"][0].startswith("export class Between") and text["ClassDeclaration", "Between"][0].endswith("  }\n}")
+    assert text["ClassDeclaration", "Between"][0].startswith("export class Between") and text["ClassDeclaration", "Between"][0].endswith(" }\n}")
+    assert [(r["startLine"], r["endLine"]) for r in rows if r["kind"] == "node" and r["name"] == "Between"] == [(5, 16)]
     assert text["MethodDeclaration", "nothing"] == ["abstract nothing(): void;"] and text["MethodDeclaration", "twice"][0] == "twice(a: string): { b: string };"
     assert all(text["MethodDeclaration", m][-1].endswith("}") for m in ("twice", "arrow", "literal", "check", "generic"))
     names = {r["id"]: r["name"] for r in rows if r["kind"] == "node"}
@@ -297,3 +298,73 @@ def test_tools(spark, parsed):
         jobs.create("p", "/x", 2)
     jobs.update(j, 3, status="completed")
     assert jobs.percent(j) == 100 and jobs.create("p", "/x", 4_000_000)
+
+
+def test_more_tools(spark, tree, tmp_path):
+    projects = spark.createDataFrame([("proj_0123456789ab", "mine", tree, 1)], "projectId string, name string, path string, updatedAt long")
+    work = spark.createDataFrame([("t1", "s", "available", 50, 1, 1, None), ("t2", "s", "completed", 50, 1, 1, "a")], "id string, swarmId string, status string, priorityScore int, createdAt long, updatedAt long, claimedBy string")
+    told = spark.createDataFrame([("m1", "s", "b", None, "alert", 1, 99, [])], "id string, swarmId string, fromAgentId string, toAgentId string, category string, timestamp long, expiresAt long, readBy array<string>")
+    none = PropertyGraph(spark.createDataFrame([], "id string, projectId string"), spark.createDataFrame([], "src string, dst string, projectId string"))
+    notes = spark.createDataFrame([], "id string, sessionId string, agentId string, topic string, content string, category string, severity string, aboutNodeIds array<string>, createdAt long, expiresAt long")
+    marks = spark.createDataFrame([], "id string, sessionId string, agentId string, summary string, taskContext string, workingSetNodeIds array<string>, findings string, nextSteps string, createdAt long")
+    t = Tools(spark, none, projects=projects, tasks=work, depends=spark.createDataFrame([], "taskId string, dependsOn string"), messages=told, notes=notes, bookmarks=marks, store=str(tmp_path / "g"), clock=lambda: 50)
+    job = t.parse_typescript_project(tree, "proj_0123456789ab")
+    state = t.check_parse_status(job)
+    assert state["status"] == "completed" and state["percent"] == 100 and state["filesTotal"] == 3 and state["edges"] == state["edgesGiven"]
+    assert t.parse_typescript_project(tree, "proj_0123456789ab") != job and t.graph.nodes.where("coreType = 'SourceFile'").count() == 3
+    with pytest.raises(ValueError):
+        t.check_parse_status("job_x")
+    with pytest.raises(Exception):
+        t.parse_typescript_project(str(tmp_path / "missing"))
+    assert [r["status"] for r in t.jobs.rows.values()][-1] == "failed"
+    t.model = lambda prompt: json.dumps({"sql": "SELECT n.name FROM nodes n WHERE n.projectId = :projectId AND array_contains(n.labels, 'Enum')"}) if "Enum" in prompt else "{}"
+    assert [r.name for r in t.natural_language_query("which enums?", "mine").collect()] == ["Color"]
+    a = t.traversal_answer(file_path="user.service.ts", depth=2, direction="OUTGOING")
+    assert a["nodes"].count() > 3 and a["edges"].count() >= a["nodes"].count() and a["root"].first().projectRoot.startswith("/")
+    assert set(t.traversal_answer(file_path="user.service.ts", summary_only=True)) == {"totals", "depths", "files"}
+    repo = t.graph.nodes.where("name = 'UserRepository'").first().id
+    new = spark.createDataFrame([("t3", "s", "x", "x", "fix", "high", [repo, "gone"], [], ["t1", "no"], "a"), ("t4", "s", "x", "x", "fix", "odd", [], ["user.repository.ts"], ["t2"], "a")], "id string, swarmId string, title string, description string, type string, priority string, targetNodeIds array<string>, targetFilePaths array<string>, dependencies array<string>, createdBy string")
+    rows, targets, depends = t.swarm_post_task(new)
+    assert {r.id: (r.status, r.priorityScore) for r in rows.collect()} == {"t3": ("blocked", 75), "t4": ("available", 50)}
+    assert [r.nodeId for r in targets.where("taskId = 't3'").collect()] == [repo] and 1 < targets.where("taskId = 't4'").count() <= 20 and depends.count() == 2
+    got, told = t.swarm_claim_task("me", "s")
+    assert got.first().id == "t1" and [r.id for r in told.collect()] == ["m1"] and t.swarm_claim_task("me", "s")[1].count() == 0
+    assert t.swarm_task_detail("t3").first().dependencies[0].id == "t1" and t.swarm_release_task("t2", "a").count() == 0
+    saved = t.session_save("s1", "me", summary="where we are now", taskContext="c", workingSetNodeIds=[repo, "gone"], topic="x", content="y", category="z", aboutNodeIds=[repo], expiresInHours=1)
+    assert saved["bookmark_links"].count() == 1 and saved["note"].first().expiresAt == 50 + 3_600_000 and saved["note"].first().bookmarkId == saved["bookmark"].first().id
+    for bad in ({}, {"topic": "x"}, {"workingSetNodeIds": ["a"], "summary": "short", "taskContext": "c"}, {"kind": "note", "topic": "x"}):
+        with pytest.raises(ValueError):
+            t.session_save("s1", "me", **bad)
+    assert t.list_watchers() == [] and t.stop_watch_project("mine") is False
+
+
+def test_embedded_texts(spark):
+    from graphweave.sources.embedding import embedded
+
+    def load():
+        import numpy as np
+
+        calls = []
+
+        def model(texts):
+            calls.append(len(texts))
+            if len(texts) > 4:
+                raise MemoryError
+            if len(calls) == 3:
+                raise ValueError("once")
+            return np.array([[len(t), 0.0, float(t == "nan") and float("nan")] for t in texts]) * (texts[0] != "zero")
+
+        return model
+
+    rows = [(i, t) for i, t in enumerate(["a", "bb", None, "", *["c" * k for k in range(1, 9)], "nan"])]
+    got = {r.i: r.v for r in spark.createDataFrame(rows, "i long, t string").coalesce(1).select("i", embedded(F.col("t"), load).alias("v")).collect()}
+    assert got[2] is None and got[3] is None and got[12] is None and all(got[i] == [1.0, 0.0, 0.0] for i in (0, 1, *range(4, 12)))
+
+
+def test_numbers_over_partitions(spark):
+    from graphweave.storage import numbered
+
+    rows = spark.range(500).select((F.col("id") * 7 % 500).alias("x"), (F.col("id") % 3).alias("y")).repartition(5)
+    got = [tuple(r) for r in numbered(rows, [F.col("y").desc(), F.col("x")]).select("y", "x", "index").orderBy("index").collect()]
+    assert [g[2] for g in got] == list(range(500)) and [g[:2] for g in got] == sorted((g[:2] for g in got), key=lambda g: (-g[0], g[1]))
+    assert numbered(rows.limit(0), ["x"]).columns == ["x", "y", "index"]
