@@ -14,9 +14,9 @@ from .functions import text as T
 from .operators import duplicates, graph, impact, markers, messages, resolve, rules, search, sessions, tasks
 from .plans import nlquery
 from .queries import _DECAYED, _GRAPH, _MARKERS, _MESSAGES, _OUT, _ROWS, _SIMILAR, _VECTORS, _WORK, NOW, _beam_sql, _bookmarks, _code_nodes, _first_vector, _ids, _paths_sql, query
-from .sources import embedding, files, typescript
+from .sources import embedding, files, semantic, typescript, workspace
 from .sources import fixtures as X
-from .storage import cut, shared_dir
+from .storage import cut, shared_dir, write_text
 from .streaming import events as stream
 
 # ---------------------------------------------------------------- stored graphs and generated queries
@@ -84,6 +84,54 @@ def s11_tracked_files(spark, sf_dir):
     return files.tracked(read.withColumn("length", F.octet_length("content").cast("long")))
 
 
+_FOLDERS: dict = {}
+
+
+def _files(spark, sf_dir):
+    """A workspace of a package a nation, written to the shared folder once a session: sources, files that don't count, manifests."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FOLDERS:
+        root = _folder(spark, "workspace")
+        write_text(spark, f"{root}/package.json", '{"name": "root", "workspaces": ["packages/*"]}')
+        for r in X.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():
+            k, at = r.n_nationkey, f"{root}/packages/n{r.n_nationkey}"
+            write_text(spark, f"{at}/src/f{k}.ts{'x' if k % 3 == 0 else ''}", f"export class {r.n_name.title().replace(' ', '')} {{}}\n")
+            write_text(spark, f"{at}/src/f{k}.spec.ts", "x")
+            write_text(spark, f"{at}/node_modules/m/i.ts", "x")
+            name = f'"name": "@s/n{k}", ' if k % 2 == 0 else ""
+            write_text(spark, f"{at}/package.json", f'{{{name}"dependencies": {{"{"@nestjs/core" if k % 5 == 0 else "x"}": "1"}}}}')
+        _FOLDERS[key] = root
+    return _FOLDERS[key]
+
+
+@query("SELECT 'f' || n_nationkey || CASE n_nationkey % 3 WHEN 0 THEN '.tsx' ELSE '.ts' END AS file, sha256('export class ' || replace(n, ' ', '') || ' {}' || chr(10)) AS hash FROM (SELECT n_nationkey, array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS n FROM nation)")
+def s1_source_files(spark, sf_dir):
+    """And s11: the source files of a folder, without tests and foreign modules."""
+    read = files.tracked(files.source_files(spark, _files(spark, sf_dir)))
+    return read.select(F.substring_index("filePath", "/", -1).alias("file"), F.col("contentHash").alias("hash"))
+
+
+@query("SELECT CASE n_nationkey % 2 WHEN 0 THEN '@s/n' ELSE 'n' END || n_nationkey AS name, 'n' || n_nationkey AS folder FROM nation")
+def s5_packages(spark, sf_dir):
+    """And s3, s4: the packages that a workspace's globs name."""
+    return workspace.packages(spark, _files(spark, sf_dir)).select("name", F.substring_index("path", "/", -1).alias("folder"))
+
+
+@query("SELECT 'n' || n_nationkey AS folder, CASE n_nationkey % 5 WHEN 0 THEN 'nestjs' ELSE 'vanilla' END AS framework FROM nation UNION ALL SELECT 'root', 'vanilla'")
+def s7_project_types(spark, sf_dir):
+    """What each package's dependencies tell."""
+    root = _files(spark, sf_dir)
+    at = F.element_at(F.split("path", "/"), -2)
+    return files.project_types(spark, root).select(F.when(at.startswith("workspace-"), "root").otherwise(at).alias("folder"), "framework")
+
+
+@query("SELECT 'packages/n' || n_nationkey || '/package.json' AS file, 1 AS lines FROM nation UNION ALL SELECT 'package.json', 1")
+def s8_config_files(spark, sf_dir):
+    """Manifests as nodes, by their path below the root."""
+    root = _files(spark, sf_dir).removeprefix("file:")
+    return files.config_nodes(spark, root, "p").select(F.regexp_replace("filePath", "^.*/workspace-[0-9a-f]+/", "").alias("file"), F.col("lineCount").alias("lines"))
+
+
 # ---------------------------------------------------------------- sources that are parsed
 
 
@@ -147,6 +195,38 @@ def p15_built_edges(spark, sf_dir):
     return g.edges.where("type in ('EXTENDS', 'IMPORTS', 'CALLS')").join(a, "src").join(b, "dst").select("type", "a", "b", F.col("relationshipWeight").alias("w"))
 
 
+def _framework_sources(spark, sf_dir):
+    """A controller and a service a part, of a web framework."""
+    k = F.col("p_partkey")
+    code = _text("@Controller('c", k, "')\n@UseGuards(Guard)\nexport class C", k, "Controller {\n  constructor(private readonly s: S", k, "Service) {}\n  @Get(':id')\n  @HttpCode(201)\n  @UseGuards(A, B)\n  async one(@Param('id') id: string): Promise<X> { return this.s.find(id); }\n  @MessagePattern('m", k, "')\n  handle(d: any) { return this.s.find(d); }\n}\n@Injectable({ scope: Scope.REQUEST })\nexport class S", k, "Service { find(id: string) { return load(id, 1, 2); } }\n")
+    return X.table(spark, sf_dir, "part").select(_text("/src/c", k, ".controller.ts").alias("path"), code.cast("binary").alias("content"))
+
+
+@query("""SELECT 'C' || p_partkey || 'Controller' AS a, CASE x WHEN 1 THEN 'S' || p_partkey || 'Service' WHEN 2 THEN 'one' ELSE 'handle' END AS b, CASE x WHEN 1 THEN 'INJECTS' ELSE 'EXPOSES' END AS type,
+CASE x WHEN 2 THEN '/c' || p_partkey || '/:id' END AS path FROM part, range(1, 4) r(x)""")
+def p20_semantic_edges(spark, sf_dir):
+    """And p16 to p24: edges by rule of sources that are parsed and typed."""
+    g = semantic.semantic_graph(_framework_sources(spark, sf_dir), "p")
+    a, b = g.nodes.select(F.col("id").alias("src"), F.col("name").alias("a")), g.nodes.select(F.col("id").alias("dst"), F.col("name").alias("b"))
+    return g.edges.where("edge_id like 'SEM:%'").join(a, "src").join(b, "dst").select("a", "b", "type", F.get_json_object("context", "$.fullPath").alias("path"))
+
+
+@query("""SELECT 'C' || p_partkey || 'Controller' AS name, CAST(1 AS BIGINT) AS endpoints, true AS guarded, 1 AS dependencies, 'DEFAULT' AS scope, '/c' || p_partkey AS base FROM part
+UNION ALL SELECT 'S' || p_partkey || 'Service', 0, false, 0, 'REQUEST', NULL FROM part""")
+def p32_class_context(spark, sf_dir):
+    """And p31: what decorators and members tell of classes."""
+    n = cut(semantic.with_context(typescript.build_graph(_framework_sources(spark, sf_dir), "p").nodes))
+    base = n.where("coreType = 'ClassDeclaration'").select("id", F.col("basePath").alias("base"))
+    return semantic.class_context(n).join(base, "id").select("name", F.col("endpointCount").alias("endpoints"), F.col("hasGlobalGuards").alias("guarded"), F.col("dependencyCount").alias("dependencies"), "scope", "base")
+
+
+@query("""SELECT 'C' || p_partkey || 'Controller' AS class, m.* FROM part, (VALUES ('one', 'GET', ':id', 201, 'A,B', NULL), ('handle', NULL, NULL, NULL, '', 'message')) m(name, http, path, status, guards, pattern)
+UNION ALL SELECT 'S' || p_partkey || 'Service', 'find', NULL, NULL, NULL, '', NULL FROM part""")
+def p32_method_context(spark, sf_dir):
+    n = semantic.with_context(typescript.build_graph(_framework_sources(spark, sf_dir), "p").nodes)
+    return semantic.method_context(n).select(F.col("parentClassName").alias("class"), "name", F.col("httpMethod").alias("http"), "path", F.col("statusCode").alias("status"), F.array_join("guardNames", ",").alias("guards"), "pattern")
+
+
 # ---------------------------------------------------------------- resolution, rule by rule
 
 _R = "(p_partkey % 7)"

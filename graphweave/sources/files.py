@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.graph import PropertyGraph, with_both_ends
-from ..storage import cut, exists
+from ..storage import cut, delete, exists
 
 # Paths that are not parsed, as regular expressions or literals.
 EXCLUDED = [
@@ -159,21 +159,16 @@ def read_graph(spark: SparkSession, path: str, project: str | None = None) -> Pr
     return PropertyGraph(nodes, edges)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def clear_project(spark: SparkSession, path: str, project: str) -> None:
     """Remove a project's partitions."""
     for kind in ("nodes", "edges"):
-        _delete(spark, f"{path}/{kind}/projectId={project}")
+        delete(spark, f"{path}/{kind}/projectId={project}")
 
 
 def clear_all(spark: SparkSession, path: str) -> None:
     """Remove a stored graph with all its projects."""
     for kind in ("nodes", "edges"):
-        _delete(spark, f"{path}/{kind}")
+        delete(spark, f"{path}/{kind}")
 
 
 def write_json(g: PropertyGraph, path: str, mode: str = "errorifexists") -> None:

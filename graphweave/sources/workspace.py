@@ -2,53 +2,48 @@
 
 from __future__ import annotations
 
-import glob
 import json
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import exists, folders, read_text
+
 # Where packages are if a workspace does not say.
 DEFAULTS = {"turbo": ["apps/*", "packages/*"], "nx": ["apps/*", "libs/*", "packages/*"], "pnpm": ["packages/*"], "npm": ["packages/*"]}
 
 
-def _json(path: str) -> dict:
+def _json(spark: SparkSession, path: str) -> dict:
     try:
-        with open(path, encoding="utf-8") as f:
-            got = json.load(f)
+        got = json.loads(read_text(spark, path) or "{}")
         return got if isinstance(got, dict) else {}
-    except (OSError, ValueError):
+    except ValueError:
         return {}
 
 
-def kind(root: str) -> str:
+def kind(spark: SparkSession, root: str) -> str:
     """turbo, nx, pnpm, npm or single: the first whose marker is there."""
-    there = lambda name: os.path.exists(os.path.join(root, name))
+    there = lambda name: exists(spark, f"{root}/{name}")
     if there("turbo.json"):
         return "turbo"
     if there("nx.json"):
         return "nx"
     if there("pnpm-workspace.yaml"):
         return "pnpm"
-    return "npm" if _json(os.path.join(root, "package.json")).get("workspaces") else "single"
+    return "npm" if _json(spark, f"{root}/package.json").get("workspaces") else "single"
 
 
-def patterns(root: str, what: str) -> list[str]:
+def patterns(spark: SparkSession, root: str, what: str) -> list[str]:
     """Globs of package folders: from pnpm-workspace.yaml or package.json, else the defaults of the kind."""
-    found: list[str] = []
-    try:
-        with open(os.path.join(root, "pnpm-workspace.yaml"), encoding="utf-8") as f:
-            found = [m[1].strip().strip("'\"") for line in f if (m := re.match(r"\s*-\s*(.+?)\s*$", line))]
-    except OSError:
-        pass
+    text = read_text(spark, f"{root}/pnpm-workspace.yaml") or ""
+    found = [m[1].strip().strip("'\"") for line in text.splitlines() if (m := re.match(r"\s*-\s*(.+?)\s*$", line))]
     if not found:
-        spaces = _json(os.path.join(root, "package.json")).get("workspaces") or []
+        spaces = _json(spark, f"{root}/package.json").get("workspaces") or []
         found = spaces.get("packages", []) if isinstance(spaces, dict) else list(spaces)
     if what == "nx" and not found:
-        layout = _json(os.path.join(root, "nx.json")).get("workspaceLayout") or {}
+        layout = _json(spark, f"{root}/nx.json").get("workspaceLayout") or {}
         found = [f"{d}/*" for d in (layout.get("appsDir"), layout.get("libsDir")) if d]
     return found or DEFAULTS.get(what, [])
 
@@ -57,18 +52,21 @@ def packages(spark: SparkSession, root: str) -> DataFrame:
     """(name, path, pos): packages of a workspace in order of path; patterns with ! are skipped.
 
     A package is a folder with package.json or project.json; without a name it has
-    its folder's.  A workspace's folders are few, so the driver lists them.
+    its folder's.  A workspace's folders are few, so the driver lists them, in
+    whatever store they are.
     """
-    what, rows = kind(root), {}
+    root = root.rstrip("/")
+    what, rows = kind(spark, root), {}
+    base = lambda d: d.rsplit("/", 1)[-1]
     if what == "single":
-        rows[root] = _json(os.path.join(root, "package.json")).get("name") or os.path.basename(root)
-    for p in patterns(root, what) if what != "single" else []:
+        rows[root] = _json(spark, f"{root}/package.json").get("name") or base(root)
+    for p in patterns(spark, root, what) if what != "single" else []:
         if p.startswith("!"):
             continue
-        for d in glob.glob(os.path.join(root, p), recursive=True):
-            own = [os.path.join(d, x) for x in ("package.json", "project.json")]
-            if os.path.isdir(d) and any(map(os.path.exists, own)):
-                rows.setdefault(d.rstrip("/"), next((n for x in own if (n := _json(x).get("name"))), os.path.basename(d.rstrip("/"))))
+        for d in folders(spark, f"{root}/{p.rstrip('/')}"):
+            own = [f"{d}/{x}" for x in ("package.json", "project.json")]
+            if any(exists(spark, x) for x in own):
+                rows.setdefault(d, next((n for x in own if (n := _json(spark, x).get("name"))), base(d)))
     return spark.createDataFrame([(rows[d], d, i) for i, d in enumerate(sorted(rows))], "name string, path string, pos int")
 
 

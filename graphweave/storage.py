@@ -47,6 +47,47 @@ def numbered(df: DataFrame, order: list, name: str = "index") -> DataFrame:
     return rows.withColumn(name, (F.col("_k") + F.element_at(F.create_map(*offsets), F.col("_p"))).cast("long")).drop("_p", "_k")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table or folder, in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, whole; None if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.isFile(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that a glob names, in order, without their scheme where it is the local one; ** stands for one to three levels."""
+    deep = [pattern.replace("**", "/".join(["*"] * n)) for n in (1, 2, 3)] if "**" in pattern else [pattern]
+    found = set()
+    for one in deep:
+        p = spark._jvm.org.apache.hadoop.fs.Path(one)
+        for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []:
+            if s.isDirectory():
+                at = s.getPath().toString()
+                found.add("/" + at[len("file:") :].lstrip("/") if at.startswith("file:") and not pattern.startswith("file:") else at)
+    return sorted(found)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store it names."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -77,9 +77,10 @@ def test_config_files(spark, tree):
 
 
 def test_workspace(spark, tree):
-    assert workspace.kind(tree) == "npm"
+    assert workspace.kind(spark, tree) == "npm" and workspace.patterns(spark, tree, "npm") == ["packages/*", "!packages/no"]
     pk = workspace.packages(spark, tree)
     assert [(r.name, r.path.rsplit("/", 1)[-1]) for r in pk.orderBy("pos").collect()] == [("@s/ui", "ui"), ("ui-kit", "ui-kit")]
+    assert [r.name for r in workspace.packages(spark, f"{tree}/packages/ui").collect()] == ["@s/ui"] and workspace.kind(spark, f"{tree}/packages/empty") == "single"
     f = spark.createDataFrame([(f"{tree}/packages/{x}",) for x in ("ui/a.ts", "ui-kit/b.ts", "zz/c.ts")], "filePath string")
     assert {r.filePath.rsplit("/", 1)[-1]: r.packageName for r in workspace.package_of(f, pk).collect()} == {"a.ts": "@s/ui", "b.ts": "ui-kit", "c.ts": None}
 
