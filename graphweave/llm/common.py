@@ -71,15 +71,29 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def hash_runs(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the consecutive runs of data; lens are above zero."""
-    if not len(lens):
-        return np.zeros(0, np.uint64)
+def _raised(base: np.uint64, to: np.ndarray) -> np.ndarray:
+    """base to the power of each number, from tables of a square root of the largest."""
+    low = powers(base, 1 << 12)
+    far = powers((low[-1:] * base)[0], int(to.max() >> 12) + 1)
+    return low[to & 4095] * far[to >> 12]
+
+
+def hash_runs(data: np.ndarray, lens: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each of the consecutive runs of data; lens are above zero.
+
+    Sums over the bytes of a run, ``most`` bytes at a time, so that memory follows
+    the number of runs, not of bytes.
+    """
     at = np.cumsum(lens) - lens
-    inside = np.arange(len(data)) - np.repeat(at, lens)
-    n, wide = int(lens.max()), data.astype(np.uint64) + np.uint64(1)
-    one = np.add.reduceat(wide * powers(_M1, n)[inside], at)
-    two = np.add.reduceat(wide * powers(_M2, n)[inside], at)
+    one, two = np.zeros(len(lens), np.uint64), np.zeros(len(lens), np.uint64)
+    for a in range(0, len(data), most):
+        b = min(a + most, len(data))
+        i, j = np.searchsorted(at, a, "right") - 1, np.searchsorted(at, b)
+        begin = np.maximum(at[i:j], a) - a
+        inside = np.arange(a, b) - np.repeat(at[i:j], np.diff(np.append(begin, b - a)))
+        wide = data[a:b].astype(np.uint64) + np.uint64(1)
+        one[i:j] += np.add.reduceat(wide * _raised(_M1, inside), begin)
+        two[i:j] += np.add.reduceat(wide * _raised(_M2, inside), begin)
     return mix64(one ^ mix64(two + lens.astype(np.uint64)))
 
 
@@ -94,15 +108,18 @@ def word_spans(joined: bytes, sizes: np.ndarray):
     return data, starts, ends, np.searchsorted(first, starts, "right") - 1
 
 
-def words_of(texts: list[bytes]):
-    """Lower-cased words of some texts: hash, and number of its text, of each word."""
+def words_of(texts: list[bytes], ends: bool = False):
+    """Lower-cased words of some texts: hash, and number of its text, of each word; with ``ends`` also a number for its
+    last two bytes and whether it has up to 4, 8 or more of them."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    data, starts, ends, doc = word_spans(b"\n".join(texts).lower(), sizes)
-    lens = ends - starts
-    if not len(lens):
-        return np.zeros(0, np.uint64), doc
-    keep = ~_SPACE[data]
-    return hash_runs(data[keep], lens), doc
+    data, starts, stops, doc = word_spans(b"\n".join(texts).lower(), sizes)
+    lens = stops - starts
+    h = hash_runs(data[~_SPACE[data]], lens)
+    if not ends:
+        return h, doc
+    last = data[stops - 1].astype(np.int64)
+    before = np.where(lens > 1, data[np.maximum(stops - 2, 0)], 0).astype(np.int64) if len(lens) else last
+    return h, doc, (last << 16) | (before << 8) | np.minimum((lens - 1) // 4, 2)
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
@@ -122,6 +139,13 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
 # ---------------------------------------------------------------- connected components
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether the edges (u > v) are stars: every u has one v, and no v is a u."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(e.select("v", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("x").agg(F.sum("a").alias("a"), F.max("b").alias("b")).where("a > 1 or (a = 1 and b = 1)")
+    return odd.agg(F.count("*")).first()[0] == 0
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``edges`` (u, v: long).
 
@@ -129,29 +153,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges to the smallest neighbour, until only stars are left; the number of
     rounds grows with the logarithm of the longest path.  Each round is two
     aggregations with map-side combine and two joins whose hot keys Spark can
-    split; nothing but a checksum comes to the driver.
+    split, and one table; nothing but a count comes to the driver.
     """
     e = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def state(df):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = state(e)
-    for _ in range(max_rounds):
-        if not before[0]:
+    for k in range(max_rounds + 1):
+        if _settled(e):
             break
+        if k == max_rounds:
+            raise RuntimeError("components did not settle")
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
-        large = cut(large.distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = state(e)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
