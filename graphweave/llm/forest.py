@@ -26,8 +26,8 @@ TREES, LEAF, SPILL, BLOCK = 12, 512, 0.2, 1536
 #: The upper levels are fitted on at most SAMPLE vectors, those with the smallest hashes of their ids, and a leaf that
 #: is split further on about FIT of its own; every vector is routed.  A leaf holds LEAST rows of a sample or more.
 SAMPLE, FIT, LEAST = 16384, 2048, 32
-#: Rows of a leaf that one task routes at a time.
-PART = 8192
+#: Rows of a leaf that one task routes at a time, and from how many times LEAF on a leaf is split further.
+PART, LARGE = 8192, 1.25
 
 
 class Tree:
@@ -193,7 +193,7 @@ def split_leaves(members: DataFrame, dim: int, leaf: int, margin: float, seed: i
 def leaves_of(classes: DataFrame, dim: int, least: float, trees: int, leaf: int, sample: int, fit: int = FIT, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
     """(rep, n, v, leaves) of all classes, the leaves of each sorted; and (leaf, size) of all leaves.
 
-    Rounds of splitting go on while a leaf has over twice ``leaf`` rows and the
+    Rounds of splitting go on while a leaf has over LARGE times ``leaf`` rows and the
     last round made it smaller.  What a round has split stands in the shared folder.
     """
     margin = margin_of(least, dim)
@@ -212,12 +212,12 @@ def leaves_of(classes: DataFrame, dim: int, least: float, trees: int, leaf: int,
 
     routed = classes.select("rep", "n", "v").mapInArrow(route, "rep long, n long, v array<double>, leaves array<long>")
     sizes = C.cut(routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("size")))
-    if sizes.where(F.col("size") > 2 * leaf).isEmpty():
+    if sizes.where(F.col("size") > LARGE * leaf).isEmpty():
         return routed, sizes
     members, closed = C.cut(routed.select(F.explode("leaves").alias("leaf"), "rep", "v")), None
     last = None
     for k in range(rounds):
-        large = sizes.where(F.col("size") > 2 * leaf)
+        large = sizes.where(F.col("size") > LARGE * leaf)
         over = large.agg(F.count("*").alias("leaves"), F.sum("size").alias("rows")).first()
         stuck = last is not None and (over.rows or 0) >= 0.98 * last
         small = members if not over.leaves or stuck else members.join(large.select("leaf"), "leaf", "left_anti")
