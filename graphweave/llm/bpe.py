@@ -9,6 +9,7 @@ from array import array
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -158,9 +159,10 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``rows`` with the decoded text of ``ids_col`` in ``decoded``; null ids give null."""
     model = rows.sparkSession.sparkContext.broadcast(Bpe(path))
 
-    @F.udf("string", useArrow=True)
-    def text(ids):
-        return None if ids is None else model.value.decode(ids)
+    @F.pandas_udf("string")
+    def text(ids: pd.Series) -> pd.Series:
+        bpe = model.value
+        return pd.Series([None if x is None else bpe.decode([int(i) for i in x]) for x in ids], dtype=object)
 
     return rows.withColumn("decoded", text(ids_col))
 

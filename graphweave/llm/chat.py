@@ -145,7 +145,9 @@ def format_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """(conv_id, turn, role, segment, loss_from, loss_to, attachments, expanded_tokens), a row per turn.
 
     ``loss_from`` and ``loss_to`` bound the text under the loss mask, in code
-    points of the segment: the body of assistant turns, nothing of others.
+    points of the segment: the body of assistant turns, nothing of others.  A null
+    role is an empty one, a null text an empty text; rows with one conversation
+    and turn are turns of their own.  A text is never split.
     """
     parts = F.col(parts_col) if parts_col else text_parts(F.col(text_col))
     given = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), parts.alias("parts"))

@@ -204,7 +204,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **h
 
 
 def drop_lines(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` (columns of documents) without the lines that go; n_chars follows the text; null text becomes empty."""
+    """``docs`` without the lines that go; n_chars, if there, follows the text; null text becomes empty.
+
+    ``docs`` has columns named doc_id and text; others stay as they are, whatever
+    their names.  Equal rows stay as often as they are there; a text is held whole
+    by one task, its lines go elsewhere as hashes only.
+    """
     columns = docs.columns
     carry = [c for c in columns if c != "text"]
     schema = docs.select(carry).schema

@@ -74,7 +74,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def mix(docs: DataFrame, most: int = 3) -> DataFrame:
-    """``docs`` (columns of documents) as the mix holds them: rows repeated by epoch.
+    """``docs`` as the mix holds them: rows repeated by epoch.
+
+    ``docs`` has columns named doc_id, source and text; others stay as they are.
 
     Only the one document of a source at which the budget ends may come in part,
     cut after a word; its n_chars follows.  Documents without words are not part

@@ -185,7 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted), a row per row of ``docs``; null text scores as empty."""
+    """(doc_id, held_out, score, predicted), a row per row of ``docs``; null text scores as empty.
+
+    Texts are scored whole; of a very long one, memory holds about 200 bytes a word.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of 2 ** BITS numbers
 
     def run(batches):
@@ -202,7 +205,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, all columns as they were."""
+    """The rows of ``docs`` that the model does not reject, all columns as they were.
+
+    Null text is judged as empty; equal rows fare alike.  Texts are judged whole.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -110,7 +110,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """The rows of ``docs`` without near copies: of each component the row with the smallest id stays.
 
     Rows without id come last; of rows with one id the one with the smallest mark
-    stays, of equal rows one.
+    stays, of equal rows one.  Texts are read whole, one at a time.
     """
     rows = C.cut(fingerprints(docs, id_col, text_col, width))
     found = components(rows, radius).select("fp", "component")

@@ -130,15 +130,20 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, those with the
     smallest id are responses and all others revisits of it; rows without an id
-    are responses.  Null html is an empty payload.
+    are responses.  Null html is an empty payload, a null url an empty one.  Rows
+    with one id are records with one record id, so the index has a row for each;
+    those without an id share the id of none.  A bundle closes once it holds
+    ``bundle_bytes``, so a payload larger than that, which is never split, has one
+    of its own; memory follows the longest payload.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     # Only ids and digests go by digest, where one payload may be a third of all; payloads go by id, if at all.
     shared = C.cut(_first_holders(pages, id_col, html_col, least_bytes))
-    keys = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("digest"))
-    later = keys.join(shared, "digest").where("id != first").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct()
-    rows = rows.join(later, (rows.id == later._id) & (rows.digest == later._digest), "left").select("id", "url", "payload", "first")
+    keys = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
+    later = keys.join(shared, ["digest", "size"]).where("id != first").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("size").alias("_size"), "first").distinct()
+    same = (rows.id == later._id) & (rows.digest == later._digest) & (F.octet_length(rows.payload) == later._size)
+    rows = rows.join(later, same, "left").select("id", "url", "payload", "first")
 
     def run(batches):
         from pyspark import TaskContext
