@@ -336,7 +336,7 @@ def c2_beam_vectors(spark, sf_dir):
     return graph.beam(graph.PropertyGraph(n, g.edges), "O:1", 3, "BOTH", 5, _first_vector(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query("""SELECT 'e' || doc_id AS id, round(CAST(v[1] / sqrt(v[1] * v[1] + v[2] * v[2]) AS DOUBLE), 5) AS a, round(CAST(v[2] / sqrt(v[1] * v[1] + v[2] * v[2]) AS DOUBLE), 5) AS b
+@query("""SELECT 'e' || doc_id AS id, CAST(CAST(v[1] / sqrt(v[1] * v[1] + v[2] * v[2]) AS FLOAT) AS DOUBLE) AS a, CAST(CAST(v[2] / sqrt(v[1] * v[1] + v[2] * v[2]) AS FLOAT) AS DOUBLE) AS b
 FROM (SELECT doc_id, [CAST(length(text) AS DOUBLE), CAST(1 + len(string_split(text, ' ')) AS DOUBLE)] AS v FROM documents WHERE length(text) > 0)""")
 def p39_embeddings(spark, sf_dir):
     """Vectors of whole texts from a model that counts characters and blanks, loaded once a worker."""
@@ -347,7 +347,7 @@ def p39_embeddings(spark, sf_dir):
         return lambda texts: np.array([[len(t), 2 + t.count(" ")] for t in texts], float)
 
     d = X.table(spark, sf_dir, "documents").select(_text("e", F.col("doc_id")).alias("id"), embedding.embedded(F.col("text"), load).alias("v"))
-    return d.where("v is not null").select("id", F.round(F.col("v")[0].cast("double"), 5).alias("a"), F.round(F.col("v")[1].cast("double"), 5).alias("b"))
+    return d.where("v is not null").select("id", F.col("v")[0].cast("double").alias("a"), F.col("v")[1].cast("double").alias("b"))
 
 
 @query(f"{_SIMILAR}, p AS (SELECT a, b, s FROM k WHERE a < b AND la % 2 = lb % 2) SELECT count(*) AS n, count(DISTINCT a) AS left_nodes, count(DISTINCT b) AS right_nodes, round(max(s), 6) AS most FROM p WHERE s >= 0.75")
@@ -621,3 +621,86 @@ def v2_overflow(spark, sf_dir):
     b = stream.debounced(e, "1000 days")
     return b.select("n", F.size("events").cast("long").alias("kept"), F.array_min(F.transform("events", lambda x: x["filePath"].cast("long"))).alias("first"))
 
+
+
+# ---------------------------------------------------------------- on the driver: guards, numbers, projects, jobs
+
+
+@query("""SELECT * FROM (VALUES ('modules', 'NestModule'), ('services', 'NestService'), ('data', 'DTOClass'), ('controllers', 'Controller'), ('repositories', 'DAL,Repository')) t(category, types)""")
+def ql1_prompt_categories(spark, sf_dir):
+    """The semantic types that a graph has, as a prompt for a model groups them."""
+    from .queries import _classes
+
+    found = rules.enhance_both(_classes(spark, sf_dir)).where("semanticType is not null").select("semanticType").distinct()
+    types = sorted(r.semanticType for r in found.collect())
+    said = nlquery.prompt("which?", [], [], types)
+    rows = [(k, ",".join(v)) for k, v in nlquery.categorised(types).items() if f"- {k}: {', '.join(v)}" in said]
+    return spark.createDataFrame(rows, "category string, types string")
+
+
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 4 = 3 THEN NULL ELSE CAST(n_nationkey AS VARCHAR) END AS key FROM nation")
+def ql2_json_of_replies(spark, sf_dir):
+    """Replies that are JSON, hold it in a fence or among other words, or don't."""
+    rows = []
+    for r in X.table(spark, sf_dir, "nation").select("n_name", "n_nationkey").collect():
+        text = f'{{"key": "{r.n_nationkey}", "x": "}}{{"}}'
+        try:
+            got = nlquery.extract_json([text, f"so:\n```json\n{text}\n```", f"see {{this}} {text} there", "none {"][r.n_nationkey % 4])["key"]
+        except ValueError:
+            got = None
+        rows.append((r.n_name, got))
+    return spark.createDataFrame(rows, "name string, key string")
+
+
+@query("SELECT CASE n_nationkey % 2 WHEN 0 THEN 'Class' ELSE 'ClassDeclaration' END AS label, n_nationkey % 2 = 0 AS fine, n_nationkey % 3 <> 0 AS filtered, CAST(n_nationkey AS BIGINT) AS k FROM nation")
+def ql4_guards(spark, sf_dir):
+    """Texts of generated queries: labels that the graph doesn't have, and reads that don't name the project, are refused."""
+
+    def passes(check, *args):
+        try:
+            check(*args)
+        except ValueError:
+            return False
+        return True
+
+    rows = []
+    for r in X.table(spark, sf_dir, "nation").select("n_nationkey").collect():
+        label = "ClassDeclaration" if r.n_nationkey % 2 else "Class"
+        text = f"SELECT 1 FROM nodes WHERE array_contains(labels, '{label}')" + " AND projectId = :projectId" * (r.n_nationkey % 3 != 0)
+        rows.append((label, passes(nlquery.label_guard, text, ["Class"]), passes(nlquery.project_guard, text), r.n_nationkey))
+    return spark.createDataFrame(rows, "label string, fine boolean, filtered boolean, k long")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(CASE n_nationkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN least(n_nationkey, 10) WHEN 3 THEN 3 ELSE 4 END AS BIGINT) AS n FROM nation")
+def f14_numbers(spark, sf_dir):
+    """What callers give for a number: nothing, less than zero, too much, no number, a text."""
+    rows = [(r.k, T.whole_number([None, -1, r.k, "nan", "4.7"][r.k % 5], 3, 10)) for r in X.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).collect()]
+    return spark.createDataFrame(rows, "k long, n long")
+
+
+@query("SELECT 'name' AS given, 'proj_' || substr(sha256((SELECT n_name FROM nation WHERE n_nationkey = 6)), 1, 12) AS found UNION ALL SELECT 'path', 'proj_' || substr(sha256((SELECT n_name FROM nation WHERE n_nationkey = 7)), 1, 12) UNION ALL SELECT 'id', 'proj_0123456789ab' UNION ALL SELECT 'new path', 'proj_' || substr(sha256('/some/where'), 1, 12)")
+def l5_projects(spark, sf_dir):
+    """A project by its name, its path, its id, and by a path that is not known yet."""
+    from .functions import ids
+    from .plans.api import Tools
+
+    p = X.table(spark, sf_dir, "nation").select(ids.project_id(F.col("n_name")).alias("projectId"), F.col("n_name").alias("name"), _text("/w/", F.col("n_name")).alias("path"))
+    t = Tools(spark, X.graph(spark, sf_dir), projects=p)
+    name = {r.n_nationkey: r.n_name for r in X.table(spark, sf_dir, "nation").where("n_nationkey in (6, 7)").collect()}
+    given = {"name": name[6], "path": f"/w/{name[7]}", "id": "proj_0123456789ab", "new path": "/some/where"}
+    return spark.createDataFrame([(k, t.resolve_project(v)) for k, v in given.items()], "given string, found string")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 100 ELSE floor(100.0 * n_nationkey / 30 + 0.5) END AS BIGINT) AS percent, CAST(25 - (SELECT count(*) FROM nation WHERE n_nationkey % 3 = 0) AS BIGINT) AS running FROM nation")
+def l7_parse_jobs(spark, sf_dir):
+    """And l6: how far a job a nation is; those that ended go an hour later."""
+    from .plans.api import Jobs
+
+    jobs, rows = Jobs(), []
+    keys = [r.k for r in X.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).collect()]
+    for k in keys:
+        j = jobs.create("p", "/x", 0)
+        jobs.update(j, 1, filesTotal=30, filesProcessed=k, status="completed" if k % 3 == 0 else "running")
+        rows.append((k, jobs.percent(j)))
+    jobs.purge(4_000_000)
+    return spark.createDataFrame([(k, n, len(jobs.rows)) for k, n in rows], "k long, percent long, running long")
