@@ -162,7 +162,7 @@ def detail(tasks: DataFrame, depends: DataFrame, ids: list[str] | DataFrame, tar
     def linked(key, far, name):
         return depends.select(F.col(key).alias("_t"), F.col(far).alias("_o")).join(other, "_o").groupBy("_t").agg(F.array_sort(F.collect_set("_x")).alias(name))
 
-    out = mine
+    out = mine.drop("dependencies", "blockedTasks", *(["targets"] if targets is not None else []))  # ids that a stored task may hold
     parts = [linked("taskId", "dependsOn", "dependencies"), linked("dependsOn", "taskId", "blockedTasks")]
     if targets is not None and nodes is not None:
         n = nodes.select(F.col("id").alias("nodeId"), F.struct("id", "name", "filePath", "coreType", "semanticType").alias("_x"))
