@@ -3,8 +3,10 @@
 A set's prefix holds so many of its smallest shingles that two sets at or above the
 similarity share one.  The order is by hash, shingles that are frequent in a sample
 last, so that common passages make no candidates; any order is complete.  Sets are
-first held against the smallest of each shingle, then, across components only, against
-each other; so a large group of copies costs a row each.  Every link is checked exactly.
+first held against the smallest set of each shingle and get a label by what they link
+with; then sets of different labels are held against each other: pair by pair where few
+share a shingle, in blocks of sets where many do, which hand on a row a set and no pairs.
+Every link is checked exactly.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from . import simhash
 
 #: Texts from which frequent shingles are taken, in how many of them one is frequent, and the most that are broadcast.
 SAMPLE, FREQUENT, MOST = 8192, 3, 1 << 18
+#: From how many sets of a shingle on they meet in blocks, and the sets of a block.
+CROWD, BLOCK = 64, 512
 
 
 def text_key(text: bytes) -> int:
@@ -62,8 +66,10 @@ def sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
 
 
 def frequent(docs: DataFrame, id_col: str, text_col: str, width: int) -> np.ndarray:
-    """Sorted hashes of shingles that several texts of a sample share; they only order."""
-    some = C.smallest_hashes(docs.select(id_col, text_col), id_col, SAMPLE)
+    """Sorted hashes of shingles that several texts of a sample, of about SAMPLE texts, share; they only order."""
+    total = docs.count()
+    low = (1 << 63) - 1 if total <= SAMPLE else int(SAMPLE / total * 2**64) - (1 << 63)
+    some = docs.select(id_col, text_col).where(F.xxhash64(id_col) <= F.lit(low))
     n = sets(some, text_col, width).dropDuplicates(["key"]).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     got = n.where(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "h").limit(MOST).select("h").toArrow()
     return np.sort(got.column(0).to_numpy().astype(np.int64).view(np.uint64))
@@ -109,20 +115,80 @@ def possible(met: DataFrame, num: int, den: int) -> DataFrame:
 def alike(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, width: int, num: int, den: int) -> DataFrame:
     """(u, v): the pairs (a, b) of keys whose whole sets have a Jaccard similarity of num / den or more."""
     pairs = C.cut(pairs)
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    marks = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("mark").alias("mark")).select(F.col("mark").alias("_m"))
-    texts = docs.select(F.col(text_col).alias("text")).join(marks, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_m"), "left_semi")
-    whole = C.cut(sets(texts, "text", width).dropDuplicates(["key"]))
+    whole = C.cut(whole_sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), docs, rows, text_col, width))
     one, two = whole.toDF("a", "sa"), whole.toDF("b", "sb")
     both = F.size(F.array_intersect("sa", "sb"))
     enough = both * (num + den) >= (F.size("sa") + F.size("sb")) * num
-    return C.cut(pairs.join(one, "a").join(two, "b").where(enough).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return pairs.join(one, "a").join(two, "b").where(enough).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def labelled(keys: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, component) of all keys."""
-    found = C.connected_components(edges)
-    return C.cut(keys.join(found, keys.key == found.node, "left").select("key", F.coalesce("component", "key").alias("component")))
+def whole_sets(keys: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(key, shingles): the whole sets of some keys, from one text of each."""
+    marks = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("mark").alias("mark")).select(F.col("mark").alias("_m"))
+    texts = docs.select(F.col(text_col).alias("text")).join(marks, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_m"), "left_semi")
+    return sets(texts, "text", width).dropDuplicates(["key"])
+
+
+def meet(t: pa.Table, num: int, den: int) -> pa.Table:
+    """(u, v): of the sets of one block, or of two, each with the smallest that it is joined to by links between labels."""
+    key, label, sub = (t.column(c).to_numpy() for c in ("key", "label", "sub"))
+    lists = t.column("shingles").combine_chunks()
+    flat, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(key)), n)
+    _, at, many = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = many > 1
+    column = np.cumsum(shared) - 1
+    row, at = row[shared[at]], column[at[shared[at]]]
+    both = np.zeros((len(key), len(key)), np.float32)
+    for i in range(0, int(shared.sum()), 4096):
+        here = (at >= i) & (at < i + 4096)
+        member = np.zeros((len(key), 4096), np.float32)
+        member[row[here], at[here] - i] = 1
+        both += member @ member.T
+    link = (both * (num + den) >= (n[:, None] + n[None, :]) * num) & (label[:, None] != label[None, :])
+    if t.column("pair")[0].as_py():
+        link &= sub[:, None] != sub[None, :]
+    a, b = np.nonzero(link)
+    root = np.argsort(np.argsort(key, kind="stable"), kind="stable")  # by place in order of key
+    own = root.copy()
+    while len(a):
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        low = low[np.argsort(own, kind="stable")][low]
+        if (low == root).all():
+            break
+        root = low
+    named = np.sort(key)
+    off = root != own
+    return pa.table({"u": key[off], "v": named[root[off]]})
+
+
+def crowd_links(posts: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, width: int, num: int, den: int) -> DataFrame:
+    """(u, v): what joins the sets that share a shingle with a crowd (h, key, label, k), met block by block."""
+    posts = C.cut(posts)
+    whole = whole_sets(posts.select("key").distinct(), docs, rows, text_col, width)
+    parts = F.ceil(F.col("k") / BLOCK).cast("long")
+    dealt = posts.withColumn("sub", F.pmod(F.xxhash64("key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = dealt.select("h", F.least("sub", "other").alias("low"), F.greatest("sub", "other").alias("high"), (F.col("sub") != F.col("other")).alias("pair"), "sub", "key", "label")
+    return dealt.join(whole, "key").groupBy("h", "low", "high").applyInArrow(lambda t: meet(t, num, den), "u long, v long")
+
+
+def labels(keys: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, label): a key that each key is linked with over some edges, the same for most of a component; one label, one component."""
+    both = edges.select("u", "v").union(edges.select("v", "u")).where("u != v")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    near = C.cut(keys.join(least, keys.key == least.u, "left").select("key", F.coalesce("m", "key").alias("label")))
+    far = near.toDF("label", "far")
+    return near.join(far, "label").select("key", F.col("far").alias("label"))
+
+
+def fingerprint_links(keys: DataFrame, radius: int) -> DataFrame:
+    """(u, v): keys of one fingerprint with the smallest of them, and those of fingerprints within ``radius`` bits."""
+    least = C.cut(keys.groupBy("fp").agg(F.min("key").alias("rep")))
+    same = keys.join(least, "fp").where("key != rep").select(F.col("key").alias("u"), F.col("rep").alias("v"))
+    one, two = least.select(F.col("fp").alias("u"), F.col("rep").alias("a")), least.select(F.col("fp").alias("v"), F.col("rep").alias("b"))
+    near = simhash.links(least.select("fp"), radius).join(one, "u").join(two, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return same.union(near)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, radius: int = 2, bits_width: int = 3) -> DataFrame:
@@ -134,26 +200,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     late = frequent(docs, id_col, text_col, width)
     rows = C.cut(read(docs, id_col, text_col, width, num, den, late, bits_width))
-    found = simhash.components(rows, radius).select("fp", "component")
     keys = C.cut(rows.groupBy("key").agg(F.first("fp").alias("fp")))
-    near = keys.join(found, "fp").select("key", "component")
-    least = near.groupBy("component").agg(F.min("key").alias("v"))
-    edges = C.cut(near.join(least, "component").where("key != v").select(F.col("key").alias("u"), "v"))
-    only = keys.select("key")
 
     # One exchange serves the distinct, the pivots and their join; prefixes are not moved before.
     posts = rows.select("key", "n", F.explode("prefix").alias("h")).repartition("h").distinct()
-    pivots = posts.groupBy("h").agg(F.min(F.struct("key", "n")).alias("p"), F.count("*").alias("k")).where("k > 1").select("h", "p")
+    pivots = posts.groupBy("h").agg(F.min(F.struct("key", "n")).alias("p"), F.count("*").alias("k")).where("k > 1")
     posts = C.cut(posts.join(pivots, "h"))
     met = posts.select(F.col("key").alias("a"), F.col("p.key").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).where("a != b")
-    edges = C.cut(edges.union(alike(possible(met, num, den), docs, rows, text_col, width, num, den)))
-    label = labelled(only, edges)
+    edges = C.cut(fingerprint_links(keys, radius).union(alike(possible(met, num, den), docs, rows, text_col, width, num, den)))
 
-    posts = posts.select("key", "n", "h").join(label, "key")
-    mixed = posts.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("h")
-    posts = C.cut(posts.join(mixed, "h", "left_semi").select("key", "n", "h", "component"))
-    one, two = posts.toDF("a", "na", "h", "ca"), posts.toDF("b", "nb", "h", "cb")
+    posts = posts.select("key", "n", "h", "k").join(labels(keys.select("key"), edges), "key")
+    mixed = posts.groupBy("h").agg(F.min("label").alias("c0"), F.max("label").alias("c1")).where("c0 != c1").select("h")
+    posts = C.cut(posts.join(mixed, "h", "left_semi").select("key", "n", "h", "label", "k"))
+    few = posts.where(F.col("k") <= CROWD).drop("k")
+    one, two = few.toDF("a", "na", "h", "ca"), few.toDF("b", "nb", "h", "cb")
     met = one.join(two.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & (F.col("ca") < F.col("cb"))).select("a", "b", "na", "nb")
     more = alike(possible(met, num, den), docs, rows, text_col, width, num, den)
-    label = labelled(only, edges.union(more))
-    return simhash.first_of_each(docs, rows.join(label, "key").select("component", "doc_id", "mark"), id_col, text_col)
+    more = more.union(crowd_links(posts.where(F.col("k") > CROWD).select("h", "key", "label", "k"), docs, rows, text_col, width, num, den))
+    found = C.connected_components(edges.union(more))
+    component = keys.join(found, keys.key == found.node, "left").select("key", F.coalesce("component", "key").alias("component"))
+    return simhash.first_of_each(docs, rows.join(component, "key").select("component", "doc_id", "mark"), id_col, text_col)

@@ -575,9 +575,12 @@ def plain_near_copies(rows, width=5):
     return sorted({find(i) for i in ids}), by_jaccard
 
 
-def test_near_copies_of_five_word_shingles(spark, sf):
+@pytest.mark.parametrize("crowd, block", [(64, 512), (1, 3)])
+def test_near_copies_of_five_word_shingles(spark, sf, monkeypatch, crowd, block):
     from graphweave.llm import shingles
 
+    monkeypatch.setattr(shingles, "CROWD", crowd)
+    monkeypatch.setattr(shingles, "BLOCK", block)
     rng = np.random.default_rng(5)
     rows = [(r.doc_id, r.text) for r in C.table(spark, sf, "documents").select("doc_id", "text").collect()]
     at = 10_000
