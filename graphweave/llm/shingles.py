@@ -6,7 +6,8 @@ last, so that common passages make no candidates; any order is complete.  Sets a
 first held against the smallest set of each shingle and get a label by what they link
 with; then sets of different labels are held against each other: pair by pair where few
 share a shingle, in blocks of sets where many do, which hand on a row a set and no pairs.
-Every link is checked exactly.
+Every link is checked exactly, on whole sets of the texts that candidates name; other
+texts are left out before any exchange.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from . import simhash
 
 #: Texts from which frequent shingles are taken, in how many of them one is frequent, and the most that are broadcast.
 SAMPLE, FREQUENT, MOST = 8192, 3, 1 << 18
+#: Words of 64 bits of the table that tells which texts a join can do without.
+WORDS = 1 << 18
 #: From how many sets of a shingle on they meet in blocks, and the sets of a block.
 CROWD, BLOCK = 64, 512
 
@@ -124,9 +127,23 @@ def alike(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, wid
 
 def whole_sets(keys: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, width: int) -> DataFrame:
     """(key, shingles): the whole sets of some keys, from one text of each."""
-    marks = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("mark").alias("mark")).select(F.col("mark").alias("_m"))
-    texts = docs.select(F.col(text_col).alias("text")).join(marks, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_m"), "left_semi")
-    return sets(texts, "text", width).dropDuplicates(["key"])
+    marks = C.cut(rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("mark").alias("mark")).select(F.col("mark").alias("_m")))
+    texts = likely(docs.select(F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_h")), "_h", marks.select("_m"))
+    # An inner join: a semi join would be pushed below that of likely.
+    return sets(texts.join(marks, F.col("_h") == F.col("_m")), "text", width).dropDuplicates(["key"])
+
+
+def likely(rows: DataFrame, hash_col: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose hash may be among some hashes (one column): none of those is lost, few others stay.
+
+    A broadcast table of fixed size, a bit a hash, so that a join with few of the
+    rows does not move all of them.
+    """
+    word = lambda c: F.pmod(F.shiftrightunsigned(c, 6), F.lit(WORDS))
+    h = F.col(wanted.columns[0])
+    bits = wanted.groupBy(word(h).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({wanted.columns[0]} & 63 as int))")).alias("_bits"))
+    met = rows.withColumn("_at", word(F.col(hash_col))).join(F.broadcast(bits), F.col("_at") == F.col("_word"))
+    return met.where(F.getbit("_bits", F.col(hash_col).bitwiseAND(F.lit(63)).cast("int")) == 1).select(*rows.columns)
 
 
 def meet(t: pa.Table, num: int, den: int) -> pa.Table:

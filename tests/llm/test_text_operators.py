@@ -601,6 +601,25 @@ def test_near_copies_of_five_word_shingles(spark, sf, monkeypatch, crowd, block)
     assert shingles.keep_one(docs.limit(0)).count() == 0
 
 
+def test_whole_sets_move_few_other_texts(spark):
+    from graphweave.llm import shingles
+
+    docs = spark.createDataFrame([(i, None if i == 7 else f"a b c d e f{i}") for i in range(3000)], "doc_id long, text string")
+    rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.col("doc_id").alias("key"))
+    wanted = rows.where("key % 500 = 7").select("mark")
+    found = shingles.likely(rows, "mark", wanted)
+    assert found.columns == rows.columns
+    assert wanted.exceptAll(found.select("mark")).isEmpty() and found.count() < 50
+    assert shingles.likely(rows, "mark", wanted.limit(0)).isEmpty()
+    keys = spark.createDataFrame([(shingles.text_key(f"a b c d e f{i}".encode()),) for i in (3, 2000)], "key long")
+    read = shingles.read(docs, "doc_id", "text", 5, 4, 5, np.zeros(0, np.uint64), 3)
+    got = shingles.whole_sets(keys, docs, read, "text", 5)
+    # The filter comes before the join by mark, so what that join moves are a few texts.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("= _m#") < plan.index("= _word#")
+    assert sorted(r.key for r in got.collect()) == sorted(r.key for r in keys.collect())
+
+
 def test_pipeline_stage_finds_near_copies(spark, sf):
     import corpus_pipeline
 
