@@ -148,7 +148,7 @@ def _sources(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    return cut(typescript.parse_files(_sources(spark, sf_dir), "p"))
+    return typescript.parse_files(_sources(spark, sf_dir), "p")
 
 
 @query("""SELECT 'K' || p_partkey AS name, 'ClassDeclaration' AS core, 2 AS first, 10 AS last, true AS exported, 'Injectable' AS decorators, 'K' || (p_partkey + 1) AS base, 'Store' || p_partkey || ',Other' AS types FROM part
@@ -178,7 +178,7 @@ def p4_parsed_members(spark, sf_dir):
 SELECT k, sha256('p::FunctionDeclaration::/src/f' || k || '.ts::p:SourceFile:' || substr(h, 1, 16) || '::helper' || k)[1:16] AS id, true AS skeleton FROM f""")
 def p5_skeletons(spark, sf_dir):
     """And p9: a function stands in its file's text as signature and id."""
-    rows = _parsed(spark, sf_dir)
+    rows = cut(_parsed(spark, sf_dir).where("kind = 'node' and (name like 'helper%' or coreType = 'SourceFile')").select("filePath", "id", "name", "coreType", "kind", "sourceCode"))
     own = rows.where("kind = 'node' and name like 'helper%'").select("filePath", F.substring_index("id", ":", -1).alias("id"), F.regexp_extract("name", r"(\d+)$", 1).cast("long").alias("k"))
     text = rows.where("kind = 'node' and coreType = 'SourceFile'").select("filePath", "sourceCode")
     there = F.col("sourceCode").contains(_text("(x: string): { /* NodeID: p:FunctionDeclaration:", F.col("id"), " */ }")) & ~F.col("sourceCode").contains("x + x")

@@ -158,6 +158,23 @@ def test_odd_sources_do_not_break_the_parser():
         typescript.File("/x.ts", code, "p").parse()
 
 
+def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from graphweave.sources import typescript
+
+    code = "@Injectable()\nexport class K {\n  constructor(@Inject('T') a: Other) {}\n}\n"
+    files = spark.range(0, 300, 1, 1).select(F.concat(F.lit("/src/f"), "id", F.lit(".ts")).alias("path"), F.when(F.col("id") < 299, F.lit(code)).otherwise("").cast("binary").alias("content"))
+    rows = typescript.parse_files(files, "p")
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+    assert rows.where("coreType = 'SourceFile'").select("filePath").distinct().count() == 300
+    k = rows.where("coreType = 'ClassDeclaration'")
+    assert k.count() == 299
+    r = k.first()
+    assert (r.decorators, r.decoratorArgs, r.injectTokens, r.constructorTypes, r.isExported, r.visibility) == (["Injectable"], {"Injectable": []}, {0: "T"}, ["Other"], True, None)
+    assert typescript.parse_files(files.limit(0), "p").isEmpty()
+
+
 def test_stored_graph(spark, parsed, tmp_path):
     given, stored = files.write_graph(parsed, str(tmp_path / "g"))
     assert given == stored == parsed.edges.count()
