@@ -178,12 +178,13 @@ def app_name(path: Column) -> Column:
 
 def common_root(paths: Column) -> Column:
     """Longest run of leading segments that an array of paths shares."""
+    # Segment by segment, what the smallest and the largest path share is what all share.
     parts = F.transform(paths, lambda p: F.split(p, "/"))
-    first = F.get(parts, F.lit(0))
-    upto = F.aggregate(parts, F.size(first), lambda n, p: F.least(n, F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(p), F.size(first)))), F.lit(0),
-        lambda k, i: F.when((k == i - 1) & (F.get(p, i - 1) == F.get(first, i - 1)), i).otherwise(k))))
-    return F.array_join(F.slice(first, F.lit(1), upto), "/")
+    low, high = F.array_min(parts), F.array_max(parts)
+    differ = F.array_position(F.zip_with(low, high, lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+    root = F.array_join(F.slice(low, F.lit(1), F.when(differ > 0, differ - 1).otherwise(F.size(low)).cast("int")), "/")
+    # A path that is null shares nothing.
+    return F.when(F.exists(paths, lambda p: p.isNull()), F.when(F.get(paths, F.lit(0)).isNotNull(), F.lit(""))).otherwise(root)
 
 
 def relative_to(path: Column, root: Column) -> Column:

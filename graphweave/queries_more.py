@@ -215,7 +215,8 @@ def p20_semantic_edges(spark, sf_dir):
 UNION ALL SELECT 'S' || p_partkey || 'Service', 0, false, 0, 'REQUEST', NULL FROM part""")
 def p32_class_context(spark, sf_dir):
     """And p31: what decorators and members tell of classes."""
-    n = cut(semantic.with_context(typescript.build_graph(_framework_sources(spark, sf_dir), "p").nodes))
+    n = semantic.with_context(typescript.build_graph(_framework_sources(spark, sf_dir), "p").nodes)
+    n = cut(n.where("coreType = 'ClassDeclaration' or parentClassName is not null").drop("sourceCode", "normalizedHash"))
     base = n.where("coreType = 'ClassDeclaration'").select("id", F.col("basePath").alias("base"))
     return semantic.class_context(n).join(base, "id").select("name", F.col("endpointCount").alias("endpoints"), F.col("hasGlobalGuards").alias("guarded"), F.col("dependencyCount").alias("dependencies"), "scope", "base")
 
@@ -435,7 +436,9 @@ def f1_project(spark, sf_dir):
 def f20_roots(spark, sf_dir):
     """The folders that the files of a brand share, and paths below them."""
     p = X.table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), _text("/w/", F.col("p_brand"), "/", F.col("p_partkey"), "/f.ts").alias("path"))
-    root = p.groupBy("brand").agg(T.common_root(F.array_sort(F.collect_set("path"))).alias("root"), F.count("*").alias("n")).where("n > 1")
+    parts = F.split("path", "/")
+    ends = p.groupBy("brand").agg(F.min(parts).alias("low"), F.max(parts).alias("high"), F.count("*").alias("n")).where("n > 1")
+    root = ends.select("brand", T.common_root(F.array(F.array_join("low", "/"), F.array_join("high", "/"))).alias("root"), "n")
     return p.join(root, "brand").groupBy("brand", "root", "n").agg(F.min(T.relative_to(F.col("path"), F.col("root"))).alias("first"))
 
 
