@@ -175,6 +175,37 @@ def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
     assert typescript.parse_files(files.limit(0), "p").isEmpty()
 
 
+def test_common_root_of_many_paths(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from graphweave.functions import text as T
+
+    cases = [(["/a/b/c", "/a/b/d"], "/a/b"), (["/a/b", "/a/bc"], "/a"), (["/a/b/c", "/a/b"], "/a/b"), (["a/b-c/d", "a/b/d", "a/b/e"], "a"), (["x", "y"], ""), (["/a", None], ""), ([None, "/a"], None), ([], None)]
+    got = spark.createDataFrame(list(enumerate(cases)), "i int, c struct<p:array<string>,want:string>").select("c.want", T.common_root(F.col("c.p")).alias("root"))
+    assert [r for r in got.collect() if r.want != r.root] == []
+    paths = spark.range(20000).select(F.concat(F.lit("/w/x/"), "id", F.lit("/f.ts")).alias("p")).agg(F.collect_list("p").alias("p"))
+    start = time.time()
+    assert paths.select(T.common_root(F.col("p")).alias("r")).first().r == "/w/x"
+    assert time.time() - start < 30  # paths against paths: minutes
+
+
+def test_nodes_once_where_ids_repeat(spark):
+    from graphweave.sources import typescript
+
+    code = b"export class K {\n  run(a: string): void;\n  run(a: string): void { return helper(a, 1, 2); }\n}\n"
+    files = [("/src/a.ts", bytearray(code)), ("/src/b.ts", bytearray(code))]
+    for twice in (False, True):
+        g = typescript.build_graph(spark.createDataFrame(files + files[:1] * twice, "path string, content binary"), "p")
+        nodes = g.nodes.select("id", "name", "startLine").collect()
+        assert len({n.id for n in nodes}) == len(nodes)
+        assert sorted(n.startLine for n in nodes if n.name == "run") == [3, 3]
+        assert "isLast" not in g.nodes.columns
+        plan = g.nodes.select("id", "sourceCode")._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Aggregate" in plan) == twice
+
+
 def test_stored_graph(spark, parsed, tmp_path):
     given, stored = files.write_graph(parsed, str(tmp_path / "g"))
     assert given == stored == parsed.edges.count()
