@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 #: Fixed value: the pattern that byte-level BPE vocabularies of this format split texts with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts above so many characters are split piece by piece instead of into a list.
@@ -152,7 +154,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i.tolist() for i in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(C.lean(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -196,4 +198,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(C.lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -122,6 +125,10 @@ def words_of(texts: list[bytes], ends: bool = False):
     return h, doc, (last << 16) | (before << 8) | np.minimum((lens - 1) // 4, 2)
 
 
+#: Bytes of text of a slice where the arrays of its words take many times their bytes.
+SLICE = 1 << 18
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Slices of a batch with about so many bytes of text: (first row, texts in UTF-8; null is empty)."""
     col = batch.column(column).cast(pa.binary())
@@ -136,6 +143,39 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
         yield first, texts
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim; None with another C library."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hand memory that nothing uses, of Arrow and of the C library, back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
+def lean(run):
+    """``run``, a function of Arrow batches, that gives memory back after each batch and at its end.
+
+    Workers outlive their tasks; what an idle one has kept would add to what the
+    next stages take.
+    """
+
+    def over(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                del batch
+                give_back()
+
+        yield from run(each())
+        give_back()
+
+    return over
+
+
 # ---------------------------------------------------------------- connected components
 
 

@@ -91,7 +91,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = line_rows(docs, id_col, text_col, least_chars)
     order = ["h1", "h2", "doc", "mark", "pos"]
     rows = C.cut(rows.repartitionByRange(*order).sortWithinPartitions(*order))
-    edges = sorted(rows.mapInArrow(_edges, _EDGE).collect(), key=lambda e: e.part)  # two rows a partition
+    edges = sorted(rows.mapInArrow(C.lean(_edges), _EDGE).collect(), key=lambda e: e.part)  # two rows a partition
     total, first_of = _merged(edges), {}
     for e in edges:
         first_of.setdefault((e.h1, e.h2), e.part)
@@ -137,7 +137,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             gone, _ = decide(*held, True)
             yield pa.RecordBatch.from_arrays([pa.array(c[gone]) for c in held[2:]], names=["doc", "mark", "pos"])
 
-    out = rows.mapInArrow(drop, "doc long, mark long, pos int")
+    out = rows.mapInArrow(C.lean(drop), "doc long, mark long, pos int")
     return out.groupBy("doc", "mark").agg(F.collect_set("pos").alias("gone"))
 
 
@@ -150,7 +150,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             bits = [pack_bits(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["doc", "mark", "bits"])
 
-    return gone.mapInArrow(pack, "doc long, mark long, bits binary")
+    return gone.mapInArrow(C.lean(pack), "doc long, mark long, bits binary")
 
 
 def pack_bits(positions: list[int]) -> bytes:
@@ -200,7 +200,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **h
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    return _with_bits(docs, id_col, text_col, [id_col], **how).mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
+    return _with_bits(docs, id_col, text_col, [id_col], **how).mapInArrow(C.lean(run), f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_lines(docs: DataFrame, **how) -> DataFrame:
@@ -221,7 +221,7 @@ def drop_lines(docs: DataFrame, **how) -> DataFrame:
             names = [f"c_{i}" for i in range(len(carry))]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(got, pa.string())], names=[*names, "_text"])
 
-    rows = _with_bits(docs, "doc_id", "text", carry, **how).mapInArrow(run, out_schema)
+    rows = _with_bits(docs, "doc_id", "text", carry, **how).mapInArrow(C.lean(run), out_schema)
     named = {c: F.col(f"c_{i}") for i, c in enumerate(carry)} | {"text": F.col("_text")}
     if "n_chars" in named:
         named["n_chars"] = F.length("_text").cast("long")

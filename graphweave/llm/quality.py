@@ -160,14 +160,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            for first, texts in C.chunks(batch, "_text"):
+            for first, texts in C.chunks(batch, "_text", C.SLICE):
                 got = [f.astype(np.int32) for f in features(texts)]
                 marks = pa.array([zlib.crc32(t) for t in texts], pa.int64())
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), marks, pa.array(got, pa.list_(pa.int32()))], names=["id", "label", "mark", "f"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    made = C.cut(rows.select("_id", "_text", "_label").mapInArrow(run, f"id {kind}, label int, mark long, f array<int>"))
+    made = C.cut(rows.select("_id", "_text", "_label").mapInArrow(C.lean(run), f"id {kind}, label int, mark long, f array<int>"))
     made = made.withColumn("size", F.size("f"))
     sizes = made.groupBy("id").agg(F.min(F.struct("mark", "size")).alias("x")).select("id", "x.*").orderBy(F.xxhash64("id"), "id").collect()  # a row a picked id
     room, fits = sample_bytes // 4, []
@@ -194,14 +194,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         m = shared.value
         for batch in batches:
-            for first, texts in C.chunks(batch, "text"):
+            for first, texts in C.chunks(batch, "text", C.SLICE):
                 s = m.scores(texts)
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (C.remainder(F.col(id_col), 3) == 1).alias("held_out"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(C.lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -214,7 +214,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     def run(batches):
         m = shared.value
         for batch in batches:
-            for first, texts in C.chunks(batch, text_col):
+            for first, texts in C.chunks(batch, text_col, C.SLICE):
                 yield batch.slice(first, len(texts)).filter(pa.array(m.scores(texts) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.lean(run), docs.schema)

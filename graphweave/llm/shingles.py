@@ -59,13 +59,13 @@ def sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, texts in C.chunks(batch, "text"):
+            for _, texts in C.chunks(batch, "text", C.SLICE):
                 d, h = shingle_sets(texts, width)
                 at = np.searchsorted(d, np.arange(len(texts) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.int64()), lists], names=["key", "shingles"])
 
-    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "key long, shingles array<long>")
+    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(C.lean(run), "key long, shingles array<long>")
 
 
 def frequent(docs: DataFrame, id_col: str, text_col: str, width: int) -> np.ndarray:
@@ -83,7 +83,7 @@ def read(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den:
 
     def run(batches):
         for batch in batches:
-            for at0, texts in C.chunks(batch, "text"):
+            for at0, texts in C.chunks(batch, "text", C.SLICE):
                 d, h = shingle_sets(texts, width)
                 n = np.bincount(d, minlength=len(texts))
                 last = np.isin(h, late)
@@ -100,7 +100,7 @@ def read(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den:
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, mark long, fp long, key long, n long, prefix array<long>")
+    return rows.mapInArrow(C.lean(run), "doc_id long, mark long, fp long, key long, n long, prefix array<long>")
 
 
 def possible(met: DataFrame, num: int, den: int) -> DataFrame:

@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
+    return rows.mapInArrow(C.lean(run), "doc_id long, mark long, fp long")
 
 
 def ball(radius: int) -> list[int]:

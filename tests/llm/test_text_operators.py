@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -629,3 +630,55 @@ def test_pipeline_stage_finds_near_copies(spark, sf):
     assert (a ^ b).bit_count() > 2
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, "z")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, sf).collect()) == [1, 3]
+
+
+# ---------------------------------------------------------------- memory of workers
+
+_WORKER = """
+import re, sys
+from types import SimpleNamespace as Of
+import numpy as np, pyarrow as pa
+from graphweave.llm import quality
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+rng = np.random.default_rng(4)
+said = [" ".join(f"w{x}" for x in rng.integers(0, 50000, 400)) for _ in range(4000)]
+whole = pa.RecordBatch.from_arrays([pa.array(said * 3)], names=["text"])
+sink = pa.BufferOutputStream()
+with pa.ipc.new_stream(sink, whole.schema) as out:
+    out.write_batch(whole)
+data = sink.getvalue().to_pybytes()
+del said, whole, sink, out
+weight = rng.normal(size=1 << quality.BITS)
+docs = Of(sparkSession=Of(sparkContext=Of(broadcast=lambda m: Of(value=m))), schema=None, mapInArrow=lambda run, schema: run)
+run = quality.keep_good(docs, quality.Model(weight, np.abs(weight), 0.0, 3.0))
+pa.default_memory_pool().release_unused()
+before, kept = held(), 0
+for batch in run(b for _ in range(2) for b in pa.ipc.open_stream(pa.BufferReader(bytes(bytearray(data))))):
+    kept += batch.num_rows
+    del batch
+print(kept, held() - before)
+"""
+
+
+def test_workers_give_memory_back():
+    """A worker that has judged 50 MB of text does not keep buffers for its next task; each text is judged once."""
+    import subprocess
+    import sys
+
+    got = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    kept, grown = got.stdout.split()
+    assert int(kept) % 6 == 0 and int(kept) > 0
+    assert float(grown) < 10
+
+
+def test_scores_do_not_depend_on_slices():
+    from graphweave.llm import quality
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"W{x}" for x in rng.integers(0, 3000, rng.integers(0, 300))).encode() for _ in range(300)]
+    weight = rng.normal(size=1 << quality.BITS)
+    model = quality.Model(weight, np.abs(weight), 0.1, 3.0)
+    assert model.scores(texts).tolist() == [s for i in range(0, 300, 7) for s in model.scores(texts[i : i + 7]).tolist()]
