@@ -28,6 +28,8 @@ TREES, LEAF, SPILL, BLOCK = 12, 512, 0.2, 1536
 SAMPLE, FIT, LEAST = 16384, 2048, 32
 #: Rows of a leaf that one task routes at a time, and from how many times LEAF on a leaf is split further.
 PART, LARGE = 8192, 1.25
+#: Copies of vectors, one a row and leaf, that stand on disk at a time, about: leaves are dealt to so many rounds, at most ROUNDS.
+COPIES, ROUNDS = 3_000_000, 32
 
 
 class Tree:
@@ -159,13 +161,24 @@ def _leaf_of(leaf: np.ndarray | int, sub: np.ndarray) -> np.ndarray:
     return C.mix64(C.mix64(np.asarray(leaf, np.int64).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + sub.astype(np.uint64)).view(np.int64)
 
 
+def rounds_of(total: int, trees: int) -> int:
+    """In how many rounds the leaves of ``total`` rows go, with about two leaves a tree and row."""
+    return max(1, min(ROUNDS, -(-2 * trees * total // COPIES)))
+
+
+def of_round(rows: DataFrame, k: int, rounds: int) -> DataFrame:
+    """The rows whose leaf belongs to a round; each leaf is in one, with all its rows."""
+    return rows if rounds == 1 else rows.where(F.pmod(F.xxhash64(F.lit(11), "leaf"), F.lit(rounds)) == k)
+
+
 def split_leaves(members: DataFrame, dim: int, leaf: int, margin: float, seed: int, fit: int) -> DataFrame:
     """(leaf, rep, v) of ``members`` (leaf, size, rep, v) in leaves of their leaves.
 
     Each leaf gets a tree fitted on about ``fit`` of its own rows; its rows are
     dealt to tasks of PART rows, each of which has a copy of the tree.
     """
-    h = F.xxhash64("rep", "leaf")
+    h, kind = F.xxhash64("rep", "leaf"), members.schema["v"].dataType.simpleString()
+    number = V.number_of(members, "v")
     low = F.when(F.col("size") > fit, (F.lit(fit) / F.col("size") * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit((1 << 63) - 1))
 
     def grow(t: pa.Table) -> pa.Table:
@@ -180,14 +193,32 @@ def split_leaves(members: DataFrame, dim: int, leaf: int, margin: float, seed: i
 
     def route(rows: pa.Table, tree: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.table({"leaf": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64()))})
+            return pa.table({"leaf": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "v": pa.array([], pa.list_(number))})
         if not tree.num_rows:  # none of its rows was picked to fit on: it stays as it is
             return rows.select(["leaf", "rep", "v"])
         x = V.matrix(rows.column("v"), dim)
         row, sub = Tree.from_bytes(tree.column("tree")[0].as_py()).route(_unit(x))
-        return pa.table({"leaf": _leaf_of(rows.column("leaf")[0].as_py(), sub), "rep": rows.column("rep").to_numpy()[row], "v": V.lists(x[row])})
+        return pa.table({"leaf": _leaf_of(rows.column("leaf")[0].as_py(), sub), "rep": rows.column("rep").to_numpy()[row], "v": V.lists(x[row], number)})
 
-    return dealt.groupBy("leaf", "part").cogroup(trees.groupBy("leaf", "part")).applyInArrow(route, "leaf long, rep long, v array<double>")
+    return dealt.groupBy("leaf", "part").cogroup(trees.groupBy("leaf", "part")).applyInArrow(route, f"leaf long, rep long, v {kind}")
+
+
+def _split_in_rounds(members: DataFrame, sizes: DataFrame, dim: int, leaf: int, margin: float, fit: int, rounds: int) -> DataFrame:
+    """(leaf, rep) of ``members`` (leaf, rep, v) when leaves have been split as far as they can be."""
+    closed, last = None, None
+    for k in range(rounds):
+        large = sizes.where(F.col("size") > LARGE * leaf)
+        over = large.agg(F.count("*").alias("leaves"), F.sum("size").alias("rows")).first()
+        stuck = last is not None and (over.rows or 0) >= 0.98 * last
+        small = members if not over.leaves or stuck else members.join(large.select("leaf"), "leaf", "left_anti")
+        small = small.select("leaf", "rep")
+        closed = small if closed is None else closed.unionByName(small)
+        if not over.leaves or stuck:
+            return closed
+        last = over.rows
+        members = C.cut(split_leaves(members.join(large, "leaf"), dim, leaf, margin, 1000 * (k + 1), fit))
+        sizes = C.cut(members.groupBy("leaf").agg(F.count("*").alias("size")))
+    return closed.unionByName(members.select("leaf", "rep"))
 
 
 def leaves_of(classes: DataFrame, dim: int, least: float, trees: int, leaf: int, sample: int, fit: int = FIT, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
@@ -195,6 +226,7 @@ def leaves_of(classes: DataFrame, dim: int, least: float, trees: int, leaf: int,
 
     Rounds of splitting go on while a leaf has over LARGE times ``leaf`` rows and the
     last round made it smaller.  What a round has split stands in the shared folder.
+    Of a large table, one share of the leaves after the other is split.
     """
     margin = margin_of(least, dim)
     total = classes.count()
@@ -210,27 +242,18 @@ def leaves_of(classes: DataFrame, dim: int, least: float, trees: int, leaf: int,
                 part = batch.slice(a, 2048)
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("n"), part.column("v"), pa.ListArray.from_arrays(pa.array(ends), pa.array(at))], names=["rep", "n", "v", "leaves"])
 
-    routed = classes.select("rep", "n", "v").mapInArrow(route, "rep long, n long, v array<double>, leaves array<long>")
+    routed = classes.select("rep", "n", "v").mapInArrow(route, f"rep long, n long, v {classes.schema['v'].dataType.simpleString()}, leaves array<long>")
+    shares = rounds_of(total, trees)
+    routed = C.cut(routed) if shares > 1 else routed
     sizes = C.cut(routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("size")))
     if sizes.where(F.col("size") > LARGE * leaf).isEmpty():
         return routed, sizes
-    members, closed = C.cut(routed.select(F.explode("leaves").alias("leaf"), "rep", "v")), None
-    last = None
-    for k in range(rounds):
-        large = sizes.where(F.col("size") > LARGE * leaf)
-        over = large.agg(F.count("*").alias("leaves"), F.sum("size").alias("rows")).first()
-        stuck = last is not None and (over.rows or 0) >= 0.98 * last
-        small = members if not over.leaves or stuck else members.join(large.select("leaf"), "leaf", "left_anti")
-        small = small.select("leaf", "rep")
-        closed = small if closed is None else closed.unionByName(small)
-        if not over.leaves or stuck:
-            break
-        last = over.rows
-        members = C.cut(split_leaves(members.join(large, "leaf"), dim, leaf, margin, 1000 * (k + 1), fit))
-        sizes = C.cut(members.groupBy("leaf").agg(F.count("*").alias("size")))
-    else:
-        closed = closed.unionByName(members.select("leaf", "rep"))
-    closed = C.cut(closed)
+    closed = None
+    for k in range(shares):
+        members = of_round(routed.select(F.explode("leaves").alias("leaf"), "rep", "v"), k, shares)
+        done = C.cut(_split_in_rounds(C.cut(members), of_round(sizes, k, shares), dim, leaf, margin, fit, rounds))
+        closed = done if closed is None else closed.unionByName(done)
+        C.sweep(classes.sparkSession)
     lists = closed.groupBy("rep").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
     return C.cut(classes.select("rep", "n", "v").join(lists, "rep")), closed.groupBy("leaf").agg(F.count("*").alias("size"))
 
@@ -245,7 +268,8 @@ def near_duplicates(
     without id, link with nothing (component_id is then vec_id).  Rows with one id
     are vectors of their own.
     """
-    v = F.col(vector_col).cast("array<double>")
+    v = F.col(vector_col)  # 4 bytes a number stay 4 bytes on disk; arithmetic is in 8
+    v = v if vectors.select(v).schema[0].dataType.simpleString() == "array<float>" else v.cast("array<double>")
     everything = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     fine = everything.where(V.usable(F.col("v")) & F.col("vec_id").isNotNull())
     fine, dim = V.of_one_length(fine, "v")
@@ -263,7 +287,12 @@ def near_duplicates(
     dealt = dealt.join(cuts, F.col("leaf") == F.col("cut_leaf"), "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     dealt = dealt.withColumn("sub", F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.select("leaf", F.least("sub", "other").alias("low"), F.greatest("sub", "other").alias("high"), (F.col("sub") != F.col("other")).alias("pair"), "sub", "rep", "n", "leaves", "v")
-    found = C.cut(dealt.groupBy("leaf", "low", "high").applyInArrow(lambda t: compare(t, dim, least), "rep long, links long, root long"))
+    found, shares = None, rounds_of(classes.count(), trees)
+    for k in range(shares):
+        some = C.cut(of_round(dealt, k, shares).groupBy("leaf", "low", "high").applyInArrow(lambda t: compare(t, dim, least), "rep long, links long, root long"))
+        found = some if found is None else found.unionByName(some)
+        if shares > 1:
+            C.sweep(classes.sparkSession)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = C.connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     marks = classes.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(component, F.col("rep") == F.col("node"), "left")

@@ -28,9 +28,14 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def number_of(rows: DataFrame, vector_col: str) -> pa.DataType:
+    """Arrow's type of the components of a column of vectors."""
+    return pa.float32() if rows.schema[vector_col].dataType.simpleString() == "array<float>" else pa.float64()
+
+
 def lists(x: np.ndarray, kind=pa.float64()) -> pa.ListArray:
     n, d = x.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d, pa.int32()), pa.array(x.reshape(-1), kind))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d, pa.int32()), pa.array(x.reshape(-1).astype(kind.to_pandas_dtype(), copy=False), kind))
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:

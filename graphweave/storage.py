@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have Spark drop shuffle files, and checkpoints where they are cleaned up, that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def numbered(df: DataFrame, order: list, name: str = "index") -> DataFrame:
     """``df`` with the place of each row in a global order, from 0.
 

@@ -216,6 +216,31 @@ def test_leaves_do_not_grow_with_the_table(spark):
     assert compared[1] <= 2 * compared[0]
 
 
+def test_copies_of_vectors_stand_in_shares(spark, monkeypatch):
+    """However many leaves rows lie in, no table holds more than a share of the copies, and the links are the same."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(700, 16))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(np.concatenate([base, base + 0.1 * rng.normal(size=base.shape)]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    tables, cut = [], C.cut
+
+    def counted(rows):
+        out = cut(rows)
+        tables.append(out.count() if "v" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(C, "cut", counted)
+    found, most = [], []
+    for copies in (10**9, 9000):
+        monkeypatch.setattr(forest, "COPIES", copies, raising=False)
+        got = forest.near_duplicates(df, leaf=20, sample=64, fit=64)
+        found.append(sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()))
+        most.append(max(tables))
+        tables.clear()
+    assert found[0] == found[1] and sum(n > 0 for _, n, _ in found[0]) > 1000
+    assert most[1] < 0.6 * most[0]
+
+
 # ---------------------------------------------------------------- archives
 
 
