@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import cut
+from ..storage import cut, sweep
 
 # What each scope compares.
 SCOPES = {"methods": ["MethodDeclaration"], "functions": ["FunctionDeclaration"], "classes": ["ClassDeclaration"], "all": ["MethodDeclaration", "FunctionDeclaration", "ClassDeclaration"]}
@@ -102,13 +102,20 @@ def near_blocks(rows: DataFrame, dim: int, reach: float, block: int, seed: int =
     return rows, cut(one.unionByName(two).groupBy("g").applyInArrow(meet, "i long, j long"))
 
 
+#: Copies of vectors that pairs of blocks make at a time, about, and rows of a group of small blocks.
+COPIES, GROUP = 3_000_000, 1024
+
+
 def similar_pairs(nodes: DataFrame, least: float = 0.8, neighbours: int = 50, limit: int | None = None, scale: str = "unit", group_cols=("coreType",), block: int = 1024) -> DataFrame:
     """(id1, id2, similarity): of each node's ``neighbours`` nearest, the similar ones of its kind, from another file and with another hash.
 
     Nearest are taken among all vectors, before any filter, in exact arithmetic:
     vectors lie in compact blocks, and each pair of blocks that can hold similar
     ones is one matrix product, whose best rows a node are merged.  ``least``
-    prunes blocks and rows, which can't change the result.
+    prunes blocks and rows, which can't change the result.  Where it hardly prunes,
+    small blocks meet in groups.  Pairs go in rounds, each with all pairs of its
+    blocks i, so that a node's nearest come from one round and copies of vectors,
+    a share at a time, take bounded room on disk.
     """
     rows = nodes.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("v"), "filePath", "normalizedHash", F.concat_ws("|", *group_cols).alias("kind"))
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
@@ -119,8 +126,13 @@ def similar_pairs(nodes: DataFrame, least: float = 0.8, neighbours: int = 50, li
         return rows.limit(0).select(F.col("id").alias("id1"), F.col("id").alias("id2"), F.lit(0.0).alias("similarity"), none.alias("file1"), none.alias("file2"))
     cosine = 2 * least - 1 if scale == "unit" else least
     some, pairs = near_blocks(some.where(F.size("v") == dim), dim, float(np.sqrt(max(0.0, 2 - 2 * cosine))), block)
-    left = pairs.join(some, F.col("i") == F.col("b")).select("i", "j", F.lit(0).alias("side"), "id", "v")
-    right = pairs.join(some, F.col("j") == F.col("b")).select("i", "j", F.lit(1).alias("side"), "id", "v")
+    total, blocks, met = some.count(), some.select("b").distinct().count(), pairs.count()
+    if 2 * met > blocks * blocks and 2 * total < GROUP * blocks:
+        groups = F.lit(max(1, total // GROUP))
+        some = some.withColumn("b", F.pmod("b", groups))
+        pairs = cut(pairs.select(F.pmod("i", groups).alias("i"), F.pmod("j", groups).alias("j")).distinct())
+        blocks, met = some.select("b").distinct().count(), pairs.count()
+    rounds = max(1, min(blocks, -(-2 * met * total // (max(blocks, 1) * COPIES))))
 
     def best(t: pa.Table) -> pa.Table:
         side, ids, x = t.column("side").to_numpy(), np.array(t.column("id").to_pylist(), object), _unit(t.column("v"), dim)
@@ -134,9 +146,18 @@ def similar_pairs(nodes: DataFrame, least: float = 0.8, neighbours: int = 50, li
         p, q = np.nonzero(ok)
         return pa.table({"id1": pa.array(list(ids[a][p]), pa.string()), "id2": pa.array(list(ids[b][q]), pa.string()), "similarity": s[p, q]})
 
-    found = left.unionByName(right).groupBy("i", "j").applyInArrow(best, "id1 string, id2 string, similarity double")
     nth = W.partitionBy("id1").orderBy(F.col("similarity").desc(), "id2")
-    near = found.withColumn("k", F.row_number().over(nth)).where(F.col("k") <= neighbours).where("id1 < id2")
+    near = None
+    for k in range(rounds):
+        own = pairs.where(F.pmod(F.xxhash64("i"), F.lit(rounds)) == k)
+        left = own.join(some, F.col("i") == F.col("b")).select("i", "j", F.lit(0).alias("side"), "id", "v")
+        right = own.join(some, F.col("j") == F.col("b")).select("i", "j", F.lit(1).alias("side"), "id", "v")
+        found = left.unionByName(right).groupBy("i", "j").applyInArrow(best, "id1 string, id2 string, similarity double")
+        part = found.withColumn("k", F.row_number().over(nth)).where(F.col("k") <= neighbours).where("id1 < id2").drop("k")
+        if rounds > 1:
+            part = cut(part)
+            sweep(nodes.sparkSession)
+        near = part if near is None else near.unionByName(part)
     a, b = (rows.select(F.col("id").alias(f"id{i}"), F.col("filePath").alias(f"file{i}"), F.col("normalizedHash").alias(f"hash{i}"), F.col("kind").alias(f"kind{i}")) for i in (1, 2))
     met = near.join(a, "id1").join(b, "id2").where("kind1 = kind2 and file1 != file2 and (hash1 is null or hash2 is null or hash1 != hash2)")
     met = met.select("id1", "id2", "similarity", "file1", "file2")

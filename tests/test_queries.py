@@ -186,6 +186,29 @@ def test_similar_pairs_of_odd_vectors(spark):
     assert duplicates.similar_pairs(nodes.where("id = 'c'")).count() == 0
 
 
+def test_similar_pairs_in_rounds_and_groups(spark, monkeypatch):
+    """Small blocks that all can meet are grouped, copies go in rounds; the pairs are those of all against all."""
+    import numpy as np
+
+    from graphweave.operators import duplicates
+
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    nodes = spark.createDataFrame([(f"{i:03d}", v.tolist(), f"/{i}", None, "k") for i, v in enumerate(x)], "id string, embedding array<double>, filePath string, normalizedHash string, coreType string")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = (1 + x @ x.T) / 2
+    np.fill_diagonal(s, -9)
+    want = sorted((f"{i:03d}", f"{j:03d}") for i in range(300) for j in np.argsort(-s[i])[:20] if s[i, j] >= 0.75 and i < j)
+    dealt, rounds = [], []
+    sides, sweep = duplicates.cut, duplicates.sweep
+    monkeypatch.setattr(duplicates, "cut", lambda d: dealt.append(d.count() if d.columns == ["i", "j"] else 0) or sides(d))
+    monkeypatch.setattr(duplicates, "sweep", lambda s: rounds.append(1) or sweep(s))
+    monkeypatch.setattr(duplicates, "COPIES", 700)
+    monkeypatch.setattr(duplicates, "GROUP", 64)
+    got = duplicates.similar_pairs(nodes, 0.75, neighbours=20, block=8)
+    assert sorted((r.id1, r.id2) for r in got.collect()) == want
+    assert dealt[-1] == 0 and min(n for n in dealt if n) <= 16 and len(rounds) > 1
+
+
 def plain_levels(ids, edges):
     before = {i: {b for a, b in edges if a == i and b in ids} for i in ids}
     want, level, rest = {}, 0, dict(before)
