@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,25 +119,26 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, alpha: fl
     zeros = np.zeros(1 << BITS)
     if not len(labels) or good.all() or not good.any():
         return Model(zeros, zeros, 1.0 if not len(labels) or good.all() else -1.0, scale)
-    p, q = (np.bincount(np.concatenate([r for r, g in zip(rows, good) if g == k]), minlength=1 << BITS) for k in (True, False))
+    p, q = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for r, g in zip(rows, good):
+        np.add.at(p if g else q, r, 1)
     ratio = np.log((p + alpha) / (good.sum() + 2 * alpha)) - np.log((q + alpha) / ((~good).sum() + 2 * alpha))
     ratio[p + q == 0] = 0
-    xs = []
-    for r in rows:
-        x = ratio[r]
-        xs.append(x / max(np.linalg.norm(x), 1e-9))
+    norm = np.array([max(np.linalg.norm(ratio[r]), 1e-9) for r in rows])
+    unit = lambda i: ratio[rows[i]] / norm[i]  # noqa: E731  made anew each time: all of them take twice the bytes of the features
     y = np.where(good, 1.0, -1.0)
     w, bias, dual = zeros.copy(), 0.0, np.zeros(len(rows))
-    diagonal = np.array([x @ x + 1 for x in xs])
+    diagonal = np.array([(x := unit(i)) @ x + 1 for i in range(len(rows))])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            g = y[i] * (w[rows[i]] @ xs[i] + bias) - 1
+            x = unit(i)
+            g = y[i] * (w[rows[i]] @ x + bias) - 1
             new = min(max(dual[i] - g / diagonal[i], 0.0), cost)
             if new != dual[i]:
                 step = (new - dual[i]) * y[i]
-                w[rows[i]] += step * xs[i]
+                w[rows[i]] += step * x
                 bias += step
                 moved = max(moved, abs(step))
                 dual[i] = new
@@ -177,11 +179,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not fits:
         return fit([], np.zeros(0, np.int64))
     chosen = docs.sparkSession.createDataFrame(fits, f"id {kind}, mark long")
-    got = made.drop("size").dropDuplicates(["id", "mark"]).join(F.broadcast(chosen), ["id", "mark"]).select("id", "label", "f").toArrow().sort_by("id")
-    lists = got.column("f").combine_chunks()
-    flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else [0]
-    found = [flat[a:b].astype(np.int64) for a, b in zip(offsets[:-1], offsets[1:])]
-    return fit(found, got.column("label").to_numpy())
+    model = fit_table(made.drop("size").dropDuplicates(["id", "mark"]).join(F.broadcast(chosen), ["id", "mark"]).select("id", "label", "f").toArrow())
+    C.give_back()  # else the driver keeps what the fit has taken
+    return model
+
+
+def fit_table(got: pa.Table) -> Model:
+    """fit() on rows (id, label, f), in order of their ids; the features stay where they are."""
+    found = []
+    for lists in got.column("f").chunks:
+        flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        found += [flat[a:b] for a, b in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])]
+    order = pc.sort_indices(got.column("id")).to_numpy()
+    return fit([found[i] for i in order], got.column("label").to_numpy()[order])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

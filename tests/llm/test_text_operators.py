@@ -426,6 +426,19 @@ def test_word_hashes_do_not_depend_on_slices():
     assert C.hash_runs(data, lens, 1000).tolist() == C.hash_runs(data, lens).tolist() == [int(C.hash_runs(np.frombuffer(w, np.uint8), np.array([len(w)]))[0]) for w in text.split()]
 
 
+def test_quality_fit_does_not_copy_the_features():
+    """The driver holds a sample's features once: fitting takes vectors of 2 ** BITS numbers, whatever the sample's size."""
+    import tracemalloc
+
+    flat = np.arange(8 << 20, dtype=np.int32) % (1 << quality.BITS)
+    rows = list(flat.reshape(2048, -1))
+    tracemalloc.start()
+    quality.fit(rows, np.arange(2048) % 2, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1] / (1 << 20)
+    tracemalloc.stop()
+    assert peak < 96
+
+
 def test_quality_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows, y = [], []
