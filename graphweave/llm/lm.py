@@ -30,10 +30,9 @@ from . import common as C
 WORDS, GROUPS, SURFACES = 4096, 48, 80
 #: Preceding words that predict a token, and numbers of a vector.
 CONTEXT, DIM = 2, 16
-#: Tokens of a step, noise of a step among groups and, for each group, among its words.
-STEP, NOISE, WORD_NOISE = 8192, 24, 8
-#: Small corpora are gone over several times: at most PASSES, and no more than about SEEN tokens in all.
-SEEN, PASSES = 8_000_000, 4
+#: Tokens of the first steps and the most of a step, which takes 1 / GROWTH of those before it; noise of a step among groups
+#: and, for each group, among its words.
+FIRST, STEP, GROWTH, NOISE, WORD_NOISE = 128, 4096, 16, 24, 8
 #: Weights that one task averages.
 FAN = 16
 #: Words whose counts are broadcast (16 bytes each); the counts of all others are joined.
@@ -273,11 +272,12 @@ class Trainer:
         self.seen += len(items)
 
     def train(self, items: np.ndarray, contexts: np.ndarray) -> None:
-        """Steps over some tokens in random order."""
-        mixed = self.rng.permutation(len(items))
-        for i in range(0, len(items), STEP):
-            part = mixed[i : i + STEP]
+        """Steps over some tokens in random order: small ones at first, which learn more from the same tokens."""
+        mixed, i = self.rng.permutation(len(items)), 0
+        while i < len(items):
+            part = mixed[i : i + min(STEP, max(FIRST, self.seen // GROWTH))]
             self.step(items[part], contexts[part])
+            i += len(part)
 
 
 @dataclass
@@ -318,11 +318,11 @@ def _log_softmax(s: np.ndarray, pick: np.ndarray) -> np.ndarray:
     return taken - np.log(s.sum(axis=1))
 
 
-def train_nce(rows: DataFrame, lexicon: Lexicon, passes: int) -> Weights:
+def train_nce(rows: DataFrame, lexicon: Lexicon) -> Weights:
     """Weights averaged over the partitions of ``rows`` (column text), by their tokens.
 
-    A partition goes over its texts once, or holds them and goes over them
-    ``passes`` times; the weights are averaged FAN at a time until FAN are left.
+    A partition goes over its texts once, whatever the size of the corpus; the
+    weights are averaged FAN at a time until FAN are left.
     """
     start = Weights(lexicon)
     shared = rows.sparkSession.sparkContext.broadcast((lexicon, start.flat))  # WORDS bounds its size
@@ -336,16 +336,12 @@ def train_nce(rows: DataFrame, lexicon: Lexicon, passes: int) -> Weights:
 
         part = TaskContext.get().partitionId()
         lexicon, flat = shared.value
-        t, held = Trainer(lexicon, flat, seed=part), []
+        t = Trainer(lexicon, flat, seed=part)
         for batch in batches:
             for _, texts in C.chunks(batch, "text"):
                 h, doc = tokens(texts)
                 items = lexicon.items(h)
-                held.append((items.astype(np.int32), doc.astype(np.int32)) if passes > 1 else None)
                 t.train(items, lexicon.contexts(items, doc))
-        for _ in range(passes - 1):
-            for items, doc in held:
-                t.train(items.astype(np.int64), lexicon.contexts(items.astype(np.int64), doc))
         if t.seen:
             yield one(part, t.seen, t.w.flat)
 
@@ -381,7 +377,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     named, times = np.append(h[:words], C.END), np.append(c[:words], totals.ends)
     order = np.lexsort((named, -times))
     lexicon = Lexicon(named[order], times[order], rest_tokens)
-    weights = train_nce(rows, lexicon, min(PASSES, max(1, SEEN // max(totals.n, 1))))
+    weights = train_nce(rows, lexicon)
     order = np.argsort(h)
     return Model(lexicon, weights, int(totals.n), int(totals.v), rest_tokens, rest_distinct, h[order], c[order], int(totals.ends)), counts
 

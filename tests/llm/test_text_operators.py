@@ -550,6 +550,18 @@ def test_lm_probabilities_sum_to_one():
         assert p.sum() == pytest.approx(1, rel=1e-4)
 
 
+def test_lm_goes_over_a_corpus_once_whatever_its_size(spark):
+    for n in (20, 900):
+        rows = [(i, " ".join(f"{'ab'[i % 2]}{(i * j) % 7}" for j in range(1, 30))) for i in range(n)]
+        model = lm.fit(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))[0]
+        h, doc = lm.tokens([t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+        items = model.lexicon.items(h)
+        plain = lm.Trainer(model.lexicon, lm.Weights(model.lexicon).flat, seed=0)
+        plain.train(items, model.lexicon.contexts(items, doc))
+        assert plain.seen == model.train_tokens
+        assert np.allclose(model.weights.flat, plain.w.flat, atol=1e-5)
+
+
 def test_lm_weights_are_averaged_over_all_partitions(spark, monkeypatch):
     rows = [(i, " ".join(f"{'ab'[i % 2]}{(i * j) % 7}" for j in range(1, 30))) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9, "doc_id")
