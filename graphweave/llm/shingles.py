@@ -225,15 +225,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     posts = C.cut(posts.join(pivots, "h"))
     met = posts.select(F.col("key").alias("a"), F.col("p.key").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).where("a != b")
     edges = C.cut(fingerprint_links(keys, radius).union(alike(possible(met, num, den), docs, rows, text_col, width, num, den)))
+    C.sweep(docs.sparkSession)  # here and below: what dozens of plans leave would let the driver's heap grow to its bound
 
     posts = posts.select("key", "n", "h", "k").join(labels(keys.select("key"), edges), "key")
     mixed = posts.groupBy("h").agg(F.min("label").alias("c0"), F.max("label").alias("c1")).where("c0 != c1").select("h")
     posts = C.cut(posts.join(mixed, "h", "left_semi").select("key", "n", "h", "label", "k"))
+    C.sweep(docs.sparkSession)
     few = posts.where(F.col("k") <= CROWD).drop("k")
     one, two = few.toDF("a", "na", "h", "ca"), few.toDF("b", "nb", "h", "cb")
     met = one.join(two.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & (F.col("ca") < F.col("cb"))).select("a", "b", "na", "nb")
     more = alike(possible(met, num, den), docs, rows, text_col, width, num, den)
     more = more.union(crowd_links(posts.where(F.col("k") > CROWD).select("h", "key", "label", "k"), docs, rows, text_col, width, num, den))
+    C.sweep(docs.sparkSession)
     found = C.connected_components(edges.union(more))
+    C.sweep(docs.sparkSession)
     component = keys.join(found, keys.key == found.node, "left").select("key", F.coalesce("component", "key").alias("component"))
     return simhash.first_of_each(docs, rows.join(component, "key").select("component", "doc_id", "mark"), id_col, text_col)
