@@ -6,8 +6,10 @@ last, so that common passages make no candidates; any order is complete.  Sets a
 first held against the smallest set of each shingle and get a label by what they link
 with; then sets of different labels are held against each other: pair by pair where few
 share a shingle, in blocks of sets where many do, which hand on a row a set and no pairs.
-Every link is checked exactly, on whole sets of the texts that candidates name; other
-texts are left out before any exchange.
+Blocks first hold prefixes, without the shingles that nothing shares, against each other;
+whole sets go only to blocks where two of them can still be alike.  Every link is checked
+exactly, on whole sets of the texts that candidates name; other texts are left out before
+any exchange.  What grows faster than the texts goes in shares, one on disk at a time.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ SAMPLE, FREQUENT, MOST = 8192, 3, 1 << 18
 WORDS = 1 << 18
 #: From how many sets of a shingle on they meet in blocks, and the sets of a block.
 CROWD, BLOCK = 64, 512
+#: Shingles of copies of sets or prefixes, and pairs of sets, that stand on disk at a time, about.
+NUMBERS, PAIRS = 1 << 26, 1 << 25
 
 
 def text_key(text: bytes) -> int:
@@ -103,6 +107,27 @@ def read(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den:
     return rows.mapInArrow(C.lean(run), "doc_id long, mark long, fp long, key long, n long, prefix array<long>")
 
 
+def shares_of(volume: int | None, most: int) -> int:
+    return max(1, -(-(volume or 0) // most))
+
+
+def of_share(rows: DataFrame, column: str, k: int, shares: int) -> DataFrame:
+    """The rows whose value of a column belongs to a share."""
+    return rows if shares == 1 else rows.where(F.pmod(F.xxhash64(F.lit(13), column), F.lit(shares)) == k)
+
+
+def in_shares(spark, shares: int, made) -> DataFrame:
+    """Rows of made(0), made(1), ..., of which each is written before the next begins; one share is left as a plan."""
+    if shares == 1:
+        return made(0)
+    out = None
+    for k in range(shares):
+        some = C.cut(made(k))
+        out = some if out is None else out.unionByName(some)
+        C.sweep(spark)
+    return out
+
+
 def possible(met: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of rows (a, b, na, nb), one for each shingle that two prefixes share, whose sets can still reach the similarity.
 
@@ -122,7 +147,15 @@ def alike(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, wid
     one, two = whole.toDF("a", "sa"), whole.toDF("b", "sb")
     both = F.size(F.array_intersect("sa", "sb"))
     enough = both * (num + den) >= (F.size("sa") + F.size("sb")) * num
-    return pairs.join(one, "a").join(two, "b").where(enough).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    sizes = C.cut(whole.select(F.col("key").alias("a"), F.size("shingles").cast("long").alias("n")))
+    once, copies = sizes.agg(F.sum("n")).first()[0], pairs.join(sizes, "a").agg(F.sum("n")).first()[0]
+    shares = shares_of(copies, max(NUMBERS, once or 0))
+
+    def check(k: int) -> DataFrame:
+        met = of_share(pairs, "a", k, shares).join(of_share(one, "a", k, shares), "a").join(two, "b")
+        return met.where(enough).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    return in_shares(docs.sparkSession, shares, check)
 
 
 def whole_sets(keys: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -146,25 +179,53 @@ def likely(rows: DataFrame, hash_col: str, wanted: DataFrame) -> DataFrame:
     return met.where(F.getbit("_bits", F.col(hash_col).bitwiseAND(F.lit(63)).cast("int")) == 1).select(*rows.columns)
 
 
-def meet(t: pa.Table, num: int, den: int) -> pa.Table:
-    """(u, v): of the sets of one block, or of two, each with the smallest that it is joined to by links between labels."""
-    key, label, sub = (t.column(c).to_numpy() for c in ("key", "label", "sub"))
-    lists = t.column("shingles").combine_chunks()
-    flat, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(len(key)), n)
+def shared_counts(lists: pa.ListArray) -> np.ndarray:
+    """How many numbers each two of some lists of distinct numbers share."""
+    flat, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), n)
     _, at, many = np.unique(flat, return_inverse=True, return_counts=True)
     shared = many > 1
     column = np.cumsum(shared) - 1
     row, at = row[shared[at]], column[at[shared[at]]]
-    both = np.zeros((len(key), len(key)), np.float32)
+    both = np.zeros((len(lists), len(lists)), np.float32)
     for i in range(0, int(shared.sum()), 4096):
         here = (at >= i) & (at < i + 4096)
-        member = np.zeros((len(key), 4096), np.float32)
+        member = np.zeros((len(lists), 4096), np.float32)
         member[row[here], at[here] - i] = 1
         both += member @ member.T
-    link = (both * (num + den) >= (n[:, None] + n[None, :]) * num) & (label[:, None] != label[None, :])
-    if t.column("pair")[0].as_py():
-        link &= sub[:, None] != sub[None, :]
+    return both
+
+
+def of_blocks(t: pa.Table) -> np.ndarray:
+    """Which two rows of one block, or of two, have different labels and are not met in another group."""
+    label, sub = t.column("label").to_numpy(), t.column("sub").to_numpy()
+    apart = label[:, None] != label[None, :]
+    return apart & (sub[:, None] != sub[None, :]) if t.column("pair")[0].as_py() else apart
+
+
+def hopeful(t: pa.Table, num: int, den: int) -> pa.Table:
+    """The rows of one block, or of two, that can be alike with another, by all that their prefixes share.
+
+    Two sets count at the smallest crowd that both are in.
+    """
+    n, crowds = t.column("n").to_numpy(), t.column("crowds").combine_chunks()
+    flat, size = crowds.flatten(), crowds.value_lengths().to_numpy(zero_copy_only=False)
+    before = flat.to_numpy() < t.column("h")[0].as_py()
+    ends = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(n)), size)[before], minlength=len(n)))]).astype(np.int32)
+    earlier = shared_counts(pa.ListArray.from_arrays(pa.array(ends), flat.filter(pa.array(before))))
+    rest = -(-num * n // den) - 1
+    most = shared_counts(t.column("shared").combine_chunks()) + np.maximum(rest[:, None], rest[None, :])
+    close = (n[:, None] * den >= n[None, :] * num) & (n[None, :] * den >= n[:, None] * num)
+    can = of_blocks(t) & close & (earlier == 0) & (most * (num + den) >= (n[:, None] + n[None, :]) * num)
+    return t.select(["h", "low", "high", "pair", "sub", "key", "label", "n"]).filter(pa.array(can.any(axis=1)))
+
+
+def meet(t: pa.Table, num: int, den: int) -> pa.Table:
+    """(u, v): of the sets of one block, or of two, each with the smallest that it is joined to by links between labels."""
+    key = t.column("key").to_numpy()
+    lists = t.column("shingles").combine_chunks()
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    link = of_blocks(t) & (shared_counts(lists) * (num + den) >= (n[:, None] + n[None, :]) * num)
     a, b = np.nonzero(link)
     root = np.argsort(np.argsort(key, kind="stable"), kind="stable")  # by place in order of key
     own = root.copy()
@@ -181,13 +242,28 @@ def meet(t: pa.Table, num: int, den: int) -> pa.Table:
 
 
 def crowd_links(posts: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """(u, v): what joins the sets that share a shingle with a crowd (h, key, label, k), met block by block."""
-    posts = C.cut(posts)
-    whole = whole_sets(posts.select("key").distinct(), docs, rows, text_col, width)
+    """(u, v): what joins the sets that share a shingle with a crowd, met block by block.
+
+    ``posts`` (key, n, h, label, k) has all shingles that prefixes of different labels share.
+    """
+    spark, block = docs.sparkSession, ["h", "low", "high"]
+    crowd = C.cut(posts.where(F.col("k") > CROWD).select("h", "key", "label", "n", "k"))
+    own = posts.join(crowd.select("key").distinct(), "key", "left_semi").groupBy("key")
+    lists = C.cut(own.agg(F.collect_list("h").alias("shared"), F.collect_list(F.when(F.col("k") > CROWD, F.col("h"))).alias("crowds")))
     parts = F.ceil(F.col("k") / BLOCK).cast("long")
-    dealt = posts.withColumn("sub", F.pmod(F.xxhash64("key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    dealt = dealt.select("h", F.least("sub", "other").alias("low"), F.greatest("sub", "other").alias("high"), (F.col("sub") != F.col("other")).alias("pair"), "sub", "key", "label")
-    return dealt.join(whole, "key").groupBy("h", "low", "high").applyInArrow(lambda t: meet(t, num, den), "u long, v long")
+    sizes = lists.select("key", (F.size("shared") + F.size("crowds") + 8).cast("long").alias("size"))
+    shares = shares_of(crowd.join(sizes, "key").agg(F.sum(parts * F.col("size"))).first()[0], NUMBERS)
+
+    def dealt(k: int) -> DataFrame:
+        some = of_share(crowd, "h", k, shares).withColumn("sub", F.pmod(F.xxhash64("key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        some = some.select("h", F.least("sub", "other").alias("low"), F.greatest("sub", "other").alias("high"), (F.col("sub") != F.col("other")).alias("pair"), "sub", "key", "label", "n")
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.schema)
+        return some.join(lists, "key").groupBy(*block).applyInArrow(lambda t: hopeful(t, num, den), kinds)
+
+    near = C.cut(in_shares(spark, shares, dealt))
+    whole = C.cut(whole_sets(near.select("key").distinct(), docs, rows, text_col, width))
+    most = shares_of(near.agg(F.sum("n")).first()[0], NUMBERS)
+    return in_shares(spark, most, lambda k: of_share(near, "h", k, most).join(whole, "key").groupBy(*block).applyInArrow(lambda t: meet(t, num, den), "u long, v long"))
 
 
 def labels(keys: DataFrame, edges: DataFrame) -> DataFrame:
@@ -223,19 +299,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     posts = rows.select("key", "n", F.explode("prefix").alias("h")).repartition("h").distinct()
     pivots = posts.groupBy("h").agg(F.min(F.struct("key", "n")).alias("p"), F.count("*").alias("k")).where("k > 1")
     posts = C.cut(posts.join(pivots, "h"))
+    C.sweep(docs.sparkSession)  # here and below: what dozens of plans leave would let the driver's heap grow to its bound, and moved tables stay on disk
     met = posts.select(F.col("key").alias("a"), F.col("p.key").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).where("a != b")
     edges = C.cut(fingerprint_links(keys, radius).union(alike(possible(met, num, den), docs, rows, text_col, width, num, den)))
-    C.sweep(docs.sparkSession)  # here and below: what dozens of plans leave would let the driver's heap grow to its bound
+    C.sweep(docs.sparkSession)
 
     posts = posts.select("key", "n", "h", "k").join(labels(keys.select("key"), edges), "key")
     mixed = posts.groupBy("h").agg(F.min("label").alias("c0"), F.max("label").alias("c1")).where("c0 != c1").select("h")
     posts = C.cut(posts.join(mixed, "h", "left_semi").select("key", "n", "h", "label", "k"))
     C.sweep(docs.sparkSession)
-    few = posts.where(F.col("k") <= CROWD).drop("k")
-    one, two = few.toDF("a", "na", "h", "ca"), few.toDF("b", "nb", "h", "cb")
-    met = one.join(two.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & (F.col("ca") < F.col("cb"))).select("a", "b", "na", "nb")
-    more = alike(possible(met, num, den), docs, rows, text_col, width, num, den)
-    more = more.union(crowd_links(posts.where(F.col("k") > CROWD).select("h", "key", "label", "k"), docs, rows, text_col, width, num, den))
+    few = posts.where(F.col("k") <= CROWD)
+    shares = shares_of(few.agg(F.sum(F.col("k") - 1)).first()[0], 2 * PAIRS)
+    one, two = few.drop("k").toDF("a", "na", "h", "ca"), few.drop("k").toDF("b", "nb", "h2", "cb")
+
+    def met_of(k: int) -> DataFrame:
+        """Pairs of a share of the sets: all shingles that two of them share are in one share."""
+        met = of_share(one, "a", k, shares).join(two, (F.col("h") == F.col("h2")) & (F.col("ca") < F.col("cb")))
+        return possible(met.select("a", "b", "na", "nb"), num, den)
+
+    more = alike(in_shares(docs.sparkSession, shares, met_of), docs, rows, text_col, width, num, den)
+    more = C.cut(more.union(crowd_links(posts, docs, rows, text_col, width, num, den)))
     C.sweep(docs.sparkSession)
     found = C.connected_components(edges.union(more))
     C.sweep(docs.sparkSession)

@@ -627,6 +627,27 @@ def test_near_copies_of_five_word_shingles(spark, sf, monkeypatch, crowd, block)
     assert shingles.keep_one(docs.limit(0)).count() == 0
 
 
+def test_crowds_take_whole_sets_of_what_can_be_alike_in_shares(spark, monkeypatch):
+    from graphweave.llm import shingles
+
+    asked = []
+    whole_sets = shingles.whole_sets
+    monkeypatch.setattr(shingles, "CROWD", 4)
+    monkeypatch.setattr(shingles, "BLOCK", 8)
+    monkeypatch.setattr(shingles, "NUMBERS", 8000, raising=False)
+    monkeypatch.setattr(shingles, "PAIRS", 500, raising=False)
+    monkeypatch.setattr(shingles, "frequent", lambda *a: np.zeros(0, np.uint64))
+    monkeypatch.setattr(shingles, "whole_sets", lambda keys, *a: asked.append(keys.count()) or whole_sets(keys, *a))
+    passage = [f"p{i}" for i in range(20)]
+    rows = [(i, " ".join(passage + [f"y{i}.{x}" for x in range(100)])) for i in range(60)]
+    rows += [(100 + i, " ".join(passage + [f"z{i // 4}.{x}" for x in range(100)] + [f"e{i}"] * (i % 4))) for i in range(24)]
+    want, by_jaccard = plain_near_copies(rows)
+    assert by_jaccard > 0
+    got = shingles.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == want
+    assert max(asked) <= 24  # the 60 share a passage only
+
+
 def test_whole_sets_move_few_other_texts(spark):
     from graphweave.llm import shingles
 
