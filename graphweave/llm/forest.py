@@ -108,52 +108,65 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(x: np.ndarray, least: float) -> np.ndarray:
-    """Pairs (a, b), a < b, of rows with cosine at least ``least``, in blocks."""
-    out = []
+    """Whether rows a and b, a < b, have cosine at least ``least``; a byte a pair, made in blocks."""
+    out = np.zeros((len(x), len(x)), bool)
     for i in range(0, len(x), 512):
-        a, b = np.nonzero(x[i : i + 512] @ x.T >= least)
-        a = a + i
-        out.append(np.stack([a[a < b], b[a < b]]))
-    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        np.greater_equal(x[i : i + 512] @ x.T, least, out=out[i : i + 512])
+    return np.triu(out, 1)
+
+
+def _apart(lists: pa.ListArray, before: int) -> np.ndarray:
+    """Whether each two lists share no number below ``before``, some numbers at a time."""
+    where, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    owner = np.repeat(np.arange(len(lists)), size)[where < before]
+    _, at, many = np.unique(where[where < before], return_inverse=True, return_counts=True)
+    column = np.cumsum(many > 1) - 1
+    owner, at = owner[many[at] > 1], column[at[many[at] > 1]]
+    out = np.ones((len(lists), len(lists)), bool)
+    for i in range(0, int((many > 1).sum()), 1024):
+        here = (at >= i) & (at < i + 1024)
+        member = np.zeros((len(lists), 1024), np.float32)
+        member[owner[here], at[here] - i] = 1
+        for k in range(0, len(lists), 512):
+            out[k : k + 512] &= member[k : k + 512] @ member.T == 0
+    return out
 
 
 def compare(table: pa.Table, dim: int, least: float) -> pa.Table:
-    """(rep, links, root) of the rows of one leaf, or of two blocks of it, that have links there."""
+    """(rep, links, root) of the rows of one leaf, or of two blocks of it, that have links there.
+
+    Pairs are bytes of square tables, so that memory follows the rows of two blocks
+    and neither the number of links nor that of leaves.
+    """
     empty = pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-    x = V.matrix(table.column("v"), dim)
-    rep, n, sub, leaf = (table.column(c).to_numpy() for c in ("rep", "n", "sub", "leaf"))
-    order = np.argsort(rep, kind="stable")
-    a, b = order[_neighbours(_unit(x[order]), least)]
+    table = table.take(pa.array(np.argsort(table.column("rep").to_numpy(), kind="stable")))
+    link = _neighbours(_unit(V.matrix(table.column("v"), dim)), least)
     if table.column("pair")[0].as_py():
-        a, b = a[sub[a] != sub[b]], b[sub[a] != sub[b]]
-    if not len(a):
+        sub = table.column("sub").to_numpy()
+        link &= sub[:, None] != sub[None, :]
+    rows = np.flatnonzero(link.any(axis=0) | link.any(axis=1))
+    if not len(rows):
         return empty
-    rows = np.unique(np.concatenate([a, b]))
-    # Leaves before this one, of the rows with links: a pair that shares one of them is counted there.
-    lists = table.column("leaves").combine_chunks().take(pa.array(rows))
-    where, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    owner = np.repeat(np.arange(len(rows)), size)
-    earlier = where < leaf[0]
-    names, at = np.unique(where[earlier], return_inverse=True)
-    member = np.zeros((len(rows), len(names)), np.float32)
-    member[owner[earlier], at] = 1
-    ia, ib = np.searchsorted(rows, a), np.searchsorted(rows, b)
-    fresh = np.concatenate([(member[ia[i : i + 65536]] * member[ib[i : i + 65536]]).sum(1) == 0 for i in range(0, len(ia), 65536)])
-    links = np.bincount(ia[fresh], n[b[fresh]], len(rows)) + np.bincount(ib[fresh], n[a[fresh]], len(rows))
-    root = np.arange(len(rows))
-    while True:  # smallest reachable row, by halving paths
-        low = np.minimum(root[ia], root[ib])
-        new = root.copy()
-        np.minimum.at(new, ia, low)
-        np.minimum.at(new, ib, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    smallest = rep[rows]
-    least_of = np.full(len(rows), np.iinfo(np.int64).max)
-    np.minimum.at(least_of, root, smallest)
-    return pa.table({"rep": smallest, "links": links.astype(np.int64), "root": least_of[root]})
+    link = link[np.ix_(rows, rows)]
+    rep, n = table.column("rep").to_numpy()[rows], table.column("n").to_numpy()[rows]
+    # A pair that shares a leaf before this one is counted there.
+    fresh = _apart(table.column("leaves").combine_chunks().take(pa.array(rows)), table.column("leaf")[0].as_py())
+    fresh &= link
+    links = np.zeros(len(rows), np.int64)
+    for i in range(0, len(rows), 512):
+        links[i : i + 512] += fresh[i : i + 512] @ n
+        links += n[i : i + 512] @ fresh[i : i + 512]
+    link |= link.T
+    root = np.full(len(rows), -1)
+    for i in range(len(rows)):  # smallest reachable row, from the smallest on
+        front = np.array([i]) if root[i] < 0 else []
+        while len(front):
+            root[front] = i
+            near = np.zeros(len(rows), bool)
+            for k in range(0, len(front), 512):
+                near |= link[front[k : k + 512]].any(axis=0)
+            front = np.flatnonzero(near & (root < 0))
+    return pa.table({"rep": rep, "links": links, "root": rep[root]})
 
 
 def _leaf_of(leaf: np.ndarray | int, sub: np.ndarray) -> np.ndarray:

@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -188,6 +190,23 @@ def test_embedding_links_on_odd_rows(spark, block, sample, fit):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in alone) == [(400, 0, 400, True), (500, 0, 500, True)]
 
 
+def test_leaf_with_many_links_and_leaves_takes_little_memory():
+    rng = np.random.default_rng(4)
+    m = 600
+    x = rng.normal(size=64) + 0.1 * rng.normal(size=(m, 64))
+    lists = [sorted({int(k) for k in rng.integers(0, 3000, 28)}) + [10**6] for _ in range(m)]
+    rep, n = rng.permutation(m), rng.integers(1, 4, m)
+    t = pa.table({"leaf": [10**6] * m, "pair": [False] * m, "sub": [0] * m, "rep": rep, "n": n, "leaves": lists, "v": x.tolist()})
+    tracemalloc.start()
+    got = forest.compare(t, 64, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+    sets = [set(k) - {10**6} for k in lists]
+    want = {int(rep[i]): int(sum(n[j] for j in range(m) if i != j and not sets[i] & sets[j])) for i in range(m)}
+    assert dict(zip(got["rep"].to_pylist(), got["links"].to_pylist())) == want and set(got["root"].to_pylist()) == {0}
+
+
 def test_forest_recall_at_the_threshold(spark):
     """Pairs just above 0.9 in 64 dimensions: at least 99 in 100 are found."""
     rng = np.random.default_rng(8)
