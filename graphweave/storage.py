@@ -30,6 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """``df``, which has been cut, with a size that Spark does not know.
+
+    A cut table keeps the size that was guessed from the input's; where code makes
+    much of little, joins would send large tables through the driver.  Of tables of
+    unknown size only those that shuffles have measured as small are broadcast.
+    """
+    spark, plan = df.sparkSession, df._jdf.queryExecution()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), df._jdf.schema(), False), spark)
+
+
 def sweep(spark: SparkSession) -> None:
     """Have Spark drop shuffle files, and checkpoints where they are cleaned up, that nothing refers to any more."""
     gc.collect()

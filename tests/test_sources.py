@@ -417,3 +417,11 @@ def test_numbers_over_partitions(spark):
     got = [tuple(r) for r in numbered(rows, [F.col("y").desc(), F.col("x")]).select("y", "x", "index").orderBy("index").collect()]
     assert [g[2] for g in got] == list(range(500)) and [g[:2] for g in got] == sorted((g[:2] for g in got), key=lambda g: (-g[0], g[1]))
     assert numbered(rows.limit(0), ["x"]).columns == ["x", "y", "index"]
+
+
+def test_graph_of_parsed_files_is_not_broadcast_by_a_guess(spark, sf):
+    """Parsed rows take many times the bytes of the table that the sources are made of."""
+    import __spark_entry__
+
+    joins = __spark_entry__.queries()["p15_built_edges"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in joins and "SortMergeJoin" in joins
