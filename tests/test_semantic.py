@@ -74,3 +74,10 @@ def test_contexts(graph):
     assert m["handle"].pattern == "message" and m["handle"].messagePattern == "'cat.created'"
     nodes = {r.name: r for r in graph.nodes.collect()}
     assert nodes["DogService"].propertyTypes == ["PayClient", "Map<string, X>"] and nodes["CatController"].injectTokens == {1: "TOKEN"}
+
+
+def test_semantic_edges_are_not_broadcast_by_a_guess(spark, sf):
+    import __spark_entry__
+
+    joins = __spark_entry__.queries()["p20_semantic_edges"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in joins and "SortMergeJoin" in joins
